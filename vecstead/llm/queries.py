@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecstead.llm import decontaminate, packing, simhash, url_filter
+from vecstead.llm import decontaminate, html_text, language_id, media, packing, quality, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.query,
     "op3_simhash": simhash.query,
+    "op4_html_text": html_text.query,
+    "op5_media": media.query,
     "op6_url_filter": url_filter.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
+    "op10_quality": quality.query,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": url_filter.ORACLE}
