@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -40,17 +43,38 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that a lost executor doesn't cost a recomputation.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where there is none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder is set only where there is none, as in tests."""
+    context = spark.sparkContext
+    if set_ := spark.conf.get("spark.checkpoint.dir", None):
+        return set_.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` checkpointed in the shared folder, so that a lost executor doesn't cost a recomputation. For small tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder as a compressed table and read again; the table goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],

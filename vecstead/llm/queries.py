@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecstead.llm import decontaminate, html_text, language_id, media, packing, quality, simhash, toxicity, url_filter
+from vecstead.llm import decontaminate, html_text, language_id, lm_score, media, packing, quality, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
+    "op2_lm_score": lm_score.query,
     "op3_simhash": simhash.query,
     "op4_html_text": html_text.query,
     "op5_media": media.query,
