@@ -10,14 +10,16 @@ curve on labelled documents that the models were not counted on.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, fold, quoted, table
+from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, fold, quoted, table
 
 #: Bounds of the fit: labelled documents of each class that are sampled for it.
 MAX_TOXIC, MAX_ORDINARY = 3_000, 5_000
@@ -37,44 +39,37 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
-def _grams(words: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each letter of each word (and its end), hashes of the last 1 to `order` letters, and the number of its word.
+class Letters:
+    """The letters of some words and their ends, one after the other, and hashes of what they end, order by order.
 
-    Words start with a mark, and histories stop there; a shorter history has its own hash. Longer words are read in full.
+    Words start with a mark, and histories stop there; a shorter history has its own hash. Every word is read in full.
     """
-    body = b"\n".join(words) + b"\n"
-    letters = np.frombuffer(body, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    ends = np.frombuffer(body, dtype=np.uint8) == 10
-    owner = np.cumsum(ends) - ends
-    starts = np.r_[0, np.flatnonzero(ends)[:-1] + 1]
-    place = np.arange(len(letters)) - starts[owner]
-    hashes, value = [], letters * np.uint64(0x9E3779B97F4A7C15)
-    hashes.append(_mixed(value))
-    for k in range(1, order):
-        back = np.zeros_like(letters)
-        back[k:] = letters[:-k]
-        # the place before a word's first letter holds the mark 300, those before it nothing
-        back = np.where(place >= k, back, np.where(place == k - 1, np.uint64(300), np.uint64(0)))
-        value = value * np.uint64(0xBF58476D1CE4E5B9) + back
-        hashes.append(_mixed(value + np.uint64(k)))
-    return hashes, owner
-
-
-def _contexts(words: list[bytes], order: int) -> list[np.ndarray]:
-    """Hashes of the histories: 0 letters, then the last 1 to order - 1 before each letter."""
-    body = b"\n".join(words) + b"\n"
-    letters = np.frombuffer(body, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    ends = np.frombuffer(body, dtype=np.uint8) == 10
-    owner = np.cumsum(ends) - ends
-    place = np.arange(len(letters)) - np.r_[0, np.flatnonzero(ends)[:-1] + 1][owner]
-    out, value = [np.zeros(len(letters), dtype=np.uint64)], np.zeros(len(letters), dtype=np.uint64)
-    for k in range(1, order):
-        back = np.zeros_like(letters)
-        back[k:] = letters[:-k]
-        back = np.where(place >= k, back, np.where(place == k - 1, np.uint64(300), np.uint64(0)))
-        value = value * np.uint64(0x94D049BB133111EB) + back
-        out.append(_mixed(value + np.uint64(k)))
-    return out
+
+    def __init__(self, words: list[bytes]) -> None:
+        body = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8)
+        ends = body == 10
+        self.letters = body.astype(np.uint16) + np.uint16(1)
+        self.owner = (np.cumsum(ends) - ends).astype(np.int32)
+        starts = np.r_[0, np.flatnonzero(ends)[:-1] + 1].astype(np.int32)
+        self.place = np.arange(len(body), dtype=np.int32) - starts[self.owner]
+
+    def _letter(self, k: int) -> np.ndarray:
+        back = np.zeros_like(self.letters)
+        back[k:] = self.letters[: len(self.letters) - k]
+        back[self.place < k] = 0
+        back[self.place == k - 1] = 300
+        return back
+
+    def contexts(self, order: int) -> np.ndarray:
+        """Hashes of the `order` letters before each."""
+        value = np.full(len(self.letters), order, dtype=np.uint64)
+        for k in range(1, order + 1):
+            value = value * np.uint64(0x94D049BB133111EB) + self._letter(k)
+        return _mixed(value)
+
+    def grams(self, order: int) -> np.ndarray:
+        """Hashes of each letter with the `order` before it."""
+        return _mixed(self.contexts(order) * np.uint64(0xBF58476D1CE4E5B9) + self.letters)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -108,31 +103,29 @@ class Ratios:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
-        grams, owner = _grams(words, ORDER)
-        contexts = _contexts(words, ORDER)
-        sides = [np.full(len(owner), 1 / 256, dtype=np.float32)]
+        read = Letters(words)
+        sides = [np.full(len(read.letters), 1 / 256, dtype=np.float32)]
         for k in range(ORDER):
-            share, backoff = self.share[k].of(grams[k]), self.backoff[k].of(contexts[k])
+            share, backoff = self.share[k].of(read.grams(k)), self.backoff[k].of(read.contexts(k))
             sides = [s + b * p for s, b, p in zip(share, backoff, sides * (len(share) // len(sides)))]
         ordinary, toxic = np.log(np.maximum(sides, LEAST))
-        ratios = np.bincount(owner, toxic - ordinary, minlength=len(words))
+        ratios = np.bincount(read.owner, toxic - ordinary, minlength=len(words))
         return np.clip(ratios, -CLIP, CLIP)
 
 
-def count_models(toxic: Counter, ordinary: Counter) -> Ratios:
-    """The two models from the words of each class and how often each occurs."""
-    words = sorted(toxic.keys() | ordinary.keys())
-    grams, owner = _grams(words, ORDER)
-    contexts = _contexts(words, ORDER)
-    times = [np.array([c[w] for w in words], dtype=np.float64)[owner] for c in (ordinary, toxic)]
+def count_models(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray) -> Ratios:
+    """The two models from distinct words and how often each occurs in each class. One order is held at a time."""
+    read = Letters(words)
+    times = [x.astype(np.float32)[read.owner] for x in (ordinary, toxic)]
     shares, backoffs = [], []
     for k in range(ORDER):
-        keys, first, gram = np.unique(grams[k], return_index=True, return_inverse=True)
-        histories, context = np.unique(contexts[k], return_inverse=True)
-        context_of_gram = context[first]
+        keys, first, gram = np.unique(read.grams(k), return_index=True, return_inverse=True)
+        contexts = read.contexts(k)
+        histories = np.unique(contexts)
+        context_of_gram = np.searchsorted(histories, contexts[first])
         if k < SHARED:
             # continuation counts: each distinct n-gram one letter longer counts once, whatever its class
-            longer = np.unique(grams[k + 1], return_index=True)[1]
+            longer = np.unique(read.grams(k + 1), return_index=True)[1]
             counts = [np.bincount(gram[longer], minlength=len(keys))]
         else:
             counts = [np.bincount(gram, t, minlength=len(keys)) for t in times]
@@ -212,6 +205,22 @@ def _logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return w
 
 
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(word, ordinary, toxic) over `rows` (text, label): how often each distinct word occurs in each class."""
+    schema = {"word": "binary", "ordinary": "bigint", "toxic": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = (Counter(), Counter())
+            for raw, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                counts[label].update(words_of(raw))
+            words = list(counts[0].keys() | counts[1].keys())
+            yield batch_of(schema, [words, [counts[0][w] for w in words], [counts[1][w] for w in words]])
+
+    found = rows.select("__text", "__label").mapInArrow(run, ddl(schema))
+    return found.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: tuple[int, int] = (MAX_ORDINARY, MAX_TOXIC)) -> Ratios | None:
     """The models and the logistic scale, from at most `most` labelled documents of each class, drawn by the hash of the id.
 
@@ -224,19 +233,17 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).alias("__text")).where("__text is not null")
     rows = rows.join(F.broadcast(chosen), "__id").withColumn("__held", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(4)) == 0)
-    counts, held = (Counter(), Counter()), []
-    for row in rows.orderBy("__id", "__text").toLocalIterator():
-        words = words_of(row["__text"].encode())
-        if row["__held"]:
-            held.append((words, row["__label"]))
-        else:
-            counts[row["__label"]].update(words)
+    rows = durable(rows.select("__text", "__label", "__held"))
+    counted = _word_counts(rows.where("not __held")).toArrow()
+    held = [(words_of(r["__text"].encode()), r["__label"]) for r in rows.where("__held").toLocalIterator()]
     seen = Counter(k for _, k in held)
-    if not all(counts) or len(seen) < 2:
+    if not len(counted) or not all(x > 0 for x in (pc.sum(counted["ordinary"]).as_py(), pc.sum(counted["toxic"]).as_py())) or len(seen) < 2:
         return None
-    model = count_models(counts[1], counts[0])
+    counted = counted.sort_by("word")
+    model = count_models(counted["word"].to_pylist(), counted["ordinary"].to_numpy(), counted["toxic"].to_numpy())
+    del counted
     scorer = Scorer(model)
-    features = np.concatenate([scorer.features([w for w, _ in held[lo : lo + 500]]) for lo in range(0, len(held), 500)])
+    features = np.concatenate([scorer.features([w for w, _ in held[lo : lo + 200]]) for lo in range(0, len(held), 200)])
     y = np.array([k for _, k in held], dtype=np.float64)
     share = {k: true[k] / sum(true.values()) for k in (0, 1)}
     weight = np.array([share[int(k)] / seen[int(k)] for k in y]) * len(y)
@@ -259,8 +266,8 @@ def score_toxicity(docs: DataFrame, model: Ratios | None, text: str = "text", th
 
         def compute(texts):
             raw, scores = as_bytes(texts), []
-            for lo in range(0, len(raw), 500):
-                features = scorer.features([words_of(x) for x in raw[lo : lo + 500]])
+            for lo in range(0, len(raw), 200):
+                features = scorer.features([words_of(x) for x in raw[lo : lo + 200]])
                 scores += (1 / (1 + np.exp(-np.clip(np.c_[features, np.ones(len(features))] @ scale, -30, 30)))).round(6).tolist()
             return scores, [int(x >= threshold) for x in scores]
 
