@@ -8,6 +8,7 @@ fingerprints is cut in chunks and every two chunks meet in a task of their own,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, quoted, table
+from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, quoted, table, written
 from vecstead.llm.components import connected_components
 from vecstead.llm.trie import spanning, trie_pairs
 
@@ -100,9 +101,14 @@ def exhaustive_tables(bits: int, budget: int, rows: int) -> Tables:
     return Tables(bits, budget, tables)
 
 
-def sampled_tables(bits: int, budget: int, key_bits: int, count: int, seed: int = 7) -> Tables:
-    """`count` tables, each keyed on `key_bits` random bits: a pair of which a share p of bits differs meets in at least one
-    with probability 1 - (1 - (1 - p) ** key_bits) ** count."""
+def sampled_tables(bits: int, budget: int, rows: int, apart: float = 0.151, missed: float = 0.01, seed: int = 7) -> Tables:
+    """Tables keyed on random bits, enough to miss at most `missed` of the pairs of which `apart` of the bits differ.
+
+    0.151 is the share at a Jaccard similarity of 0.8, a cosine of 0.889. Keys grow with the number of fingerprints, so
+    that a bucket holds few, and the number of tables with the keys.
+    """
+    key_bits = max(16, rows.bit_length() - 4)
+    count = math.ceil(math.log(missed) / math.log(1 - (1 - apart) ** key_bits))
     rng = np.random.default_rng(seed)
     return Tables(bits, budget, tuple(tuple(sorted(rng.choice(bits, key_bits, replace=False).tolist())) for _ in range(count)))
 
@@ -160,6 +166,12 @@ def fingerprint_links(prints: DataFrame, tables: Tables) -> DataFrame:
     return _chunked(_bucketed(prints, tables)).repartition("bucket", "meet").mapInArrow(run, ddl(schema))
 
 
+def print_roots(prints: DataFrame, tables: Tables) -> DataFrame:
+    """(print, root) for each distinct `prints.print`: the least fingerprint of its component."""
+    roots = durable(connected_components(fingerprint_links(prints.select("print"), tables)))
+    return prints.select("print").join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+
+
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, bits: int = 64, budget: int = 4, tables: Tables | None = None) -> DataFrame:
     """One row a document: its id, the binary fingerprint, and component_id, the smallest id that links reach.
 
@@ -171,22 +183,31 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     rows = durable(add_fingerprint(rows, words=words, bits=bits, out="print", drop=("text",)))
     prints = durable(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
     tables = tables or exhaustive_tables(bits, budget, prints.count())
-    roots = durable(connected_components(fingerprint_links(prints.select("print"), tables)))
-    linked = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    linked = prints.join(print_roots(prints, tables), "print")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("print", "root").join(named, "root").select("print", "component_id")
     return rows.join(named, "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
-
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 256, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of near copies: the smallest id, null ids last, and of repeated ids the first read.
 
-#: The pipeline's stage: five words and a similarity (cosine of shingle counts) of 0.8 or more, which is at most
-#: acos(0.8) / pi of the bits, 52 of 256.
-NEAR = {"words": 5, "bits": 256, "budget": 52}
+    Two texts are near copies if the cosine of their counts of `words`-word shingles, as their fingerprints tell it, is
+    `similarity` or more: at most acos(similarity) / pi of the bits differ. Candidates meet in random tables, of which
+    there are enough for 99 of 100 pairs of a Jaccard similarity of 0.8. Texts without a word are copies of each other.
+    An empty table gives an empty one; all columns come back as they were.
+    """
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    rows = written(add_fingerprint(plain.withColumn("__row", F.monotonically_increasing_id()), at[text.lower()], words, bits, out="print"))
+    prints = durable(rows.groupBy("print").agg(F.min(F.struct(F.col(at[doc_id.lower()]).isNull().alias("no"), F.col(at[doc_id.lower()]).alias("id"), F.col("__row").alias("row"))).alias("least")))
+    budget = int(math.acos(similarity) / math.pi * bits + 1e-9)
+    roots = print_roots(prints, sampled_tables(bits, budget, prints.count()))
+    keep = prints.join(roots, "print").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*names).toDF(*docs.columns)
 
 
-def near_tables() -> Tables:
-    return sampled_tables(NEAR["bits"], NEAR["budget"], key_bits=16, count=60)
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
