@@ -170,9 +170,12 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def score_of(piece: Piece, weights: dict[str, float]) -> float:
-    """Words are worth something and tags cost something, unless the labelled pages say otherwise."""
+    """Words are worth something and tags cost something, unless the labelled pages say otherwise.
+
+    A skipped block costs a little for its tags alone: its words are never returned, so a run may pass over an advert.
+    """
     if piece.skip:
-        return -LIMIT * piece.words - 0.1
+        return -0.1 if not piece.words else 0.0
     kind, name, *_ = piece.feature.split(" ")
     known = weights.get(piece.feature)
     if kind == "w":
