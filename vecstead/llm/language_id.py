@@ -113,7 +113,7 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text:
     lang_pred or score are replaced.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[x] for x in names], dtype=np.float32).reshape(len(names), -1)
+    matrix = np.array([prototypes[x] for x in names], dtype=np.float32)
 
     def make() -> Callable:
         alphabet, profiles = Alphabet(), Profiles()
