@@ -44,3 +44,25 @@ def test_empty_table_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, PAGE, 3)], "page_id long, html string, text int")
     assert html_text.extract_text(pages).first().text == WANT
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_article_text_survives_embedded_elements_and_slugs():
+    words = "some words of the article that run on for quite a while here"
+    page = lambda body: f"<body><div><h1>Title</h1><p>First {words}</p>{body}</div><p>Last {words}</p></body>"
+    whole = page(f"<p>Second {words}</p>")
+    want = html_text.main_text(whole, {})
+    assert want.count(words) == 3
+    for odd in ("<svg class='i'/>", "<math/>", "<svg><title>no</title><path d='M0'/></svg>", "<select><option>no<option>no</select>"):
+        assert html_text.main_text(page(f"{odd}<p>Second {words}</p>"), {}) == want
+    for odd in ("button", "select", "object", "canvas"):
+        assert html_text.main_text(page(f"<p>Second {words}<{odd}>no</p>"), {}) == want
+    for start, end in (("<h2 id='related-work'>", "</h2>"), ("<section id='search-methods'>", "</section>"), ("<div class='post category-social'>", "</div>"), ("<article class='post comments-open'>", "</article>")):
+        assert html_text.main_text(page(f"{start}Second {words}{end}"), {}) == want
+    for start in ("<div class='related-links'>", "<section id='comments'>", "<div class='advert-3'>"):
+        assert html_text.main_text(page(f"{start}Second {words}</div></section>"), {}).count("Second") == 0
+
+
+def test_doubtful_words_are_learned(spark):
+    body = "<p>word " * 30
+    page = f"<div class='x-promo-y'>{body}</div><article>{body}</article>"
+    assert html_text.learn_weights(spark.createDataFrame([(page,)], "html string"))["n promo"] < 0

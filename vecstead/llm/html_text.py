@@ -23,11 +23,16 @@ from vecstead.llm.common import append_columns, batch_of, ddl, quoted, table
 #: Most learned weights; those of the commonest tags and contexts.
 MAX_WEIGHTS = 5_000
 LIMIT = 4.0
+#: What a doubt costs a word where no labelled page tells.
+DOUBT = -0.5
 
 # Fixed values of HTML: element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math canvas object audio video select button"
+RAW = "script style noscript template textarea title iframe"
+#: Left out like raw elements, but parsed: they end with their parent at the latest, and may close themselves.
+EMBEDDED = frozenset("svg math canvas object audio video select button".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+CONTAINERS = frozenset("div section article aside ul ol dl table header footer nav form center details figure".split())
 SKIPPED = frozenset("nav footer aside form dialog menu fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
@@ -42,6 +47,8 @@ BOILERPLATE = frozenset(
     "pagination pager tags taglist copyright disclaimer masthead topbar".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion reactions".split())
+#: Words that may stand beside those in a class or id without a meaning of their own.
+FILLER = frozenset("area bar block box buttons container inner items link links list outer section wrap wrapper".split())
 EXCEPT = frozenset("with has no without content article body".split())
 
 _TOKEN = re.compile(
@@ -67,32 +74,39 @@ class Piece:
     skip: bool
     breaks: bool
     text: str
+    doubt: str = ""
 
 
-def _named(name: str, attributes: str) -> str:
-    """What a start tag's attributes say of it: `skip`, `header` or nothing."""
+def _named(name: str, attributes: str) -> tuple[str, str]:
+    """What a start tag's attributes say of it: `skip`, `header` or nothing; and a boilerplate word that raises a doubt.
+
+    Only a block container whose whole token names boilerplate is skipped. A word within a longer token, or on any other
+    element, is a doubt: the words of that element count by what the labelled pages say of it.
+    """
     if not attributes or name in ("html", "body", "main"):
-        return ""
+        return "", ""
     if "hidden" in attributes or "display" in attributes:
         if _HIDDEN.search(attributes):
-            return "skip"
+            return "skip", ""
+    doubt = ""
     for match in _NAMED.findall(attributes):
         for group in match.lower().split():
             words = set(_WORD.findall(group))
-            if words & COMMENTS and not words & {"no", "without"}:
-                return "skip"
-            if name != "article" and not words & EXCEPT:
-                if words & BOILERPLATE:
-                    return "skip"
-                if "header" in words:
-                    return "header"
-    return ""
+            comments = words & COMMENTS and not words & {"no", "without"}
+            listed = words & (BOILERPLATE | COMMENTS) if comments else words & BOILERPLATE if name != "article" and not words & EXCEPT else set()
+            if listed:
+                if name in CONTAINERS and not words - BOILERPLATE - COMMENTS - FILLER:
+                    return "skip", ""
+                doubt = doubt or min(listed)
+            elif name != "article" and not words & EXCEPT and "header" in words:
+                return "header", doubt
+    return "", doubt
 
 
 def read_pieces(page: str) -> list[Piece]:
     """The page's tags and texts in order. Comments and the contents of raw elements are left out."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, inside an article, in a header
+    stack: list[tuple[str, int, bool, bool, str]] = []  # name, skipped (2: embedded), inside an article, in a header, doubt
     at = 0
 
     def text(body: str) -> None:
@@ -105,9 +119,11 @@ def read_pieces(page: str) -> list[Piece]:
             if name not in INLINE:
                 context = name
                 break
-        skip, inside, header = stack[-1][1:] if stack else (False, False, False)
+        skip, inside, header, doubt = stack[-1][1:] if stack else (False, False, False, "")
+        if skip == 2:
+            return
         skip = skip or (header and context not in HEADINGS)
-        out.append(Piece(f"w {context} {'a' * link}", len(decoded.split()), inside, skip, False, decoded))
+        out.append(Piece(f"w {context} {'a' * link}", len(decoded.split()), inside, bool(skip), False, decoded, doubt))
 
     def close(number: int) -> None:
         del stack[number:]
@@ -127,25 +143,28 @@ def read_pieces(page: str) -> list[Piece]:
                         break
                     if stack[i][0] in ended:
                         close(i)
-            elif name not in INLINE and name not in VOID:
+            elif name not in INLINE and name not in VOID and name not in EMBEDDED:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            _, skip, inside, header = stack[-1] if stack else ("", False, False, False)
-            said = _named(name, token["attributes"])
-            skip = skip or name in SKIPPED or said == "skip"
+            _, skip, inside, header, doubt = stack[-1] if stack else ("", False, False, False, "")
+            said, doubted = _named(name, token["attributes"])
+            doubt = doubt or doubted
+            skip = 2 if skip == 2 or name in EMBEDDED else skip or name in SKIPPED or said == "skip"
             header = header or name == "header" or said == "header"
             inside = inside or name == "article"
-            out.append(Piece(f"t {name}", 0, inside, skip, name not in INLINE, " " if name == "br" else ""))
-            out[-1].breaks &= name not in ("br", "img", "wbr", "input")
+            if skip != 2:
+                out.append(Piece(f"t {name}", 0, inside, skip, name not in INLINE, " " if name == "br" else ""))
+                out[-1].breaks &= name not in ("br", "img", "wbr", "input")
             if name not in VOID and not token["attributes"].endswith("/"):
-                stack.append((name, skip, inside, header and (not inside or name != "article")))
+                stack.append((name, skip, inside, header and (not inside or name != "article"), doubt))
         else:
-            _, skip, inside, _ = stack[-1] if stack else ("", False, False, False)
-            out.append(Piece(f"e {name}", 0, inside, skip, name not in INLINE and name != "br", ""))
+            _, skip, inside, *_ = stack[-1] if stack else ("", False, False)
+            if skip != 2:
+                out.append(Piece(f"e {name}", 0, inside, skip, name not in INLINE and name != "br", ""))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     close(i)
@@ -179,7 +198,8 @@ def score_of(piece: Piece, weights: dict[str, float]) -> float:
     kind, name, *_ = piece.feature.split(" ")
     known = weights.get(piece.feature)
     if kind == "w":
-        return piece.words * (known if known is not None else 0.25 if piece.feature.endswith("a") or name in ("li", "td", "option") else 1.0)
+        worth = known if known is not None else 0.25 if piece.feature.endswith("a") or name in ("li", "td", "option") else 1.0
+        return piece.words * (worth + min(0.0, weights.get(f"n {piece.doubt}", DOUBT) if piece.doubt else 0.0))
     return known if known is not None else 0.0 if name in INLINE or name in VOID else -0.5
 
 
@@ -194,7 +214,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if p.breaks:
             blocks.append(block)
             block = []
-        elif p.text and not p.skip:
+        elif p.text and not p.skip and not (p.doubt and score_of(p, weights) < 0):
             block.append(p.text)
     joined = (" ".join("".join(x).split()) for x in [*blocks, block])
     return "\n\n".join(x for x in joined if x)
@@ -211,6 +231,8 @@ def learn_weights(pages: DataFrame, page: str = "html", limit: int = MAX_WEIGHTS
                 for p in read_pieces(body):
                     if not p.skip:
                         counts[p.inside][p.feature] += p.words if p.feature[0] == "w" else 1
+                        if p.doubt:
+                            counts[p.inside][f"n {p.doubt}"] += p.words
         names = sorted({k for x in counts for k, n in x.items() if n})
         yield batch_of(schema, [names, [counts[True][k] for k in names], [counts[False][k] for k in names]])
 
