@@ -323,7 +323,7 @@ def quantize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compressed_sweep")
 def compressed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.compressed_sweep(embedding(spark, sf_dir, 1, 32), embedding(spark, sf_dir, 33, 32), [8, 32], [1, 4], n=400, nquery=50)
+    return sweep.compressed_sweep(embedding(spark, sf_dir, 1, 32), embedding(spark, sf_dir, 33, 32), [8, 32], [1, 4], n=-1)
 
 
 # Grid, names, jobs
