@@ -1,13 +1,14 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +-1. A trigram's vector binds (multiplies) its letters' vectors, the first permuted
-twice and the second once; a text's vector bundles (adds) its trigrams' vectors, and a language's prototype bundles those
-of its training texts. The language of the closest prototype by cosine is predicted.
+Every letter of any script has a random vector of +-1. A trigram's vector binds (multiplies) its letters' vectors, the
+first permuted twice and the second once; a text's vector bundles (adds) its trigrams' vectors, and a language's prototype
+bundles those of its training texts. The language of the closest prototype by cosine is predicted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,92 +18,117 @@ from pyspark.sql import functions as F
 from vecstead.llm.common import append_columns, batch_of, ddl, fold, quoted, table
 
 DIMENSIONS = 1024
-#: 0 is the gap between words, 1 to 26 are a to z, and all other letters share the rest by their code point.
-SYMBOLS = 48
 SEED = 20
-#: Bound on learned languages, checked; with it a model has at most MAX_LANGUAGES * SYMBOLS ** 3 counts.
-MAX_LANGUAGES = 500
+#: Bound on learned languages, checked: above the number of languages that have a code, and 80 MB of prototypes.
+MAX_LANGUAGES = 20_000
+#: Trigram vectors that a Python worker remembers (64 MB), vectors that are added at once, languages that a task holds.
+REMEMBERED, TOGETHER, HELD = 1 << 16, 1024, 2048
 UNKNOWN = "und"
 
 
-class Alphabet:
-    """Texts as trigram numbers."""
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
-    def __init__(self) -> None:
-        plane = np.zeros(1 << 16, dtype=np.uint8)
-        others = [c for c in range(128, 1 << 16) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
-        plane[others] = self.shared(np.array(others))
-        plane[ord("a") : ord("z") + 1] = np.arange(1, 27)
-        self.plane = plane
 
-    @staticmethod
-    def shared(points: np.ndarray) -> np.ndarray:
-        return 27 + points.astype(np.int64) * 2654435761 % (1 << 32) * (SYMBOLS - 27) // (1 << 32)
+def trigrams(text: str | None) -> np.ndarray:
+    """The trigrams of the lower-cased words, each word with a gap (0) before and after; none without a letter.
 
-    def trigrams(self, text: str | None) -> np.ndarray:
-        """The trigrams of the lower-cased words, each with a gap before and after; none without a letter."""
-        points = np.frombuffer((text or "").lower().encode("utf-32-le"), dtype=np.uint32)
-        symbols = self.plane[np.minimum(points, 0xFFFF)]
-        for i in np.flatnonzero(points > 0xFFFF).tolist():
-            symbols[i] = self.shared(points[i : i + 1])[0] if chr(points[i]).isalpha() else 0
-        symbols = np.concatenate([[0], symbols, [0]]).astype(np.int32)
-        symbols = symbols[np.r_[True, (symbols[1:] != 0) | (symbols[:-1] != 0)]]
-        if len(symbols) < 3:
-            return np.empty(0, dtype=np.int32)
-        return (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    A trigram is its three code points, 21 bits each.
+    """
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    symbols = np.zeros(len(points) + 2, dtype=np.int64)
+    symbols[1:-1] = np.where(_letters()[points], points, 0)
+    symbols = symbols[np.r_[True, (symbols[1:] != 0) | (symbols[:-1] != 0)]]
+    return symbols[:-2] << 42 | symbols[1:-1] << 21 | symbols[2:]
 
 
-class Profiles:
-    """Vectors of trigrams, made when first asked for."""
+def _bits(letters: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """Random bits of each letter, from a hash of its code point."""
+    x = letters.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(seed << 20, (seed << 20) + dimensions // 64, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
 
-    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.float32), (SYMBOLS, dimensions))
-        self.third, self.second, self.first = letters, np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
-        self.vectors = np.empty((SYMBOLS**3, dimensions), dtype=np.float32)
-        self.made = np.zeros(SYMBOLS**3, dtype=bool)
 
-    def bundle(self, trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The sum of the vectors of distinct trigrams by their counts."""
-        new = trigrams[~self.made[trigrams]]
-        if len(new):
-            self.vectors[new] = self.first[new // SYMBOLS**2] * self.second[new // SYMBOLS % SYMBOLS] * self.third[new % SYMBOLS]
-            self.made[new] = True
-        return counts.astype(np.float32) @ self.vectors[trigrams]
+class Profiles:
+    """Vectors of trigrams: made when asked for, and a bounded number remembered."""
+
+    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED, remembered: int = REMEMBERED) -> None:
+        self.dimensions, self.seed = dimensions, seed
+        self.keys = np.full(remembered, -1, dtype=np.int64)
+        self.vectors = np.empty((remembered, dimensions), dtype=np.int8)
+
+    def fresh(self, codes: np.ndarray) -> np.ndarray:
+        """Binding +-1 by multiplication is binding their bits by exclusive or."""
+        letter = lambda shift: _bits(codes >> shift & 0x1FFFFF, self.dimensions, self.seed)
+        bound = letter(0) ^ np.roll(letter(21), 1, axis=1) ^ np.roll(letter(42), 2, axis=1)
+        return 1 - 2 * bound.astype(np.int8)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The int8 vectors of distinct trigrams."""
+        slots = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % len(self.keys)
+        out = self.vectors[slots]
+        missing = np.flatnonzero(self.keys[slots] != codes)
+        if len(missing):
+            out[missing] = self.fresh(codes[missing])
+            slot, first = np.unique(slots[missing], return_index=True)
+            self.keys[slot], self.vectors[slot] = codes[missing[first]], out[missing[first]]
+        return out
+
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The exact sum of the vectors of distinct trigrams by their counts."""
+        exact = np.float32 if counts.sum() < 1 << 24 else np.float64
+        total = np.zeros(self.dimensions)
+        for lo in range(0, len(codes), TOGETHER):
+            total += counts[lo : lo + TOGETHER].astype(exact) @ self.of(codes[lo : lo + TOGETHER]).astype(exact)
+        return total
+
+
+@cache
+def profiles() -> Profiles:
+    """One for each Python worker."""
+    return Profiles()
 
 
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """A unit prototype for each non-null language, bundled from trigram counts over all of `docs`.
+    """A unit prototype for each non-null language, bundled over all of `docs`.
 
-    Bundling is linear, so Spark sums the counts and each trigram's vector is added once by its count.
+    Bundling is linear: each task adds up a vector for each language, and Spark adds those, so what moves is independent
+    of the number of documents. Null texts and languages teach nothing.
     """
-    schema = {"lang": "string", "trigram": "int", "n": "bigint"}
+    schema = {"lang": "string", "at": "int", "value": "double"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, totals = Alphabet(), {}
-        for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(name, []).append(alphabet.trigrams(body))
-            for name, parts in found.items():
-                counts = np.bincount(np.concatenate(parts), minlength=SYMBOLS**3)
-                totals[name] = totals[name] + counts if name in totals else counts
-        for name, counts in totals.items():
-            at = np.flatnonzero(counts)
-            yield batch_of(schema, [[name] * len(at), at.astype(np.int32), counts[at]])
+        vectors, sums = profiles(), {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, vector in sums.items():
+                yield batch_of(schema, [[name] * len(vector), np.arange(len(vector), dtype=np.int32), vector])
+            sums.clear()
+
+        for whole in batches:
+            for lo in range(0, len(whole), 500):
+                batch, found = whole.slice(lo, 500), {}
+                for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found.setdefault(name, []).append(trigrams(body))
+                for name, parts in found.items():
+                    codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+                    sums[name] = sums.get(name, 0.0) + vectors.bundle(codes, counts)
+                if len(sums) > HELD:
+                    yield from out()
+        yield from out()
 
     rows = docs.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(run, ddl(schema)).groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
-    by_language: dict[str, list] = {}
-    for row in sums.toLocalIterator():
-        by_language.setdefault(row.lang, []).append((row.trigram, row.n))
-        if len(by_language) > MAX_LANGUAGES:
+    # sums of whole numbers are exact, so the order of the tasks doesn't matter
+    summed = rows.mapInArrow(run, ddl(schema)).groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    out: dict[str, np.ndarray] = {}
+    for row in summed.toLocalIterator():
+        if row.lang not in out and len(out) == MAX_LANGUAGES:
             raise ValueError(f"over {MAX_LANGUAGES} languages")
-    profiles, out = Profiles(), {}
-    for name, pairs in sorted(by_language.items()):
-        at, n = map(np.array, zip(*sorted(pairs)))
-        vector = profiles.bundle(at, n / n.sum())
-        out[name] = vector / np.linalg.norm(vector)
-    return out
+        out.setdefault(row.lang, np.zeros(DIMENSIONS))[row["at"]] = row.value
+    return {name: vector / max(np.linalg.norm(vector), 1e-12) for name, vector in sorted(out.items())}
 
 
 def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -110,24 +136,28 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text:
 
     Null, empty and letterless texts, and all texts where nothing was learned, get `und` and 0. Of equally close languages
     the first by name wins. Repeated rows each get their row; an empty table gives an empty one; columns of `docs` called
-    lang_pred or score are replaced.
+    lang_pred or score are replaced. Texts of any length are read whole; a long one is bundled in parts.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[x] for x in names], dtype=np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[x] for x in names], dtype=np.float32))  # at most MAX_LANGUAGES rows
 
     def make() -> Callable:
-        alphabet, profiles = Alphabet(), Profiles()
+        matrix, vectors = sent.value, profiles()
 
         def one(body: str | None) -> tuple[str, float]:
-            trigrams, counts = np.unique(alphabet.trigrams(body), return_counts=True)
-            if not len(trigrams) or not names:
+            codes, counts = np.unique(trigrams(body), return_counts=True)
+            if not len(codes) or not names:
                 return UNKNOWN, 0.0
-            vector = profiles.bundle(trigrams, counts)
-            cosines = matrix @ vector / max(float(np.linalg.norm(vector)), 1e-12)
+            vector = vectors.bundle(codes, counts)
+            cosines = (matrix @ (vector / max(float(np.linalg.norm(vector)), 1e-12)).astype(np.float32)).round(6)
             best = int(np.argmax(cosines))
             return names[best], min(1.0, max(0.0, float(cosines[best])))
 
-        return lambda texts: [list(x) for x in zip(*map(one, texts.to_pylist()))] or [[], []]
+        def compute(texts: pa.Array):
+            found = [one(texts[i].as_py()) for i in range(len(texts))]
+            return [x for x, _ in found], [x for _, x in found]
+
+        return compute
 
     return append_columns(docs, [text], {"lang_pred": "string", "score": "double"}, make, drop=drop)
 
