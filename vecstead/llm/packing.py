@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import as_bytes, batch_of, ddl, quoted, table
+from vecstead.llm.common import ddl, durable, quoted, table
 
 LENGTH = 2048
 END = np.array([1], dtype="<u4").tobytes()
@@ -25,49 +26,48 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Ids:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes.
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes, as `encode(text, add_special_tokens=False)` gives them.
 
-    The vocabulary file holds ranks; a text is cut at single spaces between non-spaces, where its pre-tokens always end, and
-    the ids of common words are remembered.
+    A text that holds the string of an added token is encoded whole. Any other is cut at single spaces between non-spaces,
+    where its pre-tokens always end, and the ids of common words are remembered.
     """
 
-    def __init__(self, ranks_file: str, pattern: str) -> None:
-        import tiktoken
+    def __init__(self, file: str) -> None:
+        from tokenizers import Tokenizer
 
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(file)
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
 
-    def fresh(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+    def fresh(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self.fresh([text])[0]
         pieces = text.split(" ")
         if "" in pieces or any(x[0].isspace() or x[-1].isspace() for x in pieces):
             pieces = _INNER_SPACE.split(text)
-        first = self.fresh(pieces[0])
         ids = list(map(self.known.get, pieces[1:]))
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    ids[i] = made = self.fresh(" " + pieces[i + 1])
-                    if len(self.known) < MEMORY and len(pieces[i + 1]) < 40:
-                        self.known[pieces[i + 1]] = made
+        new = list({x for x, found in zip(pieces[1:], ids) if found is None})
+        first, *made = self.fresh([pieces[0], *(" " + x for x in new)])
+        if new:
+            fresh = dict(zip(new, made))
+            ids = [fresh[x] if found is None else found for x, found in zip(pieces[1:], ids)]
+            if len(self.known) < MEMORY:
+                self.known.update((x, i) for x, i in fresh.items() if len(x) < 40)
         return first + b"".join(ids)
 
 
-_encoders: dict[tuple[str, str], Ids] = {}
-
-
+@cache
 def encoder(vocabulary: str) -> Ids:
-    """One encoder for each Python worker. `vocabulary` names a public byte-level BPE that has a ranks file."""
+    """One encoder for each Python worker. `vocabulary` is a public byte-level BPE's file of the tokenizers library."""
     import public_tokenizers
 
-    key = (public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN)
-    return _encoders.setdefault(key, _encoders.get(key) or Ids(*key))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Ids(public_tokenizers.path(f"{vocabulary}.json"))
 
 
 def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = "byte_bpe_50k", length: int = LENGTH) -> DataFrame:
@@ -146,31 +146,39 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(seed)), F.lit(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches([b for b in batches if len(b)] or [empty])
-        held = held.sort_by([("group", "ascending"), ("deal", "ascending")])
-        number = held["group"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else []
-        for lo, hi in zip(cuts, [*cuts[1:], len(number)]):
-            part = held.slice(lo, hi - lo).combine_chunks()
-            bins, offsets = first_fit_decreasing(part["length"].to_numpy(), length)
-            columns = [part[c].chunk(0) for c in list(schema)[:5]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((number[lo] << 32) + bins), pa.array(offsets)], names=list(schema))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+        for number, held in _groups(batches):
+            bins, offsets = first_fit_decreasing(held["length"].to_numpy(), length)
+            columns = [held[c].combine_chunks() for c in list(schema)[:5]]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((number << 32) + bins), pa.array(offsets)], names=list(schema))
 
     picked = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal", "group")
-    empty = pa.RecordBatch.from_pylist([], schema=to_arrow_schema(picked.schema))
-    return picked.repartition("group").mapInArrow(run, ddl(schema))
+    return picked.repartition("group").sortWithinPartitions("group", "deal").mapInArrow(run, ddl(schema))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The groups of rows that come sorted by `group`, one at a time."""
+    number, held = None, []
+    for batch in batches:
+        found = batch.column(6).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, dtype=np.int64)
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
+            if number is not None and found[lo] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(found[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield number, pa.Table.from_batches(held)
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = "byte_bpe_50k", length: int = LENGTH) -> DataFrame:
     """Every document's ids, cut in pieces and packed: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id lies in exactly one piece. A null or empty text has the end id alone; repeated rows and null ids are packed
-    like any other; an empty table gives an empty one; other columns of `docs`, whatever their names, play no part.
+    like any other; an empty table gives an empty one; other columns of `docs`, whatever their names, play no part. Pieces
+    of equal length are placed in the order of their partition and row; texts of any length are encoded whole.
     """
-    from vecstead.llm.common import durable
-
     return pack(durable(token_pieces(docs, text, doc_id, vocabulary, length)), length)
 
 
