@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,36 +16,32 @@ from vecstead.llm.common import append_columns, as_bytes, fold, quoted, table
 #: Bounds of the fit: labelled rows that are sampled for it, terms, latent dimensions.
 MAX_LABELLED = 6_000
 TERMS = 4096
-LATENT = 64
+LATENT = 32
 NEIGHBOURS = 25
 THRESHOLD = 0.3
 #: Documents whose cosines with all labelled vectors are computed at once.
 BLOCK = 256
-#: 1 for capitals, 2 for symbols, by byte.
-KIND = np.zeros(256, dtype=np.uint8)
-KIND[ord("A") : ord("Z") + 1] = 1
-KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'-"]] = 2
-#: The last terms weigh the shares of words that repeat the one before, of repeated word types, of capitals and of symbols.
-SHARES, EMPHASIS = 4, 40.0
+
+_SPREAD = np.uint32(2654435761)
+
+
+def recurrences(words: list[bytes]) -> np.ndarray:
+    """How far back each word last occurred, in powers of two; 0 where it is new."""
+    n = len(words)
+    first = np.fromiter(map({}.setdefault, words, range(n)), dtype=np.int64, count=n)
+    order = np.argsort(first, kind="stable")
+    same = first[order[1:]] == first[order[:-1]]
+    gap = np.zeros(n, dtype=np.int64)
+    gap[order[1:][same]] = (order[1:] - order[:-1])[same]
+    return np.frexp(gap.astype(np.float64))[1]
 
 
 def term_counts(raw: bytes | None) -> np.ndarray:
-    """Hashed byte pairs on a log scale, and shares of structure, over the whole text."""
-    out = np.zeros(TERMS, dtype=np.float32)
-    codes = np.frombuffer(raw or b"", dtype=np.uint8)
-    if len(codes) > 1:
-        pairs = (codes[:-1].astype(np.uint32) * 256 + codes[1:]) * np.uint32(2654435761) >> np.uint32(16)
-        out[:-SHARES] = np.log1p(np.bincount(pairs % (TERMS - SHARES), minlength=TERMS - SHARES))
-    words = (raw or b"").split()
-    if words:
-        kinds = KIND[codes]
-        marks = np.bincount(kinds, minlength=3)
-        again = sum(map(bytes.__eq__, words[1:], words)) / len(words)
-        # a longer text has more repeats anyway, so types are set against the square root of the words
-        same = max(0.0, 1 - len(set(words)) / len(words) ** 0.5 / 4)
-        out[-SHARES:] = again, same, marks[1] / len(codes), marks[2] / len(codes)
-        out[-SHARES:] *= EMPHASIS
-    return out
+    """How often each hashed term occurs in the whole text. Terms are byte pairs, words, and words' recurrences."""
+    codes, words = np.frombuffer(raw or b"", dtype=np.uint8).astype(np.uint32), (raw or b"").split()
+    spelt = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
+    hashed = np.concatenate([codes[:-1] * np.uint32(256) + codes[1:], spelt, recurrences(words).astype(np.uint32) + np.uint32(1 << 24)])
+    return np.bincount((hashed * _SPREAD) >> np.uint32(16) & np.uint32(TERMS - 1), minlength=TERMS).astype(np.float32)
 
 
 @dataclass
@@ -62,16 +59,22 @@ class Neighbours:
 
     def score(self, terms: np.ndarray) -> np.ndarray:
         """The neighbours' mean label by similarity; the mean of all labels for a text without terms."""
-        cosines = self.latent(terms) @ self.vectors.T
-        k = min(NEIGHBOURS, cosines.shape[1])
-        # equal cosines are taken in the order of the labelled rows
-        nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        cosines = (self.latent(terms) @ self.vectors.T).round(6)
+        nearest = nearest_rows(cosines, min(NEIGHBOURS, cosines.shape[1]))
         weight = np.maximum(np.take_along_axis(cosines, nearest, axis=1), 0.0).astype(np.float64) ** 8
         total = weight.sum(axis=1)
         voted = (weight * self.labels[nearest]).sum(axis=1)
         return np.where(total > 1e-9, voted / np.maximum(total, 1e-9), self.labels.mean())
 
 
+def nearest_rows(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest values of each row; of equal ones the first. In the order of the columns."""
+    least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cosines > least, cosines == least
+    taken = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(taken)[1].reshape(-1, k)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -90,17 +93,25 @@ def fit_neighbours(terms: np.ndarray, labels: np.ndarray, latent: int = LATENT,
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_LABELLED, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Terms and labels of at most `limit` labelled documents, drawn by the hash of the id. Null labels, ids and texts are left out."""
+    """Terms and labels of at most `limit` labelled documents, drawn by the hash of the id. Null labels, ids and texts are left out.
+
+    Ids are drawn before the join, and rows again after it, so ids that repeat in either table don't pass the bound.
+    """
     chosen = labels.select(F.col(quoted(doc_id)).alias("__id"), F.col(quoted(label)).cast("int").alias("__label")).dropna()
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(limit)
     picked = docs.select(F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).alias("__text")).where("__text is not null")
     both = picked.join(F.broadcast(chosen), "__id")
 
     def make() -> Callable:
-        return lambda texts: ([np.flatnonzero(x).astype("<i4").tobytes() + x[x > 0].astype("<f4").tobytes() for x in map(term_counts, as_bytes(texts))],)
+        def packed(raw: bytes) -> bytes:
+            counts = term_counts(raw)
+            at = np.flatnonzero(counts)
+            return at.astype("<i4").tobytes() + counts[at].astype("<f4").tobytes()
+
+        return lambda texts: ([packed(x) for x in as_bytes(texts)],)
 
-    found = append_columns(both, ["__text"], {"__terms": "binary"}, make, drop=("__text",)).toArrow()
-    found = found.sort_by([("__id", "ascending"), ("__terms", "ascending")]).slice(0, limit)
+    found = append_columns(both, ["__text"], {"__terms": "binary"}, make, drop=("__text",))
+    found = found.orderBy(F.xxhash64("__id"), "__id", "__terms", "__label").limit(limit).toArrow()
     terms = np.zeros((len(found), TERMS), dtype=np.float32)
     for i, raw in enumerate(found["__terms"].to_pylist()):
         half = len(raw) // 2
@@ -112,6 +123,7 @@ def score_quality(docs: DataFrame, model: Neighbours | None, text: str = "text",
     """`docs` with score (0 to 1) and predicted (1 from `threshold` on), by exact cosines with every labelled vector.
 
     Null and empty texts have no terms and get the mean label; without any labelled row (`model` None) every score is 0.5.
+    Of equally close labelled rows the first vote, in the order of the hash of their ids. Long texts are counted whole.
     Repeated rows each get their row; an empty table gives an empty one; columns of `docs` called score or predicted are
     replaced.
     """
