@@ -1,322 +1,488 @@
 """Language-model scores by online logistic context mixing.
 
-The text that is scored is its lower-cased (A-Z) words and an end. Within a word, bit predictors over hashed contexts are
-mixed by gated weights (`mixing`); their counts come from every training word, and their weights from an online pass over
-all of them. Across words, a match predictor bets that the word after the last occurrence of the word before comes again;
-its confidence, by how many bets were just won, adapts within the text from a start learned over all training texts. The
-text's language, which some contexts use, is the likeliest by its distinct common words, and is paid for.
-
-Training gathers a count for every distinct word and language, so it grows with the corpus. A bounded number of the
-commonest words travels to the tasks; counts of the others are joined.
+A text is its words (A-Z lower-cased) and an end. Each token is coded by binary decisions: does the word that followed the
+word before earlier in the text come again; does a word follow that training texts had after the two words before, after
+the one before, anywhere; and, for a new word, the bits of its letters. Every decision is predicted in several hashed
+contexts, whose counts start from all training texts and adapt within the text; the predictions are mixed by gated
+weights that learn online, and a last stage refines the mixture adaptively (`mixing`). A token's probability sums over
+the ways to reach it, so those of all tokens sum to at most one.
+
+Counts of words, pairs and triples of words are gathered over all training texts and grow with them. They are never
+broadcast: texts are cut in blocks, each block sends the distinct keys it asks for (and how often training texts have
+them) to the key's part, the parts add up, and each block gets its answers back.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import atexit
+import contextlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import StructType
 
 from vecstead.llm import mixing
-from vecstead.llm.common import ARROW, as_bytes, batch_of, ddl, fold, quoted, table, written
-
-#: The commonest words, whose counts are broadcast. Languages with contexts of their own; all others share one more.
-COMMON, LANGUAGES = 1 << 18, 15
-#: Distinct words that a task holds before it hands on their counts.
-HELD = 400_000
-#: Match states: bets won in a row, 0, 1, 2-3, 4-7, 8 or more. How many bets the learned start is worth.
-STATES, WORTH = 5, 4.0
-#: Slots of a row when tables are summed, words that are counted together, and words that make a task.
-CHUNK, TOGETHER, TASK_WORDS = 1 << 15, 8_192, 200_000
-
-END = b""
-
-
-def words_of(raw: bytes | None) -> list[bytes]:
-    """The words and the end, which is an empty word."""
-    return [*(raw or b"").lower().split(), END]
-
-
-def matches(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: whether a bet is laid on it, whether it is won, and the state before it."""
-    n = len(words)
-    ids = np.fromiter(map({}.setdefault, words, range(n)), dtype=np.int64, count=n)
-    order = np.argsort(ids, kind="stable")
-    last = np.full(n, -1)
-    same = ids[order[1:]] == ids[order[:-1]]
-    last[order[1:][same]] = order[:-1][same]
-    laid = np.r_[False, last[:-1] >= 0]
-    won = laid & np.r_[False, ids[np.minimum(last[:-1] + 1, n - 1)] == ids[1:]]
-    at = np.arange(n)
-    run = at - np.maximum.accumulate(np.where(won, -1, at))
-    before = np.r_[0, run[:-1]]
-    return laid, won, np.where(before == 0, 0, np.minimum(np.frexp(before.astype(float))[1], STATES - 1))
-
-
-def match_log10(laid: np.ndarray, won: np.ndarray, state: np.ndarray, start: np.ndarray) -> float:
-    """log10 probability of the bets' outcomes; each state's chance is updated after each of its bets."""
-    total = 0.0
-    for s in np.unique(state[laid]).tolist():
-        outcome = won[laid & (state == s)].astype(np.float64)
-        before = np.cumsum(outcome) - outcome
-        chance = (before + WORTH * start[s]) / (np.arange(len(outcome)) + WORTH)
-        total += float(np.log10(np.where(outcome > 0, chance, 1 - chance)).sum())
-    return total
-
-
-def gather(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts over all of `docs`: (kind, word, lang, n). Kind 0 has words; kind 1 has bets, `word` being state and outcome."""
-    schema = {"kind": "int", "word": "binary", "lang": "string", "n": "bigint"}
+from vecstead.llm.common import ARROW, batch_of, ddl, fold, quoted, table, written
+from vecstead.llm.mixing import mixed
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str | None, Counter] = {}
-        bets = np.zeros((STATES, 2), dtype=np.int64)
+#: Bytes of text that make a block (or one text), that are hashed at once, and that make a part of the keys.
+BLOCK, AT_ONCE, PART = 4_000_000, 1_000_000, 12_000_000
+#: Hashed contexts of the word decisions. Bits of a letter predictor's slots, least and most; between them they follow the new words.
+CONTEXTS = 1 << 16
+SLOT_BITS = (16, 20)
+#: Slots of a row when letter counts are added up, and words that are spelled at once.
+CHUNK, TOGETHER = 1 << 15, 4_096
+
+MATCH, TRIPLE, PAIR, WORD = 3, 2, 1, 0
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_END, _START, _BEFORE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407))
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LETTER = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for name, counter in counts.items():
-                yield batch_of(schema, [[0] * len(counter), list(counter), [name] * len(counter), list(counter.values())])
-            counts.clear()
 
+class Tokens:
+    """The tokens of some texts one after the other: a hash of each, its document, and its place in the lower-cased bytes."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        parts, held, size = [], [], 0
+        self.texts = len(texts)
+        self.bytes = np.array([len(x or b"") for x in texts], dtype=np.int64)
+        for raw in texts:
+            held.append((raw or b"").lower())
+            size += len(held[-1])
+            if size > AT_ONCE:
+                parts.append(self._read(held))
+                held, size = [], 0
+        parts.append(self._read(held))
+        self.bodies = [x[0] for x in parts]
+        docs = np.cumsum([0, *(x[4] for x in parts)])
+        self.hash, self.begin, self.end = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
+        self.doc = np.concatenate([x[5] + d for x, d in zip(parts, docs)]).astype(np.int64)
+        self.part = np.repeat(np.arange(len(parts)), [len(x[1]) for x in parts])
+        self.first = np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.empty(0, dtype=np.int64)
+        self.step = np.arange(len(self.doc)) - np.repeat(self.first, np.diff(np.r_[self.first, len(self.doc)]))
+
+    @staticmethod
+    def _read(texts: list[bytes]) -> tuple:
+        body = b"\n".join(texts) + b"\n" if texts else b""
+        codes = np.frombuffer(body, dtype=np.uint8)
+        space = _SPACE[codes]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(codes) else np.empty(0, dtype=np.int64)
+        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 if len(codes) else starts
+        edges = np.cumsum([len(x) + 1 for x in texts])
+        if len(starts):
+            length = ends - starts
+            powers = np.full(int(length.max()) + 1, _ODD)
+            powers[0] = 1
+            powers = np.cumprod(powers)
+            place = np.arange(len(codes)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(codes)]))
+            sums = np.add.reduceat(_LETTER[codes] * powers[np.minimum(place, len(powers) - 1)], starts)
+            hashes = mixed(sums)
+        else:
+            hashes = np.empty(0, dtype=np.uint64)
+        doc = np.searchsorted(edges, starts, side="right")
+        where = np.arange(len(texts))
+        order = np.argsort(np.r_[2 * doc, 2 * where + 1], kind="stable")  # an end after each text's words
+        last = (edges - 1).astype(np.int64)
+        return body, np.r_[hashes, np.full(len(texts), _END)][order], np.r_[starts, last][order], np.r_[ends, last][order], len(texts), np.r_[doc, where][order]
+
+    def word(self, i: int) -> bytes:
+        return self.bodies[self.part[i]][self.begin[i] : self.end[i]]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A key of each token alone, with the token before, and with the two before."""
+        one, two = np.r_[_START, self.hash[:-1]], np.r_[_BEFORE, _START, self.hash[:-2]][: len(self.hash)]
+        one[self.first] = _START
+        two[self.first] = _BEFORE
+        later = self.first[np.flatnonzero(np.r_[np.diff(self.first), len(self.doc) - self.first[-1]] > 1)] + 1 if len(self.first) else self.first
+        two[later] = _START
+        pair = mixed(one * _ODD + self.hash)
+        return self.hash, pair, mixed((two * _ODD + one) * mixing._SPREAD + self.hash)
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a bet is laid on each token (that what followed the last occurrence of the token before comes again), whether it is won, and the bets won in a row."""
+        n = len(self.hash)
+        order = np.lexsort((self.hash, self.doc))
+        same = (self.hash[order[1:]] == self.hash[order[:-1]]) & (self.doc[order[1:]] == self.doc[order[:-1]])
+        last = np.full(n, -1)
+        last[order[1:][same]] = order[:-1][same]
+        laid = np.r_[False, last[:-1] >= 0][:n]
+        laid[self.first] = False
+        won = laid & (self.hash[np.minimum(np.r_[-1, last[:-1]][:n] + 1, n - 1)] == self.hash)
+        at = np.arange(n)
+        run = at - np.maximum.accumulate(np.where(won, -1, at)) if n else at
+        before = np.r_[0, run[:-1]][:n]
+        before[self.first] = 0
+        return laid, won, before
+
+
+def _codes(key: np.ndarray, parts: int, order: int) -> np.ndarray:
+    """Distinct keys' part and rest in one number. Words keep all 64 bits, so their part is of the highest."""
+    if not order:
+        return key
+    return ((key & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | key >> np.uint64(32)
+
+
+def _part_of(codes: np.ndarray, parts: int, order: int) -> np.ndarray:
+    return ((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) if not order else codes >> np.uint64(32)).astype(np.int64)
+
+
+def _asked(tokens: Tokens, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the distinct codes of a block, ascending, and each token's place among them."""
+    return [np.unique(_codes(key, parts, order), return_inverse=True) for order, key in enumerate(tokens.keys())]
+
+
+def _blocks(docs: DataFrame, text: str, learn: Column) -> tuple[DataFrame, int]:
+    """(block, body, size): the rows in compressed blocks of about BLOCK bytes of text, as a table bucketed by block; and all bytes.
+
+    The last two columns of a body are the text and whether the row is learned from.
+    """
+    spark = docs.sparkSession
+    rows = docs.withColumns({"__text": F.col(quoted(text)), "__learn": F.coalesce(learn, F.lit(False)), "__part": F.spark_partition_id().cast("bigint")}).drop(text)
+    schema = {"block": "bigint", "body": "binary", "size": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, options = 0, pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for raw, name in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                words = words_of(raw)
-                counts.setdefault(name, Counter()).update(words)
-                laid, won, state = matches(words)
-                np.add.at(bets, (state[laid], won[laid].astype(int)), 1)
-            if sum(map(len, counts.values())) > HELD:
-                yield from out()
-        yield from out()
-        keys = [bytes([s, w]) for s in range(STATES) for w in (0, 1)]
-        yield batch_of(schema, [[1] * len(keys), keys, [None] * len(keys), bets.reshape(-1)])
+            if not len(batch):
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = np.cumsum(sizes) // BLOCK
+            cuts = np.flatnonzero(np.r_[True, np.diff(number) > 0, True])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(lo, hi - lo)
+                sink = pa.BufferOutputStream()
+                part = part.select(list(range(part.num_columns - 1)))
+                with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                    stream.write_batch(part)
+                yield batch_of(schema, [[(batch.column(batch.num_columns - 1)[0].as_py() << 32) + done], pa.array([sink.getvalue().to_pybytes()], pa.binary()), [int(sizes[lo:hi].sum())]])
+                done += 1
 
-    rows = docs.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"))
-    return rows.mapInArrow(run, ddl(schema)).groupBy("kind", "word", "lang").agg(F.sum("n").alias("n"))
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(run, ddl(schema)).write.option("compression", "none").bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    blocks = spark.table(name)
+    return blocks, blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
-@dataclass
-class Model:
-    """What the tasks need: totals, common words with counts by language, match starts, and the mixed slots."""
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark.sql(f"drop table if exists {name}")
 
-    total: int
-    distinct: int
-    languages: list[str | None]
-    common: dict[bytes, int]
-    counts: np.ndarray
-    by_language: np.ndarray
-    language_share: np.ndarray
-    start: np.ndarray
-    inputs: np.ndarray
 
-    @cached_property
-    def scorer(self) -> Scorer:
-        """One for each Python worker, so its tasks share what it remembers."""
-        return Scorer(self)
+def _body(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
 
 
-def _slot_counts(words: DataFrame) -> np.ndarray:
-    """Counts of every slot of every predictor over `words` (word, language, n): summed in tasks, then chunk by chunk."""
-    schema, slots = {"chunk": "int", "cells": "binary"}, int(mixing.offsets()[-1])
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column(batch.num_columns - 2).cast(pa.binary()).to_pylist()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for batch in batches:
-            for lo in range(0, len(batch), TOGETHER):
-                part = batch.slice(lo, TOGETHER)
-                out = mixing.count_bits(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(), out)
-        for lo in range(0, slots if out is not None else 0, CHUNK):
-            yield batch_of(schema, [[lo // CHUNK], [out[lo : lo + CHUNK].astype(np.float32).tobytes()]])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(cells, dtype=np.float32).astype(np.float64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        for chunk, cells in sums.items():
-            yield batch_of(schema, [[chunk], [cells.astype(np.float32).tobytes()]])
+def _learned(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
 
-    out = np.zeros((slots, 2), dtype=np.float32)
-    for row in words.mapInArrow(count, ddl(schema)).repartition("chunk").mapInArrow(total, ddl(schema)).toLocalIterator():
-        cells = np.frombuffer(row.cells, dtype=np.float32).reshape(-1, 2)
-        out[row.chunk * CHUNK : row.chunk * CHUNK + len(cells)] = cells
-    return out
 
+def _answers(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, part, kind, body): for each block and order the counts of its codes; block -1 has words' totals: N, V.
 
-def _mixing_weights(words: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """The mean, by words seen, of the weights that each task's online pass ends with."""
-    sent = words.sparkSession.sparkContext.broadcast(counts)
-    schema = {"at": "int", "weight": "double", "words": "double"}
+    Each block sends a code once, so a common word or passage makes no large group; a part has about PART bytes of text.
+    """
+    schema = {"part": "int", "kind": "int", "block": "bigint", "codes": "binary", "counts": "binary"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = mixing.initial_weights(), 0
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights = mixing.learn_weights(batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sent.value, weights)
-            seen += len(batch)
-        if seen:
-            yield batch_of(schema, [np.arange(weights.size, dtype=np.int32), weights.reshape(-1), np.full(weights.size, float(seen))])
-
-    # in the order of a hash, so that any run of words is like any other
-    words = words.sortWithinPartitions(F.xxhash64("word", "language"))
-    rows = words.mapInArrow(run, ddl(schema)).groupBy("at").agg((F.sum(F.col("weight") * F.col("words")) / F.sum("words")).alias("w")).collect()
-    sent.destroy()
-    weights = mixing.initial_weights().reshape(-1)
-    for row in rows:
-        weights[row["at"]] = row.w
-    return weights.reshape(mixing.initial_weights().shape)
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model, DataFrame]:
-    """The model of `docs`, and the counts of all its words (word, c). A null text is empty; a null language is one of its own."""
-    counts = written(gather(docs, text, lang))
-    words = counts.where("kind = 0")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    named = [r.lang for r in totals if r.lang is not None][:LANGUAGES]
-    number = F.lit(0)
-    for i, name in enumerate(named):
-        number = F.when(F.col("lang") == name, i + 1).otherwise(number)
-    words = words.select("word", number.cast("int").alias("language"), "n")
-    tokens = words.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("language", "n")).alias("by"))
-    tokens = written(tokens)
-    total, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    top = tokens.orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
-    by_language = np.zeros((len(top), len(named) + 1), dtype=np.float32)
-    for i, cells in enumerate(top["by"].to_pylist()):
-        for cell in cells:
-            by_language[i, cell["language"]] += cell["n"]
-    share = by_language.sum(axis=0) + 1.0
-    bets = np.ones((STATES, 2))
-    for row in counts.where("kind = 1").collect():
-        bets[row.word[0], row.word[1]] += row.n
-
-    tasks = max(1, round(distinct / TASK_WORDS))
-    spread = tokens.select("word", F.explode("by").alias("x")).select("word", "x.language", "x.n")
-    spread = spread.coalesce(tasks) if spread.rdd.getNumPartitions() > tasks else spread
-    slots = _slot_counts(spread)
-    weights = _mixing_weights(spread, slots) if total else mixing.initial_weights()
-    model = Model(
-        total, distinct, [None, *named], {w: i for i, w in enumerate(top["word"].to_pylist())}, top["c"].to_numpy().astype(np.int64),
-        np.log10((by_language + 0.05) / (share + 0.05 * max(1, len(top)))), np.log10(share / share.sum()), bets[:, 1] / bets.sum(axis=1), mixing.mixed_inputs(slots, weights),
-    )
-    return model, tokens.select("word", "c")
-
-
-class Scorer:
-    """Scores texts against a model; remembers common words' scores by language."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.names = model, list(model.common)
-        self.known = np.full((len(model.languages), len(self.names) + 1), np.nan)  # the last is of words that are not common
-        #: log10 of each common word's base probability
-        self.base = np.log10((model.counts + 1) / (model.total + model.distinct + 1))
-
-    def _words(self, pairs: list[tuple[int, bytes]]) -> np.ndarray:
-        """log10 probabilities of (language, word) pairs."""
-        out = np.empty(len(pairs))
-        for lo in range(0, len(pairs), TOGETHER):
-            part = pairs[lo : lo + TOGETHER]
-            out[lo : lo + len(part)] = mixing.log10_words([w for _, w in part], np.array([k for k, _ in part]), self.model.inputs)
-        return out
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = _body(raw.as_py())
+                tokens, learned = Tokens(_texts(body)), _learned(body)
+                for order, (codes, back) in enumerate(_asked(tokens, parts)):
+                    counts = np.bincount(back, learned[tokens.doc], minlength=len(codes)).astype("<u4")
+                    part = _part_of(codes, parts, order)
+                    cuts = np.flatnonzero(np.r_[True, np.diff(part) > 0, True])
+                    rows = [[], [], [], [], []]
+                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        sent = codes[lo:hi] if not order else (codes[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                        for column, x in zip(rows, (int(part[lo]), order, block, _pack(np.diff(sent, prepend=sent.dtype.type(0))), _pack(counts[lo:hi]))):
+                            column.append(x)
+                    yield batch_of(schema, rows)
+
+    answered = {"block": "bigint", "part": "int", "kind": "int", "body": "binary"}
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, order), rows in _grouped(batches):
+            kind = "<u4" if order else "<u8"
+            codes = [np.cumsum(_unpack(x, kind), dtype=kind) for _, x, _ in rows]
+            counts = np.concatenate([_unpack(x, "<u4") for _, _, x in rows])
+            ends = np.cumsum(list(map(len, codes)))
+            distinct, back = np.unique(np.concatenate(codes), return_inverse=True)
+            total = np.bincount(back, counts, minlength=len(distinct)).astype(np.int64)
+            if not order:
+                yield batch_of(answered, [[-1], [part], [order], [np.array([total.sum(), (total > 0).sum()], dtype="<i8").tobytes()]])
+            for (block, *_), lo, hi in zip(rows, [0, *ends[:-1].tolist()], ends.tolist()):
+                yield batch_of(answered, [[block], [part], [order], [_pack(total[back[lo:hi]].astype("<u8" if not order else "<u4"))]])
+
+    sent = blocks.select("block", "body").mapInArrow(ask, ddl(schema))
+    return written(sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(answer, ddl(answered)))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
+    """Rows (part, kind, block, codes, counts) that come sorted, by part and kind, one group at a time."""
+    name, held = None, []
+    for batch in batches:
+        for part, kind, block, codes, counts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if name is not None and (part, kind) != name:
+                yield name, held
+                held = []
+            name = (part, kind)
+            held.append((block, codes, counts))
+    if held:
+        yield name, held
 
-    def documents(self, texts: list[bytes | None]) -> list[tuple]:
-        """For each text: its words, the numbers of common words (else -1), language, and log10 probability."""
-        model, read, fresh, missing = self.model, [], {}, set()
-        for raw in texts:
-            words = words_of(raw)
-            common = np.fromiter(map(model.common.get, words, _NEVER), dtype=np.int64, count=len(words))
-            seen = np.unique(common[common >= 0])  # each word once: a table's bars shouldn't decide
-            language = int(np.argmax(model.language_share + model.by_language[seen].sum(axis=0)))
-            rare = [(language, words[k]) for k in np.flatnonzero(common < 0).tolist()]
-            fresh.update(dict.fromkeys(rare))
-            missing.update((language, k) for k in seen[np.isnan(self.known[language, seen])].tolist())
-            read.append((words, common, language, rare))
-        if missing:
-            at = sorted(missing)
-            self.known[tuple(np.array(at).T)] = self._words([(k, self.names[i]) for k, i in at])
-        fresh = dict(zip(fresh, self._words(list(fresh)).tolist()))
-        out = []
-        for words, common, language, rare in read:
-            each = self.known[language, common]
-            each[common < 0] = [fresh[x] for x in rare]
-            laid, won, state = matches(words)
-            score = float(model.language_share[language]) + match_log10(laid, won, state, model.start) + float(each[~won].sum())
-            out.append((words, common, language, score))
+
+@dataclass
+class Model:
+    """What tasks need beside a block's own counts: totals, the contexts' counts, the letters' counts. Of bounded size."""
+
+    total: int
+    distinct: int
+    texts: int
+    parts: int
+    contexts: np.ndarray
+    letters: np.ndarray
+    slot_bits: int
+
+
+class Decisions:
+    """The word decisions of a block: for each token the counts that bear on it, and the rows of all decisions."""
+
+    def __init__(self, tokens: Tokens, counts: list[np.ndarray], texts: int, left_out: int = 0) -> None:
+        """`left_out` of each count is the token's own."""
+        word, pair, triple = (c.astype(np.int64) for c in counts)
+        first = tokens.first
+        before_word, before_pair = np.r_[0, word[:-1]], np.r_[0, pair[:-1]]
+        before_word[first], before_pair[first] = texts, 0
+        self.word, self.pair, self.triple = (np.maximum(x - left_out, 0) for x in (word, pair, triple))
+        self.after_word, self.after_pair = (np.maximum(x - left_out, 0) for x in (before_word, before_pair))
+        self.laid, self.won, run = tokens.matches()
+        level = np.where(self.won, 4, np.where((self.triple > 0) & (self.after_pair > 0), 3, np.where((self.pair > 0) & (self.after_word > 0), 2, np.where(self.word > 0, 1, 0))))
+        one, two = np.r_[5, level[:-1]][: len(level)], np.r_[5, 5, level[:-2]][: len(level)]
+        one[first] = 5
+        two[first] = 5
+        two[np.minimum(first + 1, len(level) - 1)] = 5
+        history = one * 6 + two
+        bucket = lambda x: np.frexp(x.astype(np.float64))[1]
+        state, after_word, after_pair = np.minimum(bucket(run), 6), bucket(self.after_word), bucket(self.after_pair)
+        before = np.r_[_START, tokens.hash[:-1]]
+        before[first] = _START
+        before = (before >> np.uint64(48)).astype(np.int64)
+        missed = [~self.won, ~self.won & (level < 3), ~self.won & (level < 2)]
+        kinds = (
+            (MATCH, self.laid, self.won, (state, history * 8 + state, before)),
+            (TRIPLE, (self.after_pair > 0) & missed[0], level == 3, (after_pair, history, (after_pair * 8 + one) * 64 + after_word)),
+            (PAIR, (self.after_word > 0) & missed[1], level == 2, (after_word, history, (after_word * 8 + one) * 2 + (after_pair > 0))),
+            (WORD, missed[2], level == 1, (history, before, tokens.step.clip(0, 3) * 8 + one)),
+        )
+        rows = [np.flatnonzero(asked) for _, asked, _, _ in kinds]
+        self.token = np.concatenate(rows)
+        self.kind = np.repeat([k for k, *_ in kinds], list(map(len, rows)))
+        self.bit = np.concatenate([bit[at] for (_, _, bit, _), at in zip(kinds, rows)]).astype(np.float64)
+        contexts = [np.concatenate([c[j][at] for (*_, c), at in zip(kinds, rows)]) for j in range(3)]
+        self.contexts = np.stack([*contexts, np.zeros(len(self.token), dtype=np.int64)], axis=1)  # the last tells the kind alone
+
+    def slots(self) -> np.ndarray:
+        """(rows, 4) hashed contexts of each decision's predictors."""
+        return _slots(self.contexts, self.kind)
+
+    def chances(self, tokens: Tokens, contexts: np.ndarray) -> np.ndarray:
+        """(4, tokens) the mixed and refined chance of each kind's decision; zero where it isn't asked."""
+        order = np.lexsort((-self.kind, self.token))
+        token, kind, bit, own = self.token[order], self.kind[order], self.bit[order], self.contexts[order]
+        doc, slots = tokens.doc[token], self.slots()[order]
+        step = np.arange(len(doc)) - np.searchsorted(doc, np.arange(tokens.texts))[doc]
+        inputs = np.empty((len(doc), 4))
+        for j in range(4):
+            zero, one = contexts[slots[:, j]].T
+            start = np.clip((one + 0.4) / (zero + one + 0.8), 1e-5, 1 - 1e-5)
+            name = ((doc * 8 + kind) * 4 + j) * (1 << 22) + own[:, j]
+            inputs[:, j] = 0.3 * mixing.stretch(np.clip(mixing.adapted(name, bit, start), 1e-5, 1 - 1e-5))
+            if not j:
+                seen = np.minimum(np.frexp(zero + one)[1] // 4, 3)
+        p = mixing.mix(doc, step, kind * 4 + seen, inputs, bit, 16)
+        p = mixing.refined(doc, kind, np.clip(p, 1e-6, 1 - 1e-6), bit)
+        out = np.zeros((4, len(tokens.hash)))
+        # a token that a higher kind predicts has its lower ways too, at the kind's mean chance
+        for k, open_ in ((TRIPLE, self.after_pair > 0), (PAIR, self.after_word > 0), (WORD, np.ones(len(tokens.hash), dtype=bool))):
+            zero, one = contexts[_slots(np.zeros((1, 4), dtype=np.int64), np.array([k]))[0, 3]]
+            out[k, open_] = (one + 0.4) / (zero + one + 0.8)
+        out[kind, token] = p
         return out
 
 
-class _Never:
-    def __iter__(self):
-        while True:
-            yield -1
+def _slots(contexts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    named = (contexts.astype(np.uint64) * np.uint64(8) + kind[:, None].astype(np.uint64)) * np.uint64(4) + np.arange(4, dtype=np.uint64)
+    return (mixed(named) >> np.uint64(48)).astype(np.int64) % CONTEXTS
+
+
+def spelled(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
+    """log10 probabilities of the letters of the tokens `new` (ascending), each text's weights learning as it goes on."""
+    out, at = np.empty(len(new)), np.arange(len(new))
+    # a text is cut after every TOGETHER of its own new words, so that others beside it change nothing
+    first = np.searchsorted(tokens.doc[new], tokens.doc[new])
+    piece = (at - (at - first) % TOGETHER) // TOGETHER
+    cuts = np.flatnonzero(np.r_[True, np.diff(piece) > 0, True]) if len(new) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = new[lo:hi]
+        owner, bits, inputs = mixing.letter_inputs([tokens.word(i) for i in part.tolist()], model.letters, model.slot_bits)
+        doc = tokens.doc[part][owner]
+        step = np.arange(len(doc)) - np.searchsorted(doc, np.unique(doc))[np.unique(doc, return_inverse=True)[1]]
+        kind = np.zeros(len(doc), dtype=np.int64)
+        p = np.clip(mixing.mix(doc, step, kind, inputs, bits, 1), 1e-6, 1 - 1e-6)
+        p = mixing.refined(doc, kind, p, bits)
+        out[lo:hi] = np.bincount(owner, np.log10(np.where(bits > 0, p, 1 - p)), minlength=len(part))
+    return out
 
 
-_NEVER = _Never()
+def score_block(texts: list[bytes | None], answers: list[np.ndarray], model: Model) -> dict[str, np.ndarray]:
+    """Each text's n_tokens, n_known, base_score, score and bits_per_byte; `answers` has each order's counts by token."""
+    tokens = Tokens(texts)
+    found = Decisions(tokens, answers, model.texts)
+    match, triple, pair, word = found.chances(tokens, model.contexts)[[MATCH, TRIPLE, PAIR, WORD]]
+    base = (found.word + 1) / (model.total + model.distinct + 1)
+    chance = word * found.word / max(1, model.total)
+    chance = pair * found.pair / np.maximum(1, found.after_word) + (1 - pair) * chance
+    chance = triple * found.triple / np.maximum(1, found.after_pair) + (1 - triple) * chance
+    chance = match * found.won + (1 - match) * chance
+    log = np.log10(np.clip(chance, 1e-300, 1.0))
+    new = np.flatnonzero(found.word == 0)  # to be spelled, unless the bet is won
+    letters = spelled(tokens, new, model) + sum(np.log10(1 - x[new]) for x in (word, pair, triple, match))
+    log[new] = np.where(found.won[new], np.logaddexp(log[new] * np.log(10), letters * np.log(10)) / np.log(10), letters)
+    total = lambda x: np.bincount(tokens.doc, x, minlength=tokens.texts)
+    score = total(log)
+    return {
+        "n_tokens": total(np.ones(len(tokens.hash))).astype(np.int64), "n_known": total(found.word > 0).astype(np.int64),
+        "base_score": total(np.log10(base)), "score": score, "bits_per_byte": -score / np.log10(2) / (tokens.bytes + 1),
+    }
+
+
+def _by_block(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """(body, answers) of each block: its compressed rows and the parts' answers."""
+    own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "body")).alias("answers"))
+    return blocks.select("block", "body").join(own, "block", "left").select("body", "answers")
+
+
+def _read(batch: pa.RecordBatch, i: int, parts: int) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """A block's rows, and each order's counts by token."""
+    body = _body(batch.column(0)[i].as_py())
+    tokens = Tokens(_texts(body))
+    by: dict[int, list] = {0: [], 1: [], 2: []}
+    for x in batch.column(1)[i].as_py() or []:
+        by[x["kind"]].append((x["part"], x["body"]))
+    counts = []
+    for order, (_, back) in enumerate(_asked(tokens, parts)):
+        found = [_unpack(raw, "<u8" if not order else "<u4") for _, raw in sorted(by[order])]
+        counts.append(np.concatenate(found)[back] if found else np.zeros(0, dtype=np.int64))
+    return body, counts
+
+
+def _learn(joined: DataFrame, parts: int, texts: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the word decisions' contexts, over every training token as if it had not been counted, and of the letters
+    of the words that the training texts have once, which are most like new words. Whole numbers, so no order matters."""
+    schema = {"chunk": "int", "cells": "binary"}
+    slots = len(mixing.ORDERS) << slot_bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, letters = np.zeros((CONTEXTS, 2)), np.zeros((len(mixing.ORDERS), 1 << slot_bits, 2), dtype=np.float32)
+        for batch in batches:
+            for i in range(len(batch)):
+                body, counts = _read(batch, i, parts)
+                learned = _learned(body)
+                tokens = Tokens(_texts(body))
+                found = Decisions(tokens, counts, texts, left_out=1)
+                keep = learned[tokens.doc[found.token]]
+                cells = (found.slots()[keep] * 2 + found.bit[keep].astype(np.int64)[:, None]).reshape(-1)
+                contexts += np.bincount(cells, minlength=2 * CONTEXTS).reshape(-1, 2)
+                once = np.flatnonzero((counts[0] == 1) & learned[tokens.doc])
+                for lo in range(0, len(once), TOGETHER):
+                    mixing.count_letters([tokens.word(k) for k in once[lo : lo + TOGETHER].tolist()], letters, slot_bits)
+        for start, cells in ((0, contexts.astype(np.float32)), (1 << 20, letters)):
+            cells = cells.reshape(-1, 2)
+            for lo in range(0, len(cells), CHUNK):
+                if cells[lo : lo + CHUNK].any():
+                    yield batch_of(schema, [[start + lo // CHUNK], [_pack(cells[lo : lo + CHUNK])]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[chunk] = sums.get(chunk, 0.0) + _unpack(cells, "<f4").astype(np.float64)
+        for chunk, cells in sums.items():
+            yield batch_of(schema, [[chunk], [_pack(cells.astype(np.float32))]])
+
+    contexts, letters = np.zeros((CONTEXTS, 2), dtype=np.float32), np.zeros((slots, 2), dtype=np.float32)
+    for row in joined.mapInArrow(count, ddl(schema)).repartition("chunk").mapInArrow(add, ddl(schema)).toLocalIterator():
+        cells = _unpack(bytes(row.cells), "<f4").reshape(-1, 2)
+        lo, out = (row.chunk * CHUNK, contexts) if row.chunk < 1 << 20 else ((row.chunk - (1 << 20)) * CHUNK, letters)
+        out[lo : lo + len(cells)] = cells
+    return contexts, letters.reshape(len(mixing.ORDERS), -1, 2)
 
 
-def score_texts(docs: DataFrame, model: Model, tokens: DataFrame, text: str = "text") -> DataFrame:
-    """`docs`, without its text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
+def score_texts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+    """`docs`, without its text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, learned from the rows where `learn` holds.
 
-    Null and empty texts have the end alone. Where nothing was learned, every bit is even and base_score is 0. Repeated
-    rows each get their row; an empty table gives an empty one; columns of `docs` with the new names are replaced.
+    Null and empty texts have the end alone; a null `learn` is false. Where nothing was learned, every bit starts even and
+    base_score is 0 for each token. Repeated rows each get their row and count each; an empty table gives an empty one;
+    columns of `docs` with the new names are replaced. Texts of any length are read whole. Nothing depends on an order
+    among equals. Words are told apart by 64 bits of hash, pairs and triples by 32 bits within a part.
     """
-    fields = {"row": "bigint", "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double", "bits_per_byte": "double", "word": "binary", "times": "bigint"}
-    results = {"n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", text.lower()}
-    kept = [c for c in docs.columns if c.lower() not in results]
+    spark = docs.sparkSession
+    fields = {"n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double", "bits_per_byte": "double"}
+    kept = [c for c in docs.columns if c.lower() not in {*fields, text.lower()}]
     inner = [f"__{i}" for i in range(len(kept))]
-    picked = docs.select(*[F.col(quoted(c)).alias(i) for c, i in zip(kept, inner)], F.col(quoted(text)).alias("__text"), F.spark_partition_id().cast("bigint").alias("__part"))
-    schema = StructType()
-    for field in picked.schema.fields[: len(kept)]:
-        schema = schema.add(field.name, field.dataType, True)  # rows of rare words have nulls there
+    rows = docs.select(*[F.col(quoted(c)).alias(i) for c, i in zip(kept, inner)], F.col(quoted(text)).alias("__body"), learn.alias("__taught"))
+    blocks, size = _blocks(rows, "__body", F.col("__taught"))
+    parts = max(4, -(-size // PART))
+    answers = _answers(blocks, parts)
+    total = distinct = 0
+    for row in answers.where("block < 0").toLocalIterator():
+        n, v = np.frombuffer(bytes(row.body), dtype="<i8").tolist()
+        total, distinct = total + n, distinct + v
+    taught = rows.where("__taught").count()
+    slot_bits = int(np.clip(np.ceil(np.log2(distinct + 1)) - 4, *SLOT_BITS))
+    joined = _by_block(blocks, answers)
+    contexts, letters = _learn(joined, parts, taught, slot_bits)
+    sent = spark.sparkContext.broadcast(Model(total, distinct, taught, parts, contexts, letters, slot_bits))  # at most 5 * 2^20 letter slots
+
+    schema = rows.select(*inner).schema
     for name, kind in fields.items():
-        schema = schema.add(name, from_arrow_type(ARROW[kind]))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    width, names = len(kept), [*inner, *fields]
+        schema = schema.add(f"__new_{name}", from_arrow_type(ARROW[kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, done = sent.value.scorer, 0
-        for whole in batches:
-            for lo in range(0, len(whole), 200):
-                batch = whole.slice(lo, 200)
-                part = batch.column(width + 1)[0].as_py() << 40
-                cells, rare = [], []
-                for i, (words, common, _, score) in enumerate(scorer.documents(as_bytes(batch.column(width)))):
-                    seen = common[common >= 0]
-                    size = sum(map(len, words)) + len(words)
-                    cells.append((part + done, len(words), len(seen), float(scorer.base[seen].sum()), score, -score / np.log10(2) / size, None, None))
-                    if len(seen) < len(words):
-                        left = Counter(words[k] for k in np.flatnonzero(common < 0).tolist())
-                        rare.append((part + done, left))
-                    done += 1
-                columns = [pa.array(x, ARROW[k]) for x, k in zip(zip(*cells), fields.values())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=names)
-                rows = [r for r, x in rare for _ in x]
-                if rows:
-                    none = [pa.nulls(len(rows), batch.column(c).type) for c in range(width)]
-                    blank = [pa.nulls(len(rows), ARROW[k]) for k in list(fields.values())[1:6]]
-                    filled = [pa.array([w for _, x in rare for w in x], pa.binary()), pa.array([n for _, x in rare for n in x.values()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*none, pa.array(rows, pa.int64()), *blank, *filled], names=names)
-
-    # one evaluation makes the numbers of rows, and is written, so both halves agree on them
-    both = written(picked.mapInArrow(run, schema))
-    whole = both.where("word is null").drop("word", "times")
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / (model.total + model.distinct + 1))
-    rare = both.where("word is not null").select("row", "word", "times").join(tokens, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * base).alias("rest"))
-    out = whole.join(rare, "row", "left")
-    return out.select(
-        *[F.col(i).alias(c) for c, i in zip(kept, inner)], "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
-    )
+        model = sent.value
+        for batch in batches:
+            for i in range(len(batch)):
+                body, counts = _read(batch, i, model.parts)
+                scored = score_block(_texts(body), counts, model)
+                scored["train_tokens"] = np.full(len(body), model.total)
+                yield pa.RecordBatch.from_arrays([*body.columns[: len(inner)], *(pa.array(scored[x], ARROW[k]) for x, k in fields.items())], names=schema.names)
+
+    return joined.mapInArrow(run, schema).toDF(*kept, *fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, tokens = train(docs.where(fold("doc_id", 7) != 2))
-    return score_texts(docs.select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out")), model, tokens)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return score_texts(docs, ~F.col("held_out"))

@@ -1,87 +1,118 @@
-"""Context mixing over the bits of words: hashed contexts, counts, gated logistic weights.
+"""Logistic context mixing of binary decisions: adaptive counts, gated weights that learn online, and a last refinement.
 
-A word is its bytes and an end byte, each coded as eight binary decisions from the highest bit. Every predictor hashes a
-context (the word's last bytes, or all of it so far; some with the language) with the bits already known to a slot, which
-holds how often a zero and a one came next. A slot's prediction enters as its log odds, times a weight that is gated by how
-much the slot has seen; the sum is the log odds of a one.
+Rows are decisions, each of a sequence (a document) and in its order there. Everything that adapts looks at earlier rows
+of the same sequence only, so a row's probability could be computed before its bit is known.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Each predictor's context: how many bytes (0: all of the word), whether the language too; and the bits of a slot number.
-PREDICTORS = ((1, True, 17), (2, True, 20), (3, False, 20), (4, False, 20), (0, False, 21), (0, True, 21))
-SLOT_BITS = tuple(bits for _, _, bits in PREDICTORS)
-GATES = 24
-PRIOR = 0.3
-END = 10
+#: Decisions of a sequence that share weights before these learn again: so many at first, twice as many each time, up to a bound.
+FIRST, MOST = 32, 4096
+RATE = 0.02
+#: How many observations the start of a count is worth.
+WORTH = 8.0
+LIMIT = 12.0
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_BACK = pow(_BASE, -1, 1 << 64)
+
+def stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p) - np.log1p(-p)
+
+
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -LIMIT, LIMIT)))
+
+
+def earlier(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: how many earlier rows have its key, and how many of their bits are one."""
+    order = np.argsort(keys, kind="stable")
+    same = np.r_[False, keys[order[1:]] == keys[order[:-1]]] if len(keys) else np.empty(0, dtype=bool)
+    at = np.arange(len(keys))
+    first = np.maximum.accumulate(np.where(same, 0, at))
+    before = np.cumsum(bits[order], dtype=np.float64) - bits[order]
+    seen, ones = np.empty(len(keys)), np.empty(len(keys))
+    seen[order], ones[order] = at - first, before - before[first]
+    return seen, ones
+
+
+def adapted(keys: np.ndarray, bits: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Probabilities of a one: `start`, worth WORTH observations, and what the sequence has shown of the key so far."""
+    seen, ones = earlier(keys, bits)
+    return (start * WORTH + ones) / (WORTH + seen)
+
+
+def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.ndarray, bits: np.ndarray, gates: int) -> np.ndarray:
+    """Probabilities of a one from the weighted sum of `inputs` (rows, predictors; log odds).
+
+    Each sequence has weights for each gate, one at first; after each round of its decisions they move along the gradient.
+    """
+    rounds = np.where(step < FIRST * 127, np.floor(np.log2(step / FIRST + 1)), 7 + (step - FIRST * 127) // MOST).astype(np.int64)
+    names, sequence = np.unique(sequence, return_inverse=True)
+    code = sequence * gates + gate
+    weights = np.ones((len(names) * gates, inputs.shape[1]))
+    order = np.argsort(rounds, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(rounds[order]) > 0, True]) if len(order) else [0]
+    out = np.empty(len(bits))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        rows = order[lo:hi]
+        at, x = code[rows], inputs[rows]
+        out[rows] = p = squash((weights[at] * x).sum(axis=1))
+        held, back = np.unique(at, return_inverse=True)
+        error = bits[rows] - p
+        for j in range(x.shape[1]):
+            moved = RATE * np.bincount(back, error * x[:, j], minlength=len(held))
+            weights[held, j] += np.clip(moved, -0.3, 0.3)
+    return out
 
 
-def offsets() -> np.ndarray:
-    """Where each predictor's slots begin in one array of them all."""
-    return np.r_[0, np.cumsum([1 << b for b in SLOT_BITS])]
+def refined(sequence: np.ndarray, kind: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """`p` drawn half way towards what the sequence has shown so far where the mixture said about the same."""
+    bucket = np.clip(np.rint(stretch(p) * 2), -24, 24).astype(np.int64) + 24
+    seen = adapted((sequence * 64 + kind) * 64 + bucket, bits, p)
+    return squash((stretch(p) + stretch(np.clip(seen, 1e-6, 1 - 1e-6))) / 2)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+#: Letter predictors: how many letters before (0: all of the word so far).
+ORDERS = (1, 2, 3, 4, 0)
+PRIOR = 0.3
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _SPREAD
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-class Decisions:
-    """The binary decisions of some words: `bits` (bytes, 8), the word of each byte, and each predictor's slots."""
+class Letters:
+    """The binary decisions of some spelled words: `bits` (letters, 8), the word of each letter, and predictors' slots.
+
+    A word is its bytes and an end byte, each coded as eight decisions from the highest bit.
+    """
 
-    def __init__(self, words: list[bytes], languages: np.ndarray) -> None:
+    def __init__(self, words: list[bytes]) -> None:
         body = np.frombuffer(b"\n".join(words) + b"\n" if words else b"", dtype=np.uint8)
-        ends = body == END
-        self.words = len(words)
+        ends = body == 10
         self.owner = np.cumsum(ends) - ends
         starts = np.r_[0, np.flatnonzero(ends)[:-1] + 1] if words else np.empty(0, dtype=np.int64)
+        self.place = np.arange(len(body)) - starts[self.owner]
         self.bits = np.unpackbits(body.reshape(-1, 1), axis=1)
-        self.node = _NODES[body]
-        self.letters = body.astype(np.uint64) + np.uint64(1)
-        self.first = starts[self.owner]
-        self.place = np.arange(len(body)) - self.first
-        self.language = languages.astype(np.uint64)[self.owner] + np.uint64(1)
-        self.back: list[np.ndarray] = []
-
-    def _letter(self, k: int) -> np.ndarray:
-        """The letter k before each; the place before the first letter holds a mark, those before it nothing."""
-        while len(self.back) < k:
-            n = len(self.back) + 1
-            back = np.zeros_like(self.letters)
-            back[n:] = self.letters[:-n]
-            back[self.place < n] = 0
-            back[self.place == n - 1] = 300
-            self.back.append(back)
-        return self.back[k - 1]
-
-    def slots(self, predictor: int) -> np.ndarray:
-        """(bytes, 8) slot numbers of one predictor, counted from its first."""
-        order, by_language, bits = PREDICTORS[predictor]
-        n = len(self.letters)
-        if not order:
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.letters * _powers(_BACK, n)[:n], out=sums[1:])
-            value = (sums[:n] - sums[self.first]) * _powers(_BASE, n)[self.first] + self.place.astype(np.uint64)
-        else:
-            value = np.zeros(n, dtype=np.uint64)
-            for k in range(1, order + 1):
-                value = value * np.uint64(0x94D049BB133111EB) + self._letter(k)
-        if by_language:
-            value = value * np.uint64(31) + self.language
-        return ((_mixed(value)[:, None] + self.node) >> np.uint64(64 - bits)).view(np.int64)
+        self.letters, self.node = body.astype(np.uint64) + np.uint64(1), _NODES[body]
+
+    def slots(self, order: int, slot_bits: int) -> np.ndarray:
+        """(letters, 8) slot numbers of one predictor."""
+        value = np.full(len(self.letters), order + 1, dtype=np.uint64)
+        for k in range(1, (order or int(self.place.max(initial=-1)) + 1) + 1):
+            rows = np.flatnonzero(self.place >= k - 1) if not order else slice(None)
+            back = np.zeros(len(self.letters), dtype=np.uint64)
+            back[k:] = self.letters[:-k]
+            back[self.place < k] = 0
+            back[self.place == k - 1] = 300
+            value[rows] = value[rows] * np.uint64(0x94D049BB133111EB) + back[rows]
+            if not order and k >= 12:  # what lies further back tells no more
+                break
+        return ((mixed(value)[:, None] + self.node) >> np.uint64(64 - slot_bits)).astype(np.int64)
 
 
 def _nodes() -> np.ndarray:
@@ -96,75 +127,20 @@ def _nodes() -> np.ndarray:
 _NODES = _nodes()
 
 
-def count_bits(words: list[bytes], languages: np.ndarray, times: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """(slots, 2) float64: how often a zero and a one came in each slot, each word `times` over, added to `out` in place."""
-    found, at = Decisions(words, languages), offsets()
-    out = np.zeros((at[-1], 2)) if out is None else out
-    cells = out.reshape(-1)
-    weights = np.repeat(times.astype(np.float64)[found.owner], 8)
-    bits = found.bits.astype(np.int64)
-    for i in range(len(SLOT_BITS)):
-        np.add.at(cells, ((found.slots(i) + at[i]) * 2 + bits).reshape(-1), weights)
-    return out
-
-
-def gate(seen: np.ndarray) -> np.ndarray:
-    """0 for nothing seen, then one gate for each power of two."""
-    return np.minimum(np.frexp(seen)[1], GATES - 1)
-
-
-def initial_weights() -> np.ndarray:
-    """A start near what large corpora lead to, so that a small one needs few steps."""
-    gates = np.arange(GATES)
-    short, long, known = 0.15 + 0.45 / (1 + gates / 6), 0.12 + 0.3 / (1 + gates / 8), 0.1 + 0.015 * gates
-    return np.stack([short, long, long, long, np.full(GATES, 0.12), known])
-
-
-def learn_weights(words: list[bytes], languages: np.ndarray, times: np.ndarray, counts: np.ndarray, weights: np.ndarray, block: int = 1024, rate: float = 0.5) -> np.ndarray:
-    """`weights` (predictors, GATES) after an online pass over `words`: a damped Newton step for each gate after each block.
-
-    Each word is predicted as if one of its occurrences had not been counted, so words seen once teach what is new.
-    """
-    weights, at = weights.astype(np.float64).copy(), offsets()
-    pairs = np.ascontiguousarray(counts, dtype=np.float32).view(np.complex64).reshape(-1)  # a slot's two counts in one element
-    top = np.full(weights.shape, 1e-3)
-    for lo in range(0, len(words), block):
-        part = Decisions(words[lo : lo + block], languages[lo : lo + block])
-        bit = part.bits.reshape(-1).astype(np.float32)
-        mass = np.repeat(times[lo : lo + block].astype(np.float32)[part.owner] ** np.float32(0.75), 8)
-        inputs, gates, total = [], [], np.zeros(len(bit), dtype=np.float32)
-        for i in range(len(SLOT_BITS)):
-            seen = pairs[at[i] : at[i + 1]][part.slots(i).reshape(-1)]
-            zero, one = np.maximum(seen.real - (1 - bit), 0), np.maximum(seen.imag - bit, 0)
-            inputs.append(np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))))
-            gates.append(gate(zero + one))
-            total += weights[i].astype(np.float32)[gates[-1]] * inputs[-1]
-        p = 1 / (1 + np.exp(-np.clip(total, -16, 16)))
-        error, curve = (bit - p) * mass, np.maximum(p * (1 - p), np.float32(1e-4)) * mass
-        for i, (x, g) in enumerate(zip(inputs, gates)):
-            up = np.bincount(g, error * x, minlength=GATES)
-            bend = np.bincount(g, curve * x * x, minlength=GATES)
-            top[i] = 0.9 * top[i] + bend
-            weights[i] += np.clip(rate / len(SLOT_BITS) * up / (top[i] + 1e-3), -0.05, 0.05)
-    return weights
-
-
-def mixed_inputs(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each slot's weighted log odds, all that scoring needs of it."""
-    at, out = offsets(), np.empty(len(counts), dtype=np.float32)
-    for i in range(len(SLOT_BITS)):
-        zero, one = counts[at[i] : at[i + 1]].T
-        out[at[i] : at[i + 1]] = weights[i][gate(zero + one)] * np.log((one + PRIOR) / (zero + PRIOR))
-    return out
+def count_letters(words: list[bytes], out: np.ndarray, slot_bits: int) -> None:
+    """Adds to `out` (predictors, slots, 2) how often a zero and a one came in each slot."""
+    read = Letters(words)
+    for i, order in enumerate(ORDERS):
+        np.add.at(out[i].reshape(-1), (read.slots(order, slot_bits) * 2 + read.bits).reshape(-1), out.dtype.type(1))
 
 
-def log10_words(words: list[bytes], languages: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """log10 of each word's probability, its end included."""
-    part, at = Decisions(words, languages), offsets()
-    total = np.zeros(part.bits.shape, dtype=np.float32)
-    for i in range(len(SLOT_BITS)):
-        total += inputs[at[i] : at[i + 1]][part.slots(i)]
-    np.clip(total, -16, 16, out=total)
-    total *= 1 - 2 * part.bits.astype(np.float32)
-    cost = np.log((1 + np.exp(total).astype(np.float64)).prod(axis=1))  # a byte's product is at most e to the 128
-    return -np.bincount(part.owner, cost, minlength=part.words) / np.log(10)
+def letter_inputs(words: list[bytes], counts: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the words: the word, the bit, and each predictor's log odds, weighed by how much its slot has seen."""
+    read = Letters(words)
+    inputs = []
+    for i, order in enumerate(ORDERS):
+        zero, one = np.moveaxis(counts[i][read.slots(order, slot_bits).reshape(-1)], 1, 0)
+        gate = np.frexp(zero + one)[1]
+        weight = 0.15 + 0.45 / (1 + gate / 6) if order == 1 else 0.12 + 0.3 / (1 + gate / 8)
+        inputs.append(weight * np.log((one + PRIOR) / (zero + PRIOR)))
+    return np.repeat(read.owner, 8), read.bits.reshape(-1).astype(np.float64), np.stack(inputs, axis=1).astype(np.float64) if words else np.empty((0, len(ORDERS)))
