@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, quoted, table
+from vecstead.llm.common import append_columns, as_bytes, durable, quoted, table, written
 
 WINDOW = 10
-#: Benchmark text that one broadcast carries; more is scanned in further passes, so any size works.
-SHARD_BYTES = 64_000_000
+#: Benchmark text that one broadcast carries (its index takes about ten times that in a worker); more takes further passes.
+SHARD_BYTES = 16_000_000
 
 _SPACED = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -23,40 +24,88 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(_SPACED).split()
 
 
+class Shard:
+    """Some items as they travel; the index is built once in each Python worker."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+        self.items, self.window = items, window
+
+    @cached_property
+    def index(self) -> Windows:
+        return Windows(self.items, self.window)
+
+
 class Windows:
-    """The windows of some items: word numbers, and for each window length a sorted array of hashes with its items."""
+    """The distinct windows of some items, for each window length: sorted hashes, a place of each, and its items.
+
+    Windows are not copied: a place points into the items' word numbers, which stand one after the other.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.words: dict[bytes, int] = {}
-        found: dict[int, dict[bytes, set[int]]] = {}
         self.items = [item for item, _ in items]
-        for number, (_, raw) in enumerate(items):
-            ids = np.array([self.words.setdefault(w, len(self.words)) for w in words_of(raw)], dtype=np.int32)
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(number)
-        self.found = {size: {k: tuple(sorted(v)) for k, v in x.items()} for size, x in found.items()}
-        self.hashes = {size: np.unique(np.concatenate([rolled(np.frombuffer(k, dtype=np.int32), size) for k in x])) for size, x in self.found.items()}
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and the numbers of the items that occur. Hash hits are verified word by word."""
+        parts = []
+        for _, raw in items:
+            found = words_of(raw)
+            parts.append(np.fromiter((self.words.setdefault(w, len(self.words)) for w in found), dtype=np.int32, count=len(found)))
+        self.ids = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        lengths = np.array([len(x) for x in parts], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        sizes = np.minimum(lengths, window)
+        self.found = {int(size): self._distinct(int(size), starts[sizes == size], lengths[sizes == size], np.flatnonzero(sizes == size)) for size in np.unique(sizes[sizes > 0])}
+
+    def _distinct(self, size: int, starts: np.ndarray, lengths: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hashes, places, and where each window's items begin in the last array. Equal hashes of other words stay apart."""
+        times = lengths - size + 1
+        first = np.cumsum(times) - times
+        at = np.repeat(starts - first, times) + np.arange(times.sum())
+        owner = np.repeat(items.astype(np.int32), times)
+        hashes = self.rolled(self.ids, at, size)
+        order = np.lexsort((owner, hashes))
+        hashes, at, owner = hashes[order], at[order], owner[order]
+        del order
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        alike = np.flatnonzero(~new)
+        for k in range(size):
+            new[alike] |= self.ids[at[alike] + k] != self.ids[at[alike - 1] + k]
+        window_of = np.cumsum(new) - 1
+        kept = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]])  # an item once for each window
+        begins = np.searchsorted(window_of[kept], np.arange(window_of[-1] + 2))
+        return hashes[new], at[new], begins, owner[kept]
+
+    @staticmethod
+    def rolled(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        value = np.zeros(len(at), dtype=np.uint64)
+        for k in range(size):
+            value = value * _MIX + (ids[at + k] + 1).astype(np.uint64)
+        return value
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words are hit, and the ids of the items that occur. Hash hits are verified word by word."""
         hit, items = np.zeros(len(words), dtype=bool), set()
         ids = np.fromiter(map(self.words.get, words, _NEVER), dtype=np.int32, count=len(words))
         known = np.r_[0, np.cumsum(ids >= 0)]
-        for size, hashes in self.hashes.items():
+        for size, (hashes, places, begins, owner) in self.found.items():
             at = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else ()
             if not len(at):
                 continue
-            value = np.zeros(len(at), dtype=np.uint64)
-            for k in range(size):
-                value = value * _MIX + (ids[at + k] + 1).astype(np.uint64)
-            spot = np.searchsorted(hashes, value)
-            spot[spot == len(hashes)] = 0
-            for i in at[hashes[spot] == value].tolist():
-                if numbers := self.found[size].get(ids[i : i + size].tobytes()):
-                    hit[i : i + size] = True
-                    items.update(numbers)
-        return hit, items
+            value = self.rolled(ids, at, size)
+            low = np.searchsorted(hashes, value)
+            some = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == value)
+            at, low, high = at[some], low[some], np.searchsorted(hashes, value[some], side="right")
+            seen = np.zeros(0, dtype=np.int64)
+            for step in range(int((high - low).max()) if len(at) else 0):  # over 1 only where hashes collide
+                here = np.flatnonzero(low + step < high)
+                window = low[here] + step
+                same = np.ones(len(here), dtype=bool)
+                for k in range(size):
+                    same &= self.ids[places[window] + k] == ids[at[here] + k]
+                for k in range(size):
+                    hit[at[here[same]] + k] = True
+                seen = np.union1d(seen, window[same])
+            for x in seen.tolist():
+                items.update(owner[begins[x] : begins[x + 1]].tolist())
+        return hit, {self.items[x] for x in items}
 
 
 class _Never:
@@ -70,52 +119,49 @@ class _Never:
 _NEVER = _Never()
 
 
-def rolled(ids: np.ndarray, size: int) -> np.ndarray:
-    value = np.zeros(len(ids) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        value = value * _MIX + (ids[k : len(ids) - size + 1 + k] + 1).astype(np.uint64)
-    return value
-
+def _sharded(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
+    """(item, body, shard) and the shards that have items: dealt by hash, so that a shard has about SHARD_BYTES at most, or one item."""
+    rows = benchmark.select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary").alias("body"))
+    rows = durable(rows.withColumn("size", F.length("body").cast("bigint")))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // SHARD_BYTES))
+    while True:
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(parts)))
+        sizes = dealt.groupBy("shard").agg(F.sum("size").alias("size"), F.count_distinct("item", "body").alias("n")).collect()
+        if all(r["size"] <= 1.5 * SHARD_BYTES or r.n == 1 for r in sizes):
+            return dealt.select("item", "body", "shard").distinct(), sorted(r.shard for r in sizes)
+        parts *= 2
 
-def _shards(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, bytes]]]:
-    """The items in shards of at most SHARD_BYTES (or one item), read one by one."""
-    rows = benchmark.select(F.col(quoted(item_id)).cast("string"), F.col(quoted(text)))
-    shards, size = [[]], 0
-    for item, body in rows.toLocalIterator():
-        raw = (body or "").encode()
-        if shards[-1] and size + len(raw) > SHARD_BYTES:
-            shards.append([])
-            size = 0
-        shards[-1].append((item or "", raw))
-        size += len(raw)
-    return shards
 
-
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_words: bool = False) -> DataFrame:
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, spans (flat array: first word and word after each hit run) and items (array of item ids as strings, sorted).
 
     A window is `window` consecutive words of an item; a shorter item, unless empty, is one window. Null and wordless
     texts have no words, and null or wordless items no windows; a null item id counts as the empty string, and items that
     share an id count once. Repeated rows each get their row; empty tables give no hits. Columns of `docs` with the
-    output's names are replaced. The benchmark is broadcast in shards of SHARD_BYTES, with a pass over the documents for
-    each, so a large benchmark costs passes and never memory.
+    output's names are replaced. Texts of any length are scanned whole.
+
+    The benchmark is broadcast in shards of about SHARD_BYTES. Each is fetched when its pass over the documents begins, and
+    the passes' results are written between them, so a large benchmark costs passes and not memory.
     """
     spark = docs.sparkSession
     fields = {"n_words": "bigint", "spans": "array<bigint>", "items": "array<string>"}
-    for number, shard in enumerate(_shards(benchmark, item_id, item_text)):
-        sent = spark.sparkContext.broadcast(shard)
+    dealt, shards = _sharded(benchmark, item_id, item_text)
+    for number, shard in enumerate(shards or [0]):
+        items = [(r["item"], bytes(r.body)) for r in dealt.where(F.col("shard") == shard).orderBy("item", "body").toLocalIterator()]
+        sent = spark.sparkContext.broadcast(Shard(items, window))
+        del items
         before = ["spans", "items"] if number else []
 
         def make(sent=sent) -> Callable:
-            windows = Windows(sent.value, window)
+            windows = sent.value.index
 
             def compute(texts, *earlier):
                 earlier = [x.to_pylist() for x in earlier]
                 out = []
                 for i, raw in enumerate(as_bytes(texts)):
                     words = words_of(raw)
-                    hit, items = windows.scan(words)
-                    names = {windows.items[x] for x in items}
+                    hit, names = windows.scan(words)
                     if earlier:
                         for a, b in zip(earlier[0][i][::2], earlier[0][i][1::2]):
                             hit[a:b] = True
@@ -125,7 +171,11 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
             return compute
 
-        docs = append_columns(docs.withColumnsRenamed({"spans": "__spans", "items": "__items"}) if number else docs, [text, *(f"__{x}" for x in before)], fields, make, drop=[f"__{x}" for x in before])
+        if number:
+            docs = written(docs).withColumnsRenamed({"spans": "__spans", "items": "__items"})
+            last.unpersist()
+        docs = append_columns(docs, [text, *(f"__{x}" for x in before)], fields, make, drop=[f"__{x}" for x in before])
+        last = sent
     return docs
 
 
