@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
+#: Rows that are computed at once in a task.
+AT_ONCE = 1000
 ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -49,6 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     if set_ := spark.conf.get("spark.checkpoint.dir", None):
         return set_.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -103,10 +107,13 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            made = compute(*(batch.column(i) for i in at))
-            made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
+        for whole in batches:
+            for lo in range(0, len(whole), AT_ONCE):
+                batch = whole.slice(lo, AT_ONCE)
+                made = compute(*(batch.column(i) for i in at))
+                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
+        pa.default_memory_pool().release_unused()
 
     return picked.mapInArrow(run, schema)
 

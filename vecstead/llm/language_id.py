@@ -21,8 +21,9 @@ DIMENSIONS = 1024
 SEED = 20
 #: Bound on learned languages, checked: above the number of languages that have a code, and 80 MB of prototypes.
 MAX_LANGUAGES = 20_000
-#: Trigram vectors that a Python worker remembers (64 MB), vectors that are added at once, languages that a task holds.
-REMEMBERED, TOGETHER, HELD = 1 << 16, 1024, 2048
+#: Trigram vectors that a Python worker remembers (40 MB), places to look them up, vectors that are added at once, languages
+#: that a task holds.
+REMEMBERED, PLACES, TOGETHER, HELD = 40_000, 1 << 20, 1024, 2048
 UNKNOWN = "und"
 
 
@@ -57,8 +58,10 @@ class Profiles:
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED, remembered: int = REMEMBERED) -> None:
         self.dimensions, self.seed = dimensions, seed
-        self.keys = np.full(remembered, -1, dtype=np.int64)
-        self.vectors = np.empty((remembered, dimensions), dtype=np.int8)
+        self.keys, self.row = np.full(PLACES, -1, dtype=np.int64), np.zeros(PLACES, dtype=np.int32)
+        self.vectors, self.used = np.empty((remembered, dimensions), dtype=np.int8), 0
+        # rows that are added at once; memory that is used again costs much less than new
+        self.rows, self.wide = np.empty((TOGETHER, dimensions), dtype=np.int8), np.empty((TOGETHER, dimensions), dtype=np.float32)
 
     def fresh(self, codes: np.ndarray) -> np.ndarray:
         """Binding +-1 by multiplication is binding their bits by exclusive or."""
@@ -67,22 +70,31 @@ class Profiles:
         return 1 - 2 * bound.astype(np.int8)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """The int8 vectors of distinct trigrams."""
-        slots = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % len(self.keys)
-        out = self.vectors[slots]
-        missing = np.flatnonzero(self.keys[slots] != codes)
+        """The int8 vectors of at most TOGETHER distinct trigrams; valid until the next call."""
+        places = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PLACES
+        out = np.take(self.vectors, self.row[places], axis=0, out=self.rows[: len(codes)], mode="clip")
+        missing = np.flatnonzero(self.keys[places] != codes)
         if len(missing):
             out[missing] = self.fresh(codes[missing])
-            slot, first = np.unique(slots[missing], return_index=True)
-            self.keys[slot], self.vectors[slot] = codes[missing[first]], out[missing[first]]
+            # a free place goes to the first that asks for it; what finds none is made again each time
+            place, first = np.unique(places[missing], return_index=True)
+            free = np.flatnonzero(self.keys[place] < 0)[: len(self.vectors) - self.used]
+            place, first, rows = place[free], first[free], np.arange(self.used, self.used + len(free))
+            self.keys[place], self.row[place], self.vectors[rows] = codes[missing[first]], rows, out[missing[first]]
+            self.used += len(free)
         return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The exact sum of the vectors of distinct trigrams by their counts."""
-        exact = np.float32 if counts.sum() < 1 << 24 else np.float64
         total = np.zeros(self.dimensions)
+        exact = counts.sum() < 1 << 24  # then every sum is a whole number that a float32 holds
         for lo in range(0, len(codes), TOGETHER):
-            total += counts[lo : lo + TOGETHER].astype(exact) @ self.of(codes[lo : lo + TOGETHER]).astype(exact)
+            rows = self.of(codes[lo : lo + TOGETHER])
+            if exact:
+                np.copyto(self.wide[: len(rows)], rows)
+                total += counts[lo : lo + TOGETHER].astype(np.float32) @ self.wide[: len(rows)]
+            else:
+                total += counts[lo : lo + TOGETHER].astype(np.float64) @ rows.astype(np.float64)
         return total
 
 

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import ddl, durable, quoted, table
+from vecstead.llm.common import AT_ONCE, ddl, durable, quoted, table
 
 LENGTH = 2048
 END = np.array([1], dtype="<u4").tobytes()
 #: About so many pieces are packed together; the number of groups follows the number of pieces.
 GROUP = 8192
-#: Words whose ids a Python worker remembers, about 60 MB.
-MEMORY = 300_000
+#: Words whose ids a Python worker remembers, about 50 MB.
+MEMORY = 250_000
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -82,8 +82,8 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, done, size = encoder(vocabulary), 0, 4 * length
-        for batch in batches:
-            part = batch.column(2)[0].as_py() if len(batch) else 0
+        for batch in (x.slice(lo, AT_ONCE) for x in batches for lo in range(0, len(x), AT_ONCE)):
+            part = batch.column(2)[0].as_py()
             owner, cells = [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 ids = encode(body or "") + END
