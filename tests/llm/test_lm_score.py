@@ -132,7 +132,7 @@ def test_chances_of_all_texts_sum_to_at_most_one():
     begin = b"a b a "
     texts = [begin + w for w in inner]
     answers = [np.array([c[k] for k in keys.tolist()]) for c, keys in zip(counts, lm_score.Tokens(texts).keys())]
-    scores = lm_score.score_block(texts, answers, model)["score"]
+    scores = lm_score.score_block(lm_score.Tokens(texts), answers, model)["score"]
     assert 0 < (10.0**scores).sum() < 1
 
 

@@ -19,6 +19,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,11 @@ from vecstead.llm.mixing import mixed
 
 #: Bytes of text that make a block (or one text), that are hashed at once, and that make a part of the keys.
 BLOCK, AT_ONCE, PART = 4_000_000, 1_000_000, 12_000_000
-#: Hashed contexts of the word decisions. Bits of a letter predictor's slots, least and most; between them they follow the new words.
-CONTEXTS = 1 << 16
+#: Hashed contexts of the word decisions, and after them one for each kind alone. Bits of a letter predictor's slots, least and most; between them they follow the new words.
+CONTEXTS, ALONE = (1 << 16) + 4, (1 << 16) + np.arange(4)
 SLOT_BITS = (16, 20)
-#: Slots of a row when letter counts are added up, and words that are spelled at once.
-CHUNK, TOGETHER = 1 << 15, 4_096
+#: Slots of a row when letter counts are added up, and words that are spelled and counted at once.
+CHUNK, TOGETHER, COUNTED = 1 << 15, 4_096, 20_000
 
 MATCH, TRIPLE, PAIR, WORD = 3, 2, 1, 0
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -266,6 +267,11 @@ class Model:
     letters: np.ndarray
     slot_bits: int
 
+    @cached_property
+    def odds(self) -> np.ndarray:
+        """What the letters' counts come to; made once in each Python worker."""
+        return mixing.letter_table(self.letters)
+
 
 class Decisions:
     """The word decisions of a block: for each token the counts that bear on it, and the rows of all decisions."""
@@ -301,12 +307,14 @@ class Decisions:
         self.token = np.concatenate(rows)
         self.kind = np.repeat([k for k, *_ in kinds], list(map(len, rows)))
         self.bit = np.concatenate([bit[at] for (_, _, bit, _), at in zip(kinds, rows)]).astype(np.float64)
-        contexts = [np.concatenate([c[j][at] for (*_, c), at in zip(kinds, rows)]) for j in range(3)]
-        self.contexts = np.stack([*contexts, np.zeros(len(self.token), dtype=np.int64)], axis=1)  # the last tells the kind alone
+        self.contexts = np.stack([np.concatenate([c[j][at] for (*_, c), at in zip(kinds, rows)]) for j in range(3)], axis=1)
 
     def slots(self) -> np.ndarray:
-        """(rows, 4) hashed contexts of each decision's predictors."""
-        return _slots(self.contexts, self.kind)
+        """(rows, 4) hashed contexts of each decision's predictors; the last is of its kind alone."""
+        named = self.contexts.astype(np.uint64)
+        named *= np.uint64(32)
+        named += (self.kind * 4)[:, None].astype(np.uint64) + np.arange(3, dtype=np.uint64)
+        return np.c_[(mixed(named) >> np.uint64(48)).astype(np.int64) % (1 << 16), ALONE[self.kind]]
 
     def chances(self, tokens: Tokens, contexts: np.ndarray) -> np.ndarray:
         """(4, tokens) the mixed and refined chance of each kind's decision; zero where it isn't asked."""
@@ -318,7 +326,7 @@ class Decisions:
         for j in range(4):
             zero, one = contexts[slots[:, j]].T
             start = np.clip((one + 0.4) / (zero + one + 0.8), 1e-5, 1 - 1e-5)
-            name = ((doc * 8 + kind) * 4 + j) * (1 << 22) + own[:, j]
+            name = (doc * 8 + kind) * (1 << 22) + (own[:, j] if j < 3 else 0)
             inputs[:, j] = 0.3 * mixing.stretch(np.clip(mixing.adapted(name, bit, start), 1e-5, 1 - 1e-5))
             if not j:
                 seen = np.minimum(np.frexp(zero + one)[1] // 4, 3)
@@ -327,17 +335,12 @@ class Decisions:
         out = np.zeros((4, len(tokens.hash)))
         # a token that a higher kind predicts has its lower ways too, at the kind's mean chance
         for k, open_ in ((TRIPLE, self.after_pair > 0), (PAIR, self.after_word > 0), (WORD, np.ones(len(tokens.hash), dtype=bool))):
-            zero, one = contexts[_slots(np.zeros((1, 4), dtype=np.int64), np.array([k]))[0, 3]]
+            zero, one = contexts[ALONE[k]]
             out[k, open_] = (one + 0.4) / (zero + one + 0.8)
         out[kind, token] = p
         return out
 
 
-def _slots(contexts: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    named = (contexts.astype(np.uint64) * np.uint64(8) + kind[:, None].astype(np.uint64)) * np.uint64(4) + np.arange(4, dtype=np.uint64)
-    return (mixed(named) >> np.uint64(48)).astype(np.int64) % CONTEXTS
-
-
 def spelled(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
     """log10 probabilities of the letters of the tokens `new` (ascending), each text's weights learning as it goes on."""
     out, at = np.empty(len(new)), np.arange(len(new))
@@ -347,9 +350,9 @@ def spelled(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
     cuts = np.flatnonzero(np.r_[True, np.diff(piece) > 0, True]) if len(new) else [0]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         part = new[lo:hi]
-        owner, bits, inputs = mixing.letter_inputs([tokens.word(i) for i in part.tolist()], model.letters, model.slot_bits)
+        owner, bits, inputs = mixing.letter_inputs([tokens.word(i) for i in part.tolist()], model.odds, model.slot_bits)
         doc = tokens.doc[part][owner]
-        step = np.arange(len(doc)) - np.searchsorted(doc, np.unique(doc))[np.unique(doc, return_inverse=True)[1]]
+        step = np.arange(len(doc)) - np.searchsorted(doc, np.arange(doc[0], doc[-1] + 1))[doc - doc[0]]
         kind = np.zeros(len(doc), dtype=np.int64)
         p = np.clip(mixing.mix(doc, step, kind, inputs, bits, 1), 1e-6, 1 - 1e-6)
         p = mixing.refined(doc, kind, p, bits)
@@ -357,9 +360,8 @@ def spelled(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def score_block(texts: list[bytes | None], answers: list[np.ndarray], model: Model) -> dict[str, np.ndarray]:
+def score_block(tokens: Tokens, answers: list[np.ndarray], model: Model) -> dict[str, np.ndarray]:
     """Each text's n_tokens, n_known, base_score, score and bits_per_byte; `answers` has each order's counts by token."""
-    tokens = Tokens(texts)
     found = Decisions(tokens, answers, model.texts)
     match, triple, pair, word = found.chances(tokens, model.contexts)[[MATCH, TRIPLE, PAIR, WORD]]
     base = (found.word + 1) / (model.total + model.distinct + 1)
@@ -385,8 +387,8 @@ def _by_block(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.select("block", "body").join(own, "block", "left").select("body", "answers")
 
 
-def _read(batch: pa.RecordBatch, i: int, parts: int) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-    """A block's rows, and each order's counts by token."""
+def _read(batch: pa.RecordBatch, i: int, parts: int) -> tuple[pa.RecordBatch, Tokens, list[np.ndarray]]:
+    """A block's rows, its tokens, and each order's counts by token."""
     body = _body(batch.column(0)[i].as_py())
     tokens = Tokens(_texts(body))
     by: dict[int, list] = {0: [], 1: [], 2: []}
@@ -396,7 +398,7 @@ def _read(batch: pa.RecordBatch, i: int, parts: int) -> tuple[pa.RecordBatch, li
     for order, (_, back) in enumerate(_asked(tokens, parts)):
         found = [_unpack(raw, "<u8" if not order else "<u4") for _, raw in sorted(by[order])]
         counts.append(np.concatenate(found)[back] if found else np.zeros(0, dtype=np.int64))
-    return body, counts
+    return body, tokens, counts
 
 
 def _learn(joined: DataFrame, parts: int, texts: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,16 +411,15 @@ def _learn(joined: DataFrame, parts: int, texts: int, slot_bits: int) -> tuple[n
         contexts, letters = np.zeros((CONTEXTS, 2)), np.zeros((len(mixing.ORDERS), 1 << slot_bits, 2), dtype=np.float32)
         for batch in batches:
             for i in range(len(batch)):
-                body, counts = _read(batch, i, parts)
+                body, tokens, counts = _read(batch, i, parts)
                 learned = _learned(body)
-                tokens = Tokens(_texts(body))
                 found = Decisions(tokens, counts, texts, left_out=1)
                 keep = learned[tokens.doc[found.token]]
                 cells = (found.slots()[keep] * 2 + found.bit[keep].astype(np.int64)[:, None]).reshape(-1)
                 contexts += np.bincount(cells, minlength=2 * CONTEXTS).reshape(-1, 2)
                 once = np.flatnonzero((counts[0] == 1) & learned[tokens.doc])
-                for lo in range(0, len(once), TOGETHER):
-                    mixing.count_letters([tokens.word(k) for k in once[lo : lo + TOGETHER].tolist()], letters, slot_bits)
+                for lo in range(0, len(once), COUNTED):
+                    mixing.count_letters([tokens.word(k) for k in once[lo : lo + COUNTED].tolist()], letters, slot_bits)
         for start, cells in ((0, contexts.astype(np.float32)), (1 << 20, letters)):
             cells = cells.reshape(-1, 2)
             for lo in range(0, len(cells), CHUNK):
@@ -475,8 +476,8 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame
         model = sent.value
         for batch in batches:
             for i in range(len(batch)):
-                body, counts = _read(batch, i, model.parts)
-                scored = score_block(_texts(body), counts, model)
+                body, tokens, counts = _read(batch, i, model.parts)
+                scored = score_block(tokens, counts, model)
                 scored["train_tokens"] = np.full(len(body), model.total)
                 yield pa.RecordBatch.from_arrays([*body.columns[: len(inner)], *(pa.array(scored[x], ARROW[k]) for x, k in fields.items())], names=schema.names)
 

@@ -48,9 +48,8 @@ def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.nda
     Each sequence has weights for each gate, one at first; after each round of its decisions they move along the gradient.
     """
     rounds = np.where(step < FIRST * 127, np.floor(np.log2(step / FIRST + 1)), 7 + (step - FIRST * 127) // MOST).astype(np.int64)
-    names, sequence = np.unique(sequence, return_inverse=True)
-    code = sequence * gates + gate
-    weights = np.ones((len(names) * gates, inputs.shape[1]))
+    code = (sequence - sequence.min(initial=0)) * gates + gate
+    weights = np.ones((int(code.max(initial=0)) + 1, inputs.shape[1]))
     order = np.argsort(rounds, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(rounds[order]) > 0, True]) if len(order) else [0]
     out = np.empty(len(bits))
@@ -58,11 +57,10 @@ def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.nda
         rows = order[lo:hi]
         at, x = code[rows], inputs[rows]
         out[rows] = p = squash((weights[at] * x).sum(axis=1))
-        held, back = np.unique(at, return_inverse=True)
-        error = bits[rows] - p
+        error = RATE * (bits[rows] - p)
         for j in range(x.shape[1]):
-            moved = RATE * np.bincount(back, error * x[:, j], minlength=len(held))
-            weights[held, j] += np.clip(moved, -0.3, 0.3)
+            moved = np.bincount(at, error * x[:, j])
+            weights[: len(moved), j] += np.clip(moved, -0.3, 0.3)
     return out
 
 
@@ -131,16 +129,20 @@ def count_letters(words: list[bytes], out: np.ndarray, slot_bits: int) -> None:
     """Adds to `out` (predictors, slots, 2) how often a zero and a one came in each slot."""
     read = Letters(words)
     for i, order in enumerate(ORDERS):
-        np.add.at(out[i].reshape(-1), (read.slots(order, slot_bits) * 2 + read.bits).reshape(-1), out.dtype.type(1))
+        out[i] += np.bincount((read.slots(order, slot_bits) * 2 + read.bits).reshape(-1), minlength=out[i].size).reshape(-1, 2)
 
 
-def letter_inputs(words: list[bytes], counts: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the words: the word, the bit, and each predictor's log odds, weighed by how much its slot has seen."""
+def letter_table(counts: np.ndarray) -> np.ndarray:
+    """(predictors, slots): each slot's log odds of a one, weighed by how much it has seen."""
+    zero, one = counts[..., 0], counts[..., 1]
+    gate = np.frexp(zero + one)[1]
+    weight = 0.12 + 0.3 / (1 + gate / 8)
+    weight[0] = 0.15 + 0.45 / (1 + gate[0] / 6)
+    return (weight * np.log((one + PRIOR) / (zero + PRIOR))).astype(np.float32)
+
+
+def letter_inputs(words: list[bytes], odds: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the words: the word, the bit, and each predictor's log odds."""
     read = Letters(words)
-    inputs = []
-    for i, order in enumerate(ORDERS):
-        zero, one = np.moveaxis(counts[i][read.slots(order, slot_bits).reshape(-1)], 1, 0)
-        gate = np.frexp(zero + one)[1]
-        weight = 0.15 + 0.45 / (1 + gate / 6) if order == 1 else 0.12 + 0.3 / (1 + gate / 8)
-        inputs.append(weight * np.log((one + PRIOR) / (zero + PRIOR)))
-    return np.repeat(read.owner, 8), read.bits.reshape(-1).astype(np.float64), np.stack(inputs, axis=1).astype(np.float64) if words else np.empty((0, len(ORDERS)))
+    inputs = [odds[i][read.slots(order, slot_bits).reshape(-1)] for i, order in enumerate(ORDERS)]
+    return np.repeat(read.owner, 8), read.bits.reshape(-1).astype(np.float64), np.stack(inputs, axis=1)
