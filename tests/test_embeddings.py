@@ -7,7 +7,7 @@ from vecstead.operators import align, compress, measures
 from vecstead.operators.gram import gram, triangular
 from vecstead.sources import text
 
-CAT = (["cat", "dog"], [[0, 1, 2], [3, 4, 5]])
+PAIR = (["river", "stone"], [[0.5, -1, 2], [4, 1, -3]])
 
 
 def rows(emb, column="vec"):
@@ -27,7 +27,7 @@ def random_pair(spark, n=200, x=12, y=12, seed=0, parts=3):
 
 @pytest.mark.parametrize("header", [False, True])
 def test_round_trip(spark, tmp_path, header):
-    emb = text.from_arrays(spark, CAT[1], CAT[0])
+    emb = text.from_arrays(spark, PAIR[1], PAIR[0])
     text.write_embedding(emb, f"{tmp_path}/emb", header)
     back = text.read_embedding(spark, f"{tmp_path}/emb")
     assert [tuple(r) for r in back.orderBy("rank").collect()] == [tuple(r) for r in emb.orderBy("rank").collect()]
@@ -60,24 +60,24 @@ def procrustes(a, b):
 
 
 def test_align_on_the_same_and_on_part_of_the_vocabulary(spark):
-    base = text.from_arrays(spark, CAT[1], CAT[0])
-    for vocab, vecs in ((["cat", "dog"], [[4, 5, 6], [7, 8, 9]]), (["cat", "giraffe", "dog"], [[4, 5, 6], [7, 8, 9], [0, 3, 4]])):
+    base = text.from_arrays(spark, PAIR[1], PAIR[0])
+    for vocab, vecs in ((["river", "stone"], [[1, 2, -2], [0.5, 6, 1]]), (["stone", "cloud", "river"], [[2, -7, 1], [1, 1, 8], [-3, 0.25, 2]])):
         moved = measures.align_to(text.from_arrays(spark, vecs, vocab), base)
-        fit = np.array([vecs[vocab.index(w)] for w in CAT[0]], dtype=float)
+        fit = np.array([vecs[vocab.index(w)] for w in PAIR[0]], dtype=float)
         assert np.allclose(np.linalg.norm(np.array(rows(moved)), axis=1), np.linalg.norm(vecs, axis=1))
-        want = fit @ procrustes(fit, np.array(CAT[1], dtype=float))
-        got = np.array(rows(moved))[[vocab.index(w) for w in CAT[0]]]
-        assert np.isclose(np.linalg.norm(got - CAT[1]), np.linalg.norm(want - CAT[1]))
+        want = fit @ procrustes(fit, np.array(PAIR[1], dtype=float))
+        got = np.array(rows(moved))[[vocab.index(w) for w in PAIR[0]]]
+        assert np.isclose(np.linalg.norm(got - PAIR[1]), np.linalg.norm(want - PAIR[1]))
 
 
 def test_subembedding(spark):
-    emb = text.from_arrays(spark, [[0, 1, 2], [3, 4, 5], [6, 7, 8]], ["cat", "dog", "giraffe"])
-    got = align.subembedding(emb, ["giraffe", "dog", "giraffe"]).orderBy("pos").collect()
-    assert [r.vec for r in got] == [[6, 7, 8], [3, 4, 5], [6, 7, 8]]
+    emb = text.from_arrays(spark, [[2, 9], [8, 1], [5, 5], [7, 3]], ["river", "stone", "cloud", "leaf"])
+    got = align.subembedding(emb, ["leaf", "stone", "leaf"]).orderBy("pos").collect()
+    assert [r.vec for r in got] == [[7, 3], [8, 1], [7, 3]]
     with pytest.raises(TypeError):
-        align.subembedding(emb, ("cat",))
+        align.subembedding(emb, ("river",))
     with pytest.raises(Exception, match="missing word"):
-        align.subembedding(emb, ["cow"]).collect()
+        align.subembedding(emb, ["ocean"]).collect()
 
 
 def test_lookups(spark):
@@ -108,9 +108,21 @@ def test_normalize_keeps_zero(spark):
 def test_summaries(spark):
     pairs, a, b = random_pair(spark, parts=40)
     z = np.concatenate([a, b], axis=1)
-    assert np.allclose(gram(pairs, ["x", "y"]), z.T @ z)
-    r = triangular(pairs, ["x", "y"])
-    assert r.shape == (24, 24) and np.allclose(r.T @ r, z.T @ z)
+    g, widths = gram(pairs, ["x", "y"])
+    assert widths == [12, 12] and np.allclose(g, z.T @ z)
+    r, widths = triangular(pairs, ["x", "y"])
+    assert widths == [12, 12] and r.shape == (24, 24) and np.allclose(r.T @ r, z.T @ z)
+    for summary in (gram, triangular):
+        with pytest.raises(ValueError, match="no rows"):
+            summary(pairs.limit(0), ["x", "y"])
+
+
+def test_one_pass_gives_all_spectral_measures(spark):
+    pairs, a, b = random_pair(spark)
+    quads = pairs.withColumns({"e": F.reverse("x"), "f": F.slice("y", 1, 9)})
+    found, rotation = measures.spectral(quads)
+    assert np.isclose(found["pip"], measures.pip_loss(pairs)) and np.isclose(found["eis"], measures.eis(quads)) and np.isclose(found["eigen_overlap"], measures.eigen_overlap(pairs))
+    assert np.allclose(rotation, procrustes(a, b))
 
 
 @pytest.mark.parametrize("y", [12, 10])
@@ -193,8 +205,51 @@ def test_quantization(spark):
 def test_compress_aligns_to_its_base(spark):
     pairs, a, b = random_pair(spark, n=60, x=4, y=4)
     x, y = (pairs.select("rank", "word", F.col(c).alias("vec")) for c in "xy")
-    got = np.array(rows(compress.compress(x, 32, y)))
-    assert np.allclose(got, a @ procrustes(a, b))
+    moved = a @ procrustes(a, b)
+    assert np.allclose(np.array(rows(compress.compress(x, 32, y))), moved)
+    got = np.array(rows(compress.compress(x, 2, y)))
+    bound = compress.best_bound(y, 2)  # the base's, not its own
+    step = 2 * bound / 3
+    assert not np.isclose(bound, compress.best_bound(x, 2))
+    assert np.allclose(got, np.floor((np.clip(moved, -bound, bound) + bound) / step + 0.5) * step - bound)
+
+
+def test_quantized_tables_by_bitrate(spark, tmp_path):
+    pairs, a, b = random_pair(spark, n=60, x=4, y=4)
+    x, y = (pairs.select("rank", "word", F.col(c).alias("vec")) for c in "xy")
+    compress.write_quantized(x, [2, 32], f"{tmp_path}/q", base=y)
+    assert np.allclose(rows(compress.read_quantized(spark, f"{tmp_path}/q", 32)), a @ procrustes(a, b))
+    assert rows(compress.read_quantized(spark, f"{tmp_path}/q", 2)) == rows(compress.compress(x, 2, y))
+    assert compress.read_quantized(spark, f"{tmp_path}/q").groupBy("bitrate").count().count() == 2
+    found = {(r.dim, r.bits): r.squared_error for r in compress.squared_errors(x, [2, 4], [1, 4]).collect()}
+    assert len(found) == 4 and np.isclose(found[4, 4], compress.squared_error(x, 4, compress.largest(x)).first().squared_error)
+
+
+def test_anchor_bundles(spark, tmp_path):
+    a = text.from_arrays(spark, [[1.0, 2], [2.0, 1], [3.0, 3]], ["x", "y", "z"])
+    b = text.from_arrays(spark, [[4.0, 1], [5.0, 2], [6.0, 3]], ["z", "y", "w"])
+    align.write_anchors(align.anchor_bundle(a, b), f"{tmp_path}/anchors")
+    bundle = align.read_anchors(spark, f"{tmp_path}/anchors")
+    assert [tuple(r) for r in bundle.orderBy("rank").collect()] == [(1, "y", [2, 1], [5, 2]), (2, "z", [3, 3], [4, 1])]
+    assert {(r.word, tuple(r.x), tuple(r.e)) for r in align.with_bundle(b, a, bundle).collect()} == {("y", (5, 2), (2, 1)), ("z", (4, 1), (3, 3))}
+
+
+def test_missing_anchor_words_raise_whatever_is_selected(spark):
+    a = text.from_arrays(spark, [[1.0], [2.0]], ["x", "y"])
+    with pytest.raises(Exception, match="missing word"):
+        align.with_anchors(a, a.limit(1), a, a).select("f").collect()
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    (tmp_path / "short.txt").write_text("one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = text.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 20_002 and all(r.line == f"line {r.line_no}" for r in got if r.path.endswith("long.txt"))
 
 
 def test_vector_expressions(spark):

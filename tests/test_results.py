@@ -34,7 +34,7 @@ def test_selection(table, budget, same):
         pairs = [(a, b) for a, b in itertools.combinations(own, 2) if (budget is None or max(a.space, b.space) <= budget) and (not same or a.space == b.space)]
         wrong = [abs(a[t] - b[t]) for a, b in pairs if pick([a[m], b[m]], m == "knn") != pick([a[t], b[t]], False)]
         if not pairs:
-            assert (algo, seed, m, t) not in got
+            assert (got[algo, seed, m, t].pairs, got[algo, seed, m, t].error, got[algo, seed, m, t].robustness) == (0, None, None)
             continue
         r = got[algo, seed, m, t]
         assert (r.pairs, r.error, r.robustness) == (len(pairs), pytest.approx(len(wrong) / len(pairs)), pytest.approx(max(wrong, default=0)))
@@ -125,6 +125,30 @@ def test_ner_disagreement(spark):
     two = [*one[:3], "German B-MISC B-MISC 0.8", *one[4:]]
     files = [text.parse_ner_lines(spark.createDataFrame(list(enumerate(x)), "line_no bigint, line string")) for x in (one, two)]
     assert downstream.ner_disagreement(*files).first().disagreement == pytest.approx(100 / 3)
+    # of the second file three fields are enough, and a tagged line that it lacks raises
+    short = spark.createDataFrame([(0, "EU B-ORG B-ORG"), (3, "German B-MISC B-PER"), (5, "Peter B-PER O")], "line_no bigint, line string")
+    assert downstream.ner_disagreement(files[0], text.parse_ner_lines(short, fields=3)).first().disagreement == pytest.approx(100 / 3)
+    with pytest.raises(Exception, match="lacks a line"):
+        downstream.ner_disagreement(files[0], files[1].where("line_no > 0")).collect()
+
+
+def test_result_store_and_prediction_files(spark, tmp_path):
+    keys = "seed int, dim int, lr double, bitrate int, compress_type string, space int, value double"
+    cells = [(1, 25, 0.1, b, "uniform", 25 * b) for b in (1, 2)]
+    for algo in ("a", "b"):
+        for metric, add in (("x_3.0", 0.0), ("y", 10.0)):
+            text.store_result(spark.createDataFrame([(*c, add + c[3]) for c in cells], keys), f"{tmp_path}/store", algo, metric)
+    text.store_result(spark.createDataFrame([(*cells[0], 7.0)], keys), f"{tmp_path}/store", "b", "y")
+    assert text.read_store(spark, f"{tmp_path}/store").count() == 7
+    wide = text.gather_store(spark, f"{tmp_path}/store", ["x_3.0", "y"]).collect()
+    assert {(r.algo, r.bitrate, r["x_3.0"], r.y) for r in wide} == {("a", 1, 1.0, 11.0), ("a", 2, 2.0, 12.0), ("b", 1, 1.0, 7.0)}
+    run = spark.createDataFrame([(1, 0), (2, 1)], "example_id bigint, pred int")
+    text.write_predictions(run, text.prediction_paths(str(tmp_path), "run")[0])
+    paths = text.prediction_paths(str(tmp_path), "run", validation=True)
+    assert text.missing_artifacts(spark, paths) == paths[:1] and text.read_predictions(spark, paths).count() == 2
+    series = spark.createDataFrame([(0.5, 1.0, 0.1), (0.25, 2.0, None)], "x double, y double, yerr double")
+    text.write_figure(series, f"{tmp_path}/figure")
+    assert {tuple(r) for r in text.read_figure(spark, f"{tmp_path}/figure").collect()} == {(0.5, 1.0, 0.1), (0.25, 2.0, None)}
 
 
 def test_logs(spark, tmp_path):
@@ -163,11 +187,16 @@ def test_tags():
 
 
 def test_late_events_are_left_out_of_a_stream(spark, tmp_path):
+    import os
     from datetime import datetime
 
-    at = lambda h: datetime(2024, 1, 1, h)
-    for i, hours in enumerate(([1, 1], [9], [1, 9])):
-        spark.createDataFrame([(at(h), "k", 2.0) for h in hours], "ts timestamp, key string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    batches = [[at(3), at(3, 20)], [at(22)], [at(22, 5)], [at(21, 30), at(3, 40), at(22, 10)], [at(4)]]  # a batch's late rows are told by the watermark two before
+    for i, times in enumerate(batches):
+        spark.createDataFrame([(t, "k", 2.0) for t in times], "ts timestamp, key string, value double").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        for part in (tmp_path / f"in{i}").glob("*.parquet"):
+            os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema("ts timestamp, key string, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
-    got = drift.run_to_end(drift.windowed_moments(stream, "ts", "key", "value"), "late_test").collect()
-    assert sum(r.n for r in got) >= 4 and all(r.squares == 2 * r.total for r in got)
+    got = drift.run_to_end(drift.windowed_moments(stream, "ts", "key", "value"), ["start", "key"], f"{tmp_path}/out").collect()
+    # the rows of 03:40 and 04:00 come 18 hours late at a watermark of two; the one of 21:30 is in time
+    assert {(r.start.hour, r.n, r.total, r.squares) for r in got} == {(3, 2, 4.0, 8.0), (21, 1, 2.0, 4.0), (22, 3, 6.0, 12.0)}

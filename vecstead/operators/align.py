@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecstead.functions.vectors import normalized
 from vecstead.sources.text import last_of_each_word
 
 
-def shared(first: DataFrame, second: DataFrame, n: int = -1, random: bool = False, seed: int = 1234) -> DataFrame:
-    """(rank, word, x, y) of the words both have; x and rank are the first's.
+#: Chosen words that are broadcast; more are joined by a shuffle.
+MOST_SENT = 1_000_000
+
 
-    With n > 0, the n of the lowest rank, or, if `random`, n by a hash of the word, where fewer than n raise.
+def chosen_words(first: DataFrame, second: DataFrame, n: int, random: bool = False, seed: int = 1234) -> DataFrame:
+    """(word): of the words both have, the n of the lowest rank in the first, or, if `random`, n by md5; fewer than n raise then.
+
+    Only words and ranks move, not vectors.
     """
-    a, b = last_of_each_word(first), last_of_each_word(second)
-    both = a.select("rank", "word", F.col("vec").alias("x")).join(b.select("word", F.col("vec").alias("y")), "word").select("rank", "word", "x", "y")
-    if n <= 0:
-        return both
+    both = first.groupBy("word").agg(F.max("rank").alias("rank")).join(second.select("word").distinct(), "word", "left_semi")
     if not random:
-        return both.orderBy("rank").limit(n)
+        return both.orderBy("rank").limit(n).select("word")
     if both.count() < n:
         raise ValueError(f"fewer than {n} shared words")
-    return both.orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(n)
+    return both.orderBy(F.md5(F.concat("word", F.lit(str(seed)))), "word").limit(n).select("word")
+
+
+def shared(first: DataFrame, second: DataFrame, n: int = -1, random: bool = False, seed: int = 1234) -> DataFrame:
+    """(rank, word, x, y) of the words both have; x and rank are the first's.
+
+    With n > 0, the n of the lowest rank, or, if `random`, n by a hash of the word, where fewer than n raise. The words are
+    chosen first, so only their vectors are shuffled, and the rows stay spread over the join's partitions.
+    """
+    if n > 0:
+        words = chosen_words(first, second, n, random, seed)
+        words = F.broadcast(words) if n <= MOST_SENT else words
+        first, second = (e.join(words, "word", "left_semi") for e in (first, second))
+    a, b = last_of_each_word(first), last_of_each_word(second)
+    return a.select("rank", "word", F.col("vec").alias("x")).join(b.select("word", F.col("vec").alias("y")), "word").select("rank", "word", "x", "y")
+
+
+def anchor_bundle(anchor: DataFrame, other_anchor: DataFrame, n: int = -1) -> DataFrame:
+    """(rank, word, e, f): the anchors on their shared words, to be stored and used with many pairs."""
+    return shared(anchor, other_anchor, n).select("rank", "word", F.col("x").alias("e"), F.col("y").alias("f"))
+
+
+def write_anchors(bundle: DataFrame, path: str) -> None:
+    bundle.write.mode("overwrite").parquet(path)
+
+
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("rank", "word", "e", "f")
+
+
+def with_bundle(first: DataFrame, second: DataFrame, bundle: DataFrame) -> DataFrame:
+    """(rank, word, x, y, e, f) on the bundle's words; a word that either embedding lacks raises."""
+    a, b = last_of_each_word(first), last_of_each_word(second)
+    out = bundle.join(a.select("word", F.col("vec").alias("x")), "word", "left").join(b.select("word", F.col("vec").alias("y")), "word", "left")
+    there = F.assert_true(F.col("x").isNotNull() & F.col("y").isNotNull(), F.concat(F.lit("missing word: "), "word")).isNull()
+    return out.where(there).select("rank", "word", "x", "y", "e", "f")
 
 
 def with_anchors(first: DataFrame, second: DataFrame, anchor: DataFrame, other_anchor: DataFrame, n: int = -1) -> DataFrame:
     """(rank, word, x, y, e, f) on the anchors' shared vocabulary; a word that either embedding lacks raises."""
-    base = shared(anchor, other_anchor, n).select("rank", "word", F.col("x").alias("e"), F.col("y").alias("f"))
-    a, b = last_of_each_word(first), last_of_each_word(second)
-    out = base.join(a.select("word", F.col("vec").alias("x")), "word", "left").join(b.select("word", F.col("vec").alias("y")), "word", "left")
-    missing = F.col("x").isNull() | F.col("y").isNull()
-    checked = F.when(missing, F.raise_error(F.concat(F.lit("missing word: "), "word")).cast("array<double>")).otherwise(F.col("x"))
-    return out.select("rank", "word", checked.alias("x"), "y", "e", "f")
+    return with_bundle(first, second, anchor_bundle(anchor, other_anchor, n))
 
 
 def in_vocabulary(words: DataFrame, emb: DataFrame) -> DataFrame:

@@ -18,10 +18,20 @@ def disagreement(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def ner_disagreement(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per cent of tokens with a gold tag other than O in the first file (line_no, token, gold, pred) that are tagged differently."""
+    """Per cent of tokens with a gold tag other than O in the first file (line_no, token, gold, pred) that are tagged differently.
+
+    Lines are paired by number; a tagged line that the second file lacks raises. Of the second only line_no and pred are
+    used, so it may hold lines of fewer fields (`parse_ner_lines` with fields=3).
+    """
     a = first.where(F.col("gold") != "O").select("line_no", F.col("pred").alias("p"))
-    both = a.join(second.select("line_no", F.col("pred").alias("q")), "line_no")
-    return both.agg((F.avg((F.col("p") != F.col("q")).cast("double")) * 100).alias("disagreement"))
+    both = a.join(second.select("line_no", F.col("pred").alias("q")), "line_no", "left")
+    apart = F.when(F.col("q").isNull(), F.raise_error(F.lit("the second file lacks a line")).cast("boolean")).otherwise(F.col("p") != F.col("q"))
+    return both.agg((F.avg(apart.cast("double")) * 100).alias("disagreement"))
+
+
+def tag_disagreement(lines: DataFrame) -> DataFrame:
+    """The same of two files that are stored side by side, a row for each token: (gold, first, second). No shuffle of rows."""
+    return lines.where(F.col("gold") != "O").agg((F.avg((F.col("first") != F.col("second")).cast("double")) * 100).alias("disagreement"))
 
 
 def sentiment_quality(logs: DataFrame) -> DataFrame:
@@ -72,4 +82,4 @@ def word_similarity(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     return spearman(both.select("score", F.try_divide(dot("x", "y"), norm("x") * norm("y")).alias("cosine")), ["cosine"], ["score"])
 
 
-__all__ = ["complete", "disagreement", "ner_disagreement", "ner_quality", "sentence_vectors", "sentiment_quality", "train_and_predict", "word_similarity"]
+__all__ = ["complete", "disagreement", "ner_disagreement", "ner_quality", "sentence_vectors", "sentiment_quality", "tag_disagreement", "train_and_predict", "word_similarity"]

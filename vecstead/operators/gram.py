@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAN_IN = 16
+#: Factors that are merged by one task, from the tasks' down to the last.
+SLOTS = (256, 16, 1)
 
 
 def matrix(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
@@ -28,75 +29,80 @@ def matrix(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def widths(df: DataFrame, columns: list[str]) -> list[int]:
-    row = df.select(*[F.size(c) for c in columns]).first()
-    if row is None:
-        raise ValueError("no rows")
-    return list(row)
+def _parts(batch: pa.RecordBatch, columns: list[int]) -> tuple[np.ndarray, list[int]]:
+    """The array columns of a batch side by side, and how wide each is."""
+    return matrix(batch, columns), [len(batch.column(i).flatten()) // len(batch) for i in columns]
 
 
-def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Z'Z; tasks' sums are merged row by row of the result."""
+def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Z'Z and the columns' widths, in one pass; tasks' sums are merged row by row of the result. No rows raise."""
     schema = "at int, cells binary"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, sizes = None, []
         for batch in batches:
             if len(batch):
-                z = matrix(batch, list(range(len(columns))))
+                z, sizes = _parts(batch, list(range(len(columns))))
                 total = z.T @ z if total is None else total + z.T @ z
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["at", "cells"])
+            cells = [np.array(sizes, dtype=np.float64).tobytes(), *(r.tobytes() for r in total)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(total)), pa.int32()), pa.array(cells, pa.binary())], names=["at", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 row = np.frombuffer(cells)
-                sums[at] = sums[at] + row if at in sums else row
+                sums[at] = sums[at] + row if at in sums and at >= 0 else row
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([r.tobytes() for r in sums.values()], pa.binary())], names=["at", "cells"])
 
     rows = df.select(*columns).mapInArrow(partial, schema).repartition("at").mapInArrow(merge, schema).collect()
-    return np.stack([np.frombuffer(r.cells) for r in sorted(rows, key=lambda r: r["at"])])
+    if not rows:
+        raise ValueError("no rows")
+    sizes, *found = [np.frombuffer(r.cells) for r in sorted(rows, key=lambda r: r["at"])]
+    return np.stack(found), sizes.astype(int).tolist()
+
 
+def triangular(df: DataFrame, columns: list[str], contrast: bool = False) -> tuple[np.ndarray, list[int]]:
+    """R of Z = QR and the columns' widths, in one pass: a factor for each task, stacked and factored again in tasks.
 
-def triangular(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """R of Z = QR: a factor for each task, stacked and factored again, FAN_IN at a time."""
-    schema = "at bigint, cells binary"
+    With `contrast`, if the first two columns are of one width, their difference and sum stand in their place, so that what
+    two near-identical columns differ by keeps its digits.
+    """
+    schema = "at bigint, cells binary, sizes array<int>"
 
-    def out(r: np.ndarray, at: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([r.tobytes()], pa.binary())], names=["at", "cells"])
+    def out(r: np.ndarray, at: int, sizes: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([r.tobytes()], pa.binary()), pa.array([sizes], pa.list_(pa.int32()))], names=["at", "cells", "sizes"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, at = None, 0
+        r, at, sizes = None, 0, []
         for batch in batches:
             if len(batch):
                 at = batch.column(len(columns))[0].as_py()
-                z = matrix(batch, list(range(len(columns))))
+                z, sizes = _parts(batch, list(range(len(columns))))
+                if contrast and sizes[0] == sizes[1]:
+                    x, y = z[:, : sizes[0]].copy(), z[:, sizes[0] : 2 * sizes[0]].copy()
+                    z[:, : sizes[0]], z[:, sizes[0] : 2 * sizes[0]] = x - y, x + y
                 r = np.linalg.qr(z if r is None else np.concatenate([r, z]), mode="r")
         if r is not None:
-            yield out(r, at)
-
-    width = sum(widths(df, columns))
+            yield out(r, at, sizes)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, first = None, 0
+        r, first, sizes = None, 0, []
         for batch in batches:
-            for at, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(cells).reshape(-1, width)
-                first = at // FAN_IN
+            for at, cells, sizes in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                part, first = np.frombuffer(cells).reshape(-1, sum(sizes)), at
                 r = part if r is None else np.linalg.qr(np.concatenate([r, part]), mode="r")
         if r is not None:
-            yield out(r, first)
+            yield out(r, first, sizes)
 
     parts = df.select(*columns, F.spark_partition_id().cast("bigint")).mapInArrow(partial, schema)
-    count = max(1, df.rdd.getNumPartitions())
-    while count > 1:
-        count = -(-count // FAN_IN)
-        # one task for each FAN_IN neighbours: range partitioning keeps them together
-        parts = parts.repartitionByRange(count, F.floor(F.col("at") / FAN_IN)).mapInArrow(merge, schema)
-    found = [np.frombuffer(r.cells).reshape(-1, width) for r in parts.collect()]
-    return np.linalg.qr(np.concatenate(found), mode="r") if found else np.zeros((0, width))
+    for slots in SLOTS:
+        parts = (parts.repartition(F.pmod("at", F.lit(slots))) if slots > 1 else parts.repartition(1)).mapInArrow(merge, schema)
+    row = parts.first()
+    if row is None:
+        raise ValueError("no rows")
+    return np.frombuffer(row.cells).reshape(-1, sum(row.sizes)), list(row.sizes)
 
 
 def rotate(df: DataFrame, column: str, rotation: np.ndarray, out: str) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecstead.functions.shared import durable
 from vecstead.functions.vectors import cosine_distance, squared_difference
 from vecstead.operators import align
-from vecstead.operators.gram import gram, matrix, rotate, triangular, widths
+from vecstead.operators.gram import gram, matrix, rotate, triangular
 
 #: Singular values under this share of the largest count as zero, as their directions are arbitrary.
 RANK_TOLERANCE = 1e-12
@@ -33,16 +35,22 @@ def pip_loss(pairs: DataFrame) -> float:
     """||XX' - YY'||, without the n x n kernels.
 
     Equal widths go through D = X - Y and S = X + Y, as ||XX' - YY'||^2 = (tr(D'D S'S) + tr((D'S)^2)) / 2, which is exact
-    for near-identical pairs and zero for equal ones; other widths through the triangular factors.
+    for near-identical pairs and zero for equal ones.
     """
-    x, y = widths(pairs, ["x", "y"])
-    if x == y:
-        both = pairs.select(F.zip_with("x", "y", lambda a, b: a - b).alias("d"), F.zip_with("x", "y", lambda a, b: a + b).alias("s"))
-        g = gram(both, ["d", "s"])
-        dd, ds, ss = g[:x, :x], g[:x, x:], g[x:, x:]
-        return float(np.sqrt(max(0.0, (np.sum(dd * ss) + np.sum(ds * ds.T)) / 2)))
-    r = triangular(pairs, ["x", "y"])
-    return float(np.linalg.norm(r[:, :x] @ r[:, :x].T - r[:, x:] @ r[:, x:].T))
+    return _contrasted(pairs, ["x", "y"])[0]
+
+
+def _contrasted(df: DataFrame, columns: list[str]) -> tuple[float, list[np.ndarray]]:
+    """pip_loss, and the blocks of each column, from one factor."""
+    r, sizes = triangular(df, columns, contrast=True)
+    edges = np.cumsum([0, *sizes])
+    x, y, *rest = (r[:, a:b] for a, b in zip(edges[:-1], edges[1:]))
+    if sizes[0] != sizes[1]:
+        return float(np.linalg.norm(x @ x.T - y @ y.T)), [x, y, *rest]
+    d, s = x, y
+    ds = d.T @ s
+    loss = float(np.sqrt(max(0.0, (np.sum((d.T @ d) * (s.T @ s)) + np.sum(ds * ds.T)) / 2)))
+    return loss, [(s + d) / 2, (s - d) / 2, *rest]
 
 
 def _basis(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +62,17 @@ def _basis(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
     """The factor's columns for each array column; they span what the array columns span, by an orthogonal map."""
-    edges = np.cumsum([0, *widths(df, columns)])
-    r = triangular(df, columns)
+    r, sizes = triangular(df, columns)
+    edges = np.cumsum([0, *sizes])
     return [r[:, a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def eigen_overlap(pairs: DataFrame) -> float:
     """||U_x' U_y||^2 over the larger width; 1 is most stable."""
-    x, y = _blocks(pairs, ["x", "y"])
+    return overlap_of(*_blocks(pairs, ["x", "y"]))
+
+
+def overlap_of(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.linalg.norm(_basis(x)[0].T @ _basis(y)[0]) ** 2 / max(x.shape[1], y.shape[1]))
 
 
@@ -75,7 +86,10 @@ def weighted_eigen_overlap(pairs: DataFrame, exp: float = 1, normalize: bool = T
 
 def eis(quads: DataFrame, exp: float = 3) -> float:
     """Eigenspace instability of x and y against the anchors e and f; 0 is most stable."""
-    x, y, *anchors = _blocks(quads, ["x", "y", "e", "f"])
+    return eis_of(*_blocks(quads, ["x", "y", "e", "f"]), exp=exp)
+
+
+def eis_of(x: np.ndarray, y: np.ndarray, *anchors: np.ndarray, exp: float = 3) -> float:
     u1, u2 = _basis(x)[0], _basis(y)[0]
     apart, scale = 0.0, 0.0
     for anchor in anchors:
@@ -88,52 +102,59 @@ def eis(quads: DataFrame, exp: float = 3) -> float:
 
 def procrustes(pairs: DataFrame) -> np.ndarray:
     """The orthogonal R that takes x closest to y; it may reflect."""
-    x, _ = widths(pairs, ["x", "y"])
-    u, _, vt = np.linalg.svd(gram(pairs, ["x", "y"])[:x, x:])
+    g, (x, _) = gram(pairs, ["x", "y"])
+    u, _, vt = np.linalg.svd(g[:x, x:])
     return u @ vt
 
 
+def spectral(quads: DataFrame, exp: float = 3) -> tuple[dict[str, float], np.ndarray]:
+    """eis, pip and eigen_overlap of x and y, and the rotation of x onto y, from one factor and so from one pass."""
+    loss, (x, y, e, f) = _contrasted(quads, ["x", "y", "e", "f"])
+    u, _, vt = np.linalg.svd(x.T @ y)
+    return {"eis": eis_of(x, y, e, f, exp=exp), "pip": loss, "eigen_overlap": overlap_of(x, y)}, u @ vt
+
+
 def align_to(emb: DataFrame, reference: DataFrame) -> DataFrame:
     """`emb` rotated onto `reference`: fitted on the shared words, applied to all rows."""
     return rotate(emb, "vec", procrustes(align.shared(emb, reference)), "vec")
 
 
-def sem_disp_words(pairs: DataFrame, aligned: bool = True) -> DataFrame:
+def sem_disp_words(pairs: DataFrame, aligned: bool = True, rotation: np.ndarray | None = None) -> DataFrame:
     """(rank, word, distance): each word's cosine distance, x rotated onto y first if `aligned`; null for zero vectors."""
     if aligned:
-        pairs = rotate(pairs, "x", procrustes(pairs), "x")
+        pairs = rotate(pairs, "x", procrustes(pairs) if rotation is None else rotation, "x")
     return pairs.select("rank", "word", cosine_distance("x", "y").alias("distance"))
 
 
-def sem_disp(pairs: DataFrame, aligned: bool = True) -> DataFrame:
-    return sem_disp_words(pairs, aligned).agg(F.avg("distance").alias("sem_disp"))
+def sem_disp(pairs: DataFrame, aligned: bool = True, rotation: np.ndarray | None = None) -> DataFrame:
+    return sem_disp_words(pairs, aligned, rotation).agg(F.avg("distance").alias("sem_disp"))
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, similarity, place): of each query the k candidates of the highest cosine, itself left out, ties by rank.
 
     Both are (rank, vec). Every task takes the products of its candidates with all queries and keeps k for each, so only
-    those meet; queries go out in passes of QUERY_CELLS numbers.
+    those meet. Queries are dealt to blocks of about QUERY_CELLS numbers by hash; each block is fetched when its pass
+    begins, and where there are several the passes' results are checkpointed between them.
     """
-    rows = queries.select("rank", "vec").orderBy("rank").toLocalIterator()
-    schema, passes, held, cells = "query bigint, rank bigint, similarity double", [], [], 0
-    for row in rows:
-        held.append((row.rank, row.vec))
-        cells += len(row.vec)
-        if cells >= QUERY_CELLS:
-            passes.append(held)
-            held, cells = [], 0
-    passes += [held] if held else []
+    schema = "query bigint, rank bigint, similarity double"
+    spark, asked = candidates.sparkSession, queries.select("rank", "vec")
+    cells = asked.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
+    blocks = -(-cells // QUERY_CELLS)
 
     def unit(z: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(size == 0, 1.0, size)
 
-    def one(asked: list) -> DataFrame:
-        sent = candidates.sparkSession.sparkContext.broadcast((np.array([r for r, _ in asked]), unit(np.array([v for _, v in asked], dtype=np.float64))))
+    def one(number: int) -> DataFrame:
+        held = asked.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == number).orderBy("rank").toArrow().combine_chunks()
+        ids = held["rank"].to_numpy()
+        sent = spark.sparkContext.broadcast((ids, unit(matrix(pa.RecordBatch.from_arrays([held["vec"].chunk(0)], ["vec"]), [0])) if len(ids) else np.zeros((0, 0))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
+            if not len(ids):
+                return
             best_rank = np.full((len(ids), k), np.iinfo(np.int64).max)
             best = np.full((len(ids), k), -np.inf)
             for batch in batches:
@@ -152,19 +173,24 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return candidates.select("rank", "vec").mapInArrow(run, schema)
 
-    if not passes:
-        return candidates.sparkSession.createDataFrame([], f"{schema}, place int")
-    found = one(passes[0])
-    for asked in passes[1:]:
-        found = found.unionByName(one(asked))
+    if not blocks:
+        return spark.createDataFrame([], f"{schema}, place int")
+    found = one(0)
+    if blocks > 1:
+        found = reduce(DataFrame.unionByName, (durable(one(number)) for number in range(blocks)))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "rank"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def draw(ranks: DataFrame, n: int, seed: int = 1234) -> DataFrame:
+    """`n` of `ranks` (rank), by the md5 of the rank and the seed."""
+    return ranks.select("rank").orderBy(F.md5(F.concat(F.col("rank").cast("string"), F.lit(str(seed)))), "rank").limit(n)
+
+
 def knn(pairs: DataFrame, nquery: int = 1000, k: int = 5, seed: int = 1234, queries: DataFrame | None = None) -> DataFrame:
     """Mean share of the k nearest neighbours that x and y have in common, over `queries` (rank) or `nquery` drawn by hash."""
     if queries is None:
-        queries = pairs.select("rank").orderBy(F.xxhash64("rank", F.lit(seed)), "rank").limit(nquery)
+        queries = draw(pairs, nquery, seed)
     asked = pairs.join(F.broadcast(queries.select("rank")), "rank", "left_semi")
     sides = []
     for side in ("x", "y"):

@@ -49,7 +49,7 @@ def summary(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 def spearman(df: DataFrame, measures: list[str], tasks: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, metric, task, rho) with average ranks; rows where either value is missing are left out of a pair's ranks.
 
-    Ranks take one window for each distinct column where nothing is missing, and a pair's own rows otherwise.
+    The few rows of a result table are repeated for each pair of columns, and each pair's rows are ranked by two windows.
     """
     by = by or []
     cells = [F.struct(F.lit(m).alias("metric"), F.lit(t).alias("task"), oriented(m).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for m in measures for t in tasks]
@@ -65,7 +65,7 @@ def selection(df: DataFrame, measures: list[str], tasks: list[str], budget: int
     """(algo, seed, metric, task, error, robustness, pairs) over all pairs of a seed's rows.
 
     error is the share of pairs of which the measure picks another row than the task's; robustness the largest difference
-    of the task among those, else 0. Without a pair the error is null. With a budget, rows of more space are left out.
+    of the task among those, else 0. Without a pair both are null. With a budget, rows of more space are left out.
     """
     rows = with_rid(df).select("algo", "seed", "rid", "space", *measures, *tasks)
     rows = rows if budget is None else rows.where(F.col("space") <= budget)
@@ -81,13 +81,15 @@ def selection(df: DataFrame, measures: list[str], tasks: list[str], budget: int
             labels.append((m, t))
             aggregates += [F.avg(wrong.cast("double")).alias(f"e{at}"), F.coalesce(F.max(F.when(wrong, F.abs(F.col(f"a.{t}") - F.col(f"b.{t}")))), F.lit(0.0)).alias(f"r{at}")]
     wide = pairs.groupBy("a.algo", "a.seed").agg(F.count("*").alias("pairs"), *aggregates)
+    # groups without a pair have their row too, and no error
+    wide = df.select("algo", "seed").distinct().join(wide, ["algo", "seed"], "left").fillna(0, subset=["pairs"])
     cells = [[F.col(f"e{i}"), F.col(f"r{i}")] for i in range(len(labels))]
     return wide.select("algo", "seed", "pairs", _long(labels, cells, ["metric", "task"], ["error", "robustness"]))
 
 
 def selection_by_seed(found: DataFrame) -> DataFrame:
-    """The mean error and the largest robustness over seeds."""
-    return found.groupBy("algo", "metric", "task").agg(F.avg("error").alias("error"), F.max("robustness").alias("robustness"))
+    """The mean error and the largest robustness over seeds; a seed without a pair makes the error null, so it shows."""
+    return found.groupBy("algo", "metric", "task").agg(F.when(F.count("error") == F.count("*"), F.avg("error")).alias("error"), F.max("robustness").alias("robustness"))
 
 
 def oracle_gaps(df: DataFrame, measures: list[str], tasks: list[str]) -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecstead.functions.vectors import doubles, norm, quantized, section, squared_difference, total
+from vecstead.functions.shared import new_folder
+from vecstead.functions.vectors import doubles, norm, quantized, section, total
 from vecstead.operators import align, compress, downstream, measures, stats
 from vecstead.plans import grid, sweep, trial
 from vecstead.plans.trial import MEASURES, TASKS, trials
@@ -96,21 +97,41 @@ def emb_represent_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("emb_shared_topn", f"""with {EMB} select a.rank, a.word, round(list_sum(a.v), 6) + 0.0 as sx, round(list_sum(b.v), 6) + 0.0 as sy
-from emb a join emb b using (word) where a.rank % 2 = 0 and b.rank % 3 = 0 order by a.rank limit 50""")
+from emb a join emb b using (word) where a.v[1] > 0 and b.v[2] > 0 order by a.rank limit 50""")
 def emb_shared_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vocabularies that overlap in part: the words whose first, or second, entry is positive."""
     emb = embedding(spark, sf_dir)
-    both = align.shared(emb.where("rank % 2 = 0"), emb.where("rank % 3 = 0"), 50)
+    both = align.shared(emb.where(F.col("vec")[0] > 0), emb.where(F.col("vec")[1] > 0), 50)
     return rounded(both.select("rank", "word", total("x").alias("sx"), total("y").alias("sy")), "sx", "sy")
 
 
-@query("emb_random_vocab")
+@query("emb_random_vocab", f"with {EMB} select rank, word from emb order by md5(word || '1234'), word limit 40")
 def emb_random_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.shared(embedding(spark, sf_dir, 1, 32), embedding(spark, sf_dir, 33, 32), 40, random=True).select("rank", "word")
 
 
-@query("vocab_words", """select item_id as line_no, regexp_extract(text, '^[A-Za-z]+') as word from benchmark where regexp_matches(text, '^[A-Za-z]+')""")
+@query("anchor_bundle", f"""with {EMB} select rank, word, round(list_sum(v[1:16]), 6) + 0.0 as se, round(list_sum(v[17:32]), 6) + 0.0 as sf from emb order by rank limit 300""")
+def anchor_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors on their 300 commonest shared words, stored and read again."""
+    path = new_folder(spark, "anchors")
+    align.write_anchors(align.anchor_bundle(embedding(spark, sf_dir, 1, 16), embedding(spark, sf_dir, 17, 16), 300), path)
+    return rounded(align.read_anchors(spark, path).select("rank", "word", total("e").alias("se"), total("f").alias("sf")), "se", "sf")
+
+
+@query("emb_file_roundtrip", f"""with {EMB} select rank, word, len(v) as dim, round(list_sum(list_transform(v, lambda x: printf('%.6f', x)::double)), 6) + 0.0 as total from emb""")
+def emb_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding written as a text file with a header, and read again."""
+    path = new_folder(spark, "embedding")
+    text.write_embedding(embedding(spark, sf_dir), path, header=True)
+    back = text.read_embedding(spark, path)
+    return rounded(back.select("rank", "word", F.size("vec").cast("bigint").alias("dim"), total("vec").alias("total")), "total")
+
+
+@query("vocab_words", r"""with w as (select item_id, unnest(range(1, len(string_split(text, ' ')) + 1)) as pos, unnest(string_split(text, ' ')) as word from benchmark)
+select item_id * 1000000 + pos as line_no, word from w where word <> '' and not regexp_matches(word, '\s')""")
 def vocab_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("line_no"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("w")).where("w <> ''")
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", " ")).alias("at", "w")).where(r"w <> '' and not w rlike '\\s'")
+    lines = words.select((F.col("item_id") * 1_000_000 + F.col("at") + 1).alias("line_no"), "w")
     good, bad = lines.select("line_no", F.concat("w", F.lit(" 1")).alias("line")), lines.select("line_no", F.concat("w", F.lit(" a b")).alias("line"))
     return text.parse_vocab_words(good.unionByName(bad))
 
@@ -202,6 +223,15 @@ def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(measures.knn(pairs, k=5, queries=pairs.where("rank % 100 = 0")), "knn")
 
 
+DRAWN = SIMILAR.replace("where q.rank % 100 = 0", "where q.rank in (select rank from emb order by md5(rank::varchar || '1234'), rank limit 30)")
+
+
+@query("knn_drawn_queries", DRAWN + """select round(avg(share), 6) as knn from (
+select query, count(*) filter (px <= 5 and py <= 5) / 5.0::double as share from n group by query)""")
+def knn_drawn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(measures.knn(pair(spark, sf_dir), nquery=30, k=5), "knn")
+
+
 def _gram2(*names: str) -> str:
     """SQL: sums of products of 2-wide blocks; the n-th block's entries are v[2n - 1] and v[2n]."""
     sums = [f"sum({a}{i} * {b}{j}) as {a}{b}{i}{j}" for a in names for b in names for i in (1, 2) for j in (1, 2)]
@@ -304,15 +334,20 @@ b as (select dim, max(list_max(list_transform(x, lambda a: abs(a)))) as r from c
 select c.dim, bits, round(sum(list_sum(list_transform(x, lambda a: pow({_levels('pow(2, bits)')} - a, 2)))), 6) as squared_error
 from c join b using (dim) cross join (select unnest([1, 2, 4, 8]) as bits) group by c.dim, bits""")
 def quantize_error_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = embedding(spark, sf_dir)
-    cut = emb.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dim"), section("vec", 1, d).alias("vec")) for d in (16, 32, 64)])))
-    bounds = cut.groupBy("dim").agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("r"))
-    cells = [F.struct(F.lit(b).alias("bits"), squared_difference("vec", quantized("vec", b, F.col("r"))).alias("e")) for b in (1, 2, 4, 8)]
-    rows = cut.join(F.broadcast(bounds), "dim").select("dim", F.inline(F.array(*cells)))
-    return rounded(rows.groupBy("dim", "bits").agg(F.sum("e").alias("squared_error")), "squared_error")
+    return rounded(compress.squared_errors(embedding(spark, sf_dir), [16, 32, 64], [1, 2, 4, 8]), "squared_error")
+
+
+def _adaptive_sql() -> str:
+    grid = "select bits, i, {r} as r from b cross join (select unnest(range(1, 33)) as i)"
+    errors = f"select bits, i, any_value(r) as r, sum(pow({_levels('pow(2, bits)')} - a, 2)) as e from entries cross join {{c}} group by bits, i"
+    return f"""with {AB}, entries as (select unnest(x) as a from p), b as (select bits, (select max(abs(a)) from entries) as top from (select unnest([1, 2, 4, 8]) as bits)),
+c1 as ({grid.format(r="top * i / 32.0::double")}), e1 as ({errors.format(c="c1")}), m1 as (select bits, arg_min(i, (e, i)) as best from e1 group by bits),
+w as (select bits, case when best > 1 then top * (best - 1) / 32.0::double else top / 32.0::double / 32 end as lo, top * least(best + 1, 32) / 32.0::double as hi from m1 join b using (bits)),
+c2 as (select bits, i, case i when 32 then hi else lo + (i - 1) * ((hi - lo) / 31.0::double) end as r from w cross join (select unnest(range(1, 33)) as i)), e2 as ({errors.format(c="c2")})
+select bits, round(arg_min(r, (e, i)), 6) + 0.0 as bound, round(min(e), 6) + 0.0 as squared_error from e2 group by bits union all select 32, round((select any_value(top) from b), 6), 0.0"""
 
 
-@query("quantize_adaptive")
+@query("quantize_adaptive", _adaptive_sql())
 def quantize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb, rows = embedding(spark, sf_dir, 1, 32), []
     for bits in (1, 2, 4, 8, 32):
@@ -321,11 +356,30 @@ def quantize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "bits int, bound double, squared_error double"), "bound", "squared_error")
 
 
+@query("quantized_store", f"""with {BOUND} select bitrate, rank, round(list_sum(list_transform(x, lambda a: {_levels('pow(2, bitrate)')})), 6) + 0.0 as total
+from p cross join b cross join (select unnest([2, 8]) as bitrate)""")
+def quantized_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of two bitrates on the largest entry's range, written a folder each and read again."""
+    emb, path = embedding(spark, sf_dir, 1, 32), new_folder(spark, "quantized")
+    compress.write_quantized(emb, [2, 8], path, bound=compress.largest(emb))
+    return rounded(compress.read_quantized(spark, path).select("bitrate", "rank", total("vec").alias("total")), "total")
+
+
 @query("compressed_sweep")
 def compressed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.compressed_sweep(embedding(spark, sf_dir, 1, 32), embedding(spark, sf_dir, 33, 32), [8, 32], [1, 4], n=-1)
 
 
+@query("stability_table")
+def stability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's whole result table: distances, and the disagreement and quality of classifiers of the benchmark's items."""
+    lines = _sentences(spark, sf_dir)
+    second = F.crc32(F.col("example_id").cast("string")) % 2 == 0
+    tasks = {"parity": (lines.where(~second), lines.where(second))}
+    first, other = (_named_by_words(spark, sf_dir, k) for k in (1, 33))
+    return sweep.compressed_sweep(first, other, [32], [1, 8], n=-1, tasks=tasks)
+
+
 # Grid, names, jobs
 
 GRID_SQL = "g as (select algo, seed, dim, bitrate, dim * bitrate as space from (select unnest(['mc', 'glove', 'ft_sg']) as algo) cross join (select unnest([1234, 1235, 1236]) as seed) cross join (select unnest([25, 50, 100, 200, 400, 800]) as dim) cross join (select unnest([1, 2, 4, 8, 16, 32]) as bitrate))"
@@ -389,13 +443,33 @@ def _tag(size: Column) -> Column:
 @query("ner_disagreement", f"""with t as (select unnest(string_split(text, ' ')) as token from conversations)
 select round(avg(({_tag_sql('length(token) // 2')} <> {_tag_sql('length(token) // 3')})::int) * 100, 6) as disagreement from t where {_tag_sql('length(token)')} <> 'O'""")
 def ner_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "token"))
-    numbered = turns.select((F.col("conv_id") * 1_000_000_000 + F.col("turn") * 1_000_000 + F.col("at")).alias("line_no"), F.regexp_replace("token", r"\s", "_").alias("token"))
+    """Both files' tags of each token stand side by side, so no row moves."""
+    size = F.length("token")
+    tokens = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.split("text", " ")).alias("token"))
+    tagged = tokens.select(_tag(size).alias("gold"), _tag(F.floor(size / 2)).alias("first"), _tag(F.floor(size / 3)).alias("second"))
+    return rounded(downstream.tag_disagreement(tagged), "disagreement")
+
+
+@query("ner_file_disagreement", f"""with t as (select unnest(string_split(text, ' ')) as token from benchmark)
+select round(avg(({_tag_sql('length(token) // 2')} <> {_tag_sql('length(token) // 3')})::int) * 100, 6) as disagreement from t where {_tag_sql('length(token)')} <> 'O'""")
+def ner_file_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two token files, parsed and paired by line."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", " ")).alias("at", "token"))
+    numbered = words.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("line_no"), F.regexp_replace("token", r"\s", "_").alias("token"))
     size = F.length("token")
     files = [text.parse_ner_lines(numbered.select("line_no", F.concat_ws(" ", "token", _tag(size), _tag(F.floor(size / part)), F.lit("0.9")).alias("line"))) for part in (2, 3)]
     return rounded(downstream.ner_disagreement(*files), "disagreement")
 
 
+@query("stored_predictions", "select round((1 - avg((quality = toxic)::int)) * 100, 6) as disagreement from labels")
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two runs, of which one has a validation file, written and found again by their names."""
+    labels, folder = spark.read.parquet(f"{sf_dir}/labels.parquet"), new_folder(spark, "predictions")
+    for name, column in (("first.val", "quality"), ("second", "toxic")):
+        text.write_predictions(labels.select(F.col("doc_id").alias("example_id"), F.col(column).alias("pred")), text.prediction_paths(folder, name)[0])
+    return rounded(downstream.disagreement(*(text.read_predictions(spark, text.prediction_paths(folder, name, validation=True)) for name in ("first", "second"))), "disagreement")
+
+
 LOG_SQL = "with l as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id desc) as back from events)"
 
 
@@ -422,21 +496,41 @@ def log_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return downstream.complete(downstream.sentiment_quality(lines))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("example_id"), "text", (F.length("text") % 2).alias("label"))
+
+
+def _named_by_words(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
+    """An embedding of the benchmark's words: each takes a vector, over all of them, by its hash."""
+    vectors = embedding(spark, sf_dir, first, 32).select("rank", "vec")
+    words = _sentences(spark, sf_dir).select(F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).distinct()
+    places = vectors.select("rank", (F.row_number().over(Window.orderBy("rank")) - 1).cast("bigint").alias("place"))
+    own = words.withColumn("place", F.pmod(F.crc32("word"), F.lit(vectors.count())))
+    return own.join(places, "place").join(vectors, "rank").select(F.crc32("word").alias("rank"), "word", "vec")
+
+
 @query("downstream_disagreement")
 def downstream_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two classifiers on two versions of word vectors of the benchmark's words, compared on the same sentences."""
-    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("example_id"), "text", (F.length("text") % 2).alias("label"))
-    words = lines.select(F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).distinct()
-    rank = F.pmod(F.crc32("word"), F.lit(500)).cast("bigint")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    models = []
-    for first in (1, 33):
-        vectors = rows.select(F.col("vec_id").alias("rank"), section(doubles("embedding"), first, 8).alias("vec"))
-        emb = words.withColumn("rank", rank).join(vectors, "rank").select("rank", "word", "vec")
-        models.append(downstream.train_and_predict(lines, lines, emb))
+    """Two classifiers on two versions of word vectors of the benchmark's words, compared on sentences they were not trained on."""
+    lines = _sentences(spark, sf_dir)
+    test = F.crc32(F.col("example_id").cast("string")) % 2 == 0
+    models = [downstream.train_and_predict(lines.where(~test), lines.where(test), _named_by_words(spark, sf_dir, first)) for first in (1, 33)]
     return rounded(downstream.disagreement(*models), "disagreement")
 
 
+WORD_PAIRS = "select a.rank as ra, b.rank as rb, ((a.rank * 7 + b.rank * 13) % 101)::double as score from emb a join emb b on b.rank = a.rank + 1"
+
+
+@query("word_similarity", f"""with {EMB}, w as ({WORD_PAIRS}), c as (select score, {dot_sql('a.v', 'b.v')} / (sqrt({dot_sql('a.v', 'a.v')}) * sqrt({dot_sql('b.v', 'b.v')})) as cosine from w join emb a on a.rank = ra join emb b on b.rank = rb),
+r as (select rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0::double as rx, rank() over (order by cosine) + (count(*) over (partition by cosine) - 1) / 2.0::double as ry from c)
+select 'cosine' as metric, 'score' as task, round(corr(rx, ry), 6) + 0.0 as rho from r""")
+def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = embedding(spark, sf_dir)
+    follow = emb.select((F.col("rank") - 1).alias("rank"), F.col("word").alias("second"), F.col("rank").alias("rb"))
+    pairs = emb.join(follow, "rank").select(F.col("word").alias("first"), "second", ((F.col("rank") * 7 + F.col("rb") * 13) % 101).cast("double").alias("score"))
+    return rounded(downstream.word_similarity(pairs, emb), "rho")
+
+
 # Statistics over result tables
 
 T = f"with {trial.SQL}"
@@ -454,12 +548,57 @@ def gather_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide, *MEASURES, *TASKS)
 
 
-@query("result_summary", f"{T} select space, bitrate, dim, {', '.join(f'round(avg({c}), 6) as {c}_mean, round(stddev_samp({c}), 6) as {c}_std' for c in MEASURES + TASKS)} from trial group by all")
-def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.summary(trials(spark, sf_dir), ["space", "bitrate", "dim"], MEASURES + TASKS)
+def _summary_sql(by: str) -> str:
+    return f"{T} select {by}, {', '.join(f'round(avg({c}), 6) as {c}_mean, round(stddev_samp({c}), 6) as {c}_std' for c in MEASURES + TASKS)} from trial group by all"
+
+
+def _summary(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    out = stats.summary(trials(spark, sf_dir), by, MEASURES + TASKS)
     return rounded(out, *[f"{c}_{s}" for c in MEASURES + TASKS for s in ("mean", "std")])
 
 
+for _name, _by in (("result_summary", ["space", "bitrate", "dim"]), ("result_summary_by_bitrate", ["algo", "bitrate"]), ("result_summary_by_dim", ["algo", "dim"])):
+    query(_name, _summary_sql(", ".join(_by)))(partial(_summary, by=_by))
+
+
+@query("result_store", f"{T} select {KEYS_SQL}, {', '.join(f'round({c}, 6) as {c}' for c in (MEASURES[0], TASKS[0]))} from trial")
+def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a measure and of a task stored by (algo, metric), and gathered again."""
+    table, folder = trials(spark, sf_dir), new_folder(spark, "results")
+    for algo in sorted(r.algo for r in table.select("algo").distinct().collect()):
+        for metric in (MEASURES[0], TASKS[0]):
+            text.store_result(table.where(F.col("algo") == algo).withColumn("value", F.col(metric)), folder, algo, metric)
+    wide = text.gather_store(spark, folder, [MEASURES[0], TASKS[0]])
+    return rounded(wide.select(*trial.KEYS, MEASURES[0], TASKS[0]), MEASURES[0], TASKS[0])
+
+
+@query("result_file_roundtrip", f"{T} select {KEYS_SQL}, {', '.join(f'round({c}, 6) as {c}' for c in MEASURES + TASKS)} from trial")
+def result_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table as CSV under a file tag, read again with its schema."""
+    path = f"{new_folder(spark, 'csv')}/{grid.file_tag('results', compress_type='uniform', wiki=True)}"
+    text.write_results(trials(spark, sf_dir), path)
+    return rounded(text.read_results(spark, path).select(*trial.KEYS, *MEASURES, *TASKS), *MEASURES, *TASKS)
+
+
+@query("figure_series", f"{T} select round(1 - avg(knn), 6) as x, round(avg({TASKS[0]}), 6) as y, round(stddev_samp({TASKS[0]}), 6) as yerr from trial group by dim, bitrate")
+def figure_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A figure's pre-aggregated series, written as CSV and read again."""
+    path = new_folder(spark, "figure")
+    text.write_figure(stats.plot_against(trials(spark, sf_dir), "bitrate", "knn", [TASKS[0]]), path)
+    return rounded(text.read_figure(spark, path), "x", "y", "yerr")
+
+
+TAGS = [
+    (1, {"dist": "eis", "exp": 3.0, "truncate": 10000}), (2, {"dist": "knn", "truncate": 10000, "nquery": 1000, "nneighbors": 5}), (3, {"dist": "pred", "model": "la", "task": "sst", "validation": True}),
+    (4, {"dist": "quality", "model": "la", "task": "mr", "seed_test": True}), (5, {"dist": "weighted_eigen_overlap", "exp": 1, "no_norm": True, "symmetric": True, "random": True}),
+]
+
+
+@query("measure_tags", "select * from (values (1, 'eis_3.0_top_10000'), (2, 'knn_top_10000_nquery_1000_nn_5'), (3, 'la_sst_val'), (4, 'la_mr_quality_seed_test'), (5, 'weighted_eigen_overlap_1_no_norm_sym_rand')) t(n, tag)")
+def measure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, grid.measure_tag(**options)) for n, options in TAGS], "n int, tag string")
+
+
 def _spearman_sql() -> str:
     cells = " union all ".join(f"select algo, '{m}' as metric, '{t}' as task, {_oriented(m)} as x, {t} as y from trial" for m in MEASURES for t in TASKS)
     tied = lambda c: f"rank() over (partition by algo, metric, task order by {c}) + (count(*) over (partition by algo, metric, task, {c}) - 1) / 2.0::double"
@@ -558,17 +697,20 @@ def plot_against(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Additions
 
 
-@query("windowed_moments", "select time_bucket(interval '1 hour', ts)::timestamp as start, event_type as key, count(*) as n, round(sum(value), 4) + 0.0 as total, round(sum(value * value), 4) + 0.0 as squares from events group by all")
+MOMENTS = "select time_bucket(interval '1 hour', ts)::timestamp as start, event_type as key, count(*) as n, round(sum(value), 4) + 0.0 as total, round(sum(value * value), 4) + 0.0 as squares from events group by all"
+
+
+@query("windowed_moments", MOMENTS)
 def windowed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rounded(drift.windowed_moments(events, "ts", "event_type", "value"), "total", "squares", digits=4)
 
 
-@query("streamed_moments")
+@query("streamed_moments", MOMENTS)
 def streamed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return rounded(drift.run_to_end(drift.windowed_moments(stream, "ts", "event_type", "value"), "moments"), "total", "squares", digits=4)
+    return rounded(drift.run_to_end(drift.windowed_moments(stream, "ts", "event_type", "value"), ["start", "key"], new_folder(spark, "moments")), "total", "squares", digits=4)
 
 

@@ -12,13 +12,20 @@ _SPACE = r"[ \t\r\n\f]+"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line), lines counted from 0 in each file: the place of a line's first byte orders them."""
+    """(path, line_no, line), lines counted from 0 in each file.
+
+    Lines are counted in the splits that the scan makes of a file, a task each at most, and what stands in the splits
+    before is added, so a large file isn't sorted as a whole.
+    """
     rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    place = F.row_number().over(_by("path", "block", "at")) - 1
-    return rows.select("path", place.cast("bigint").alias("line_no"), "line")
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = counts.select("path", "block", (F.sum("n").over(_by("path", "block")) - F.col("n")).alias("before"))
+    place = F.row_number().over(_by(["path", "block"], "at")) - 1
+    numbered = rows.withColumn("place", place).join(before, ["path", "block"])
+    return numbered.select("path", (F.col("place") + F.col("before")).cast("bigint").alias("line_no"), "line")
 
 
-def _by(key: str, *order: str):
+def _by(key: str | list[str], *order: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(key).orderBy(*order)
@@ -58,7 +65,10 @@ def embedding_line(word: Column | str, vec: Column | str) -> Column:
 
 
 def write_embedding(emb: DataFrame, path: str, header: bool = False) -> None:
-    """Replaces `path` by one ordered text file of `emb`, a header line `n d` first if asked for."""
+    """Replaces `path` by one ordered text file of `emb`, a header line `n d` first if asked for.
+
+    The format is one file in order, so one task writes it; its rows stream through and are sorted with spilling.
+    """
     rows = emb.select("rank", embedding_line("word", "vec").alias("value"))
     if header:
         n, d = emb.agg(F.count("*"), F.max(F.size("vec"))).first()
@@ -93,10 +103,10 @@ def parse_vocab_counts(lines: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.max_by("cnt", "line_no").alias("cnt"))
 
 
-def parse_ner_lines(lines: DataFrame) -> DataFrame:
-    """(line_no, token, gold, pred) of the lines with more than three fields between single spaces."""
-    fields = F.split("line", " ")
-    return lines.select("line_no", fields.alias("f")).where(F.size("f") > 3).select("line_no", F.col("f")[0].alias("token"), F.col("f")[1].alias("gold"), F.col("f")[2].alias("pred"))
+def parse_ner_lines(lines: DataFrame, fields: int = 4) -> DataFrame:
+    """(line_no, token, gold, pred) of the lines with at least `fields` (three or more) fields between single spaces."""
+    cut = F.split("line", " ")
+    return lines.select("line_no", cut.alias("f")).where(F.size("f") >= max(3, fields)).select("line_no", F.col("f")[0].alias("token"), F.col("f")[1].alias("gold"), F.col("f")[2].alias("pred"))
 
 
 def line_from_end(lines: DataFrame, place: int) -> DataFrame:
@@ -110,8 +120,7 @@ def line_from_end(lines: DataFrame, place: int) -> DataFrame:
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(model_key, example_id, pred) from the first of `paths` that exists, as runs are named in more than one way."""
     for path in paths:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        if _exists(spark, path):
             return spark.read.parquet(path)
     raise FileNotFoundError(" or ".join(paths))
 
@@ -127,3 +136,62 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    predictions.select("example_id", "pred").write.mode("overwrite").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def prediction_paths(folder: str, name: str, validation: bool = False) -> list[str]:
+    """Where a run's predictions may stand: with validation, its `.val` file, else the plain one; without, the plain one."""
+    plain = f"{folder}/{name}.pred"
+    return [f"{folder}/{name}.val.pred", plain] if validation else [plain]
+
+
+def missing_artifacts(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of `paths` that don't exist; a sweep is complete without any."""
+    return [x for x in paths if not _exists(spark, x)]
+
+
+# The store of results: a folder for each (algo, metric), so that measures are computed and replaced one by one.
+
+STORE_KEYS = ("seed", "dim", "lr", "bitrate", "compress_type", "space")
+
+
+def store_result(values: DataFrame, folder: str, algo: str, metric: str) -> None:
+    """Replaces one measure's values (STORE_KEYS, value) of one algorithm."""
+    values.select(*STORE_KEYS, F.col("value").cast("double").alias("value")).write.mode("overwrite").parquet(f"{folder}/algo={algo}/metric={metric.replace('.', '%2E')}")
+
+
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """(algo, metric, STORE_KEYS, value) of all that is stored; only the asked-for algorithms and metrics are read."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    return rows.select(F.col("algo").cast("string").alias("algo"), F.regexp_replace(F.col("metric").cast("string"), "%2E", ".").alias("metric"), *STORE_KEYS, "value")
+
+
+def gather_store(spark: SparkSession, folder: str, metrics: list[str]) -> DataFrame:
+    """A wide result table of the store, a column for each of `metrics`; cells that some metric lacks are left out."""
+    rows = read_store(spark, folder).where(F.col("metric").isin(metrics))
+    names = [f"m{i}" for i in range(len(metrics))]  # metrics may have dots
+    wide = rows.groupBy("algo", *STORE_KEYS).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in zip(metrics, names)])
+    return wide.dropna(subset=names).toDF("algo", *STORE_KEYS, *metrics)
+
+
+# The columns of the figures' series.
+FIGURE = {"x": "Disagreement|x", "y": "Disagreement|y", "yerr": "Disagreement|y_std"}
+
+
+def write_figure(series: DataFrame, path: str) -> None:
+    """A pre-aggregated series (x, y, yerr) as CSV under the figures' names."""
+    series.select(*[F.col(c).alias(name) for c, name in FIGURE.items()]).orderBy(*[F.col(f"`{x}`") for x in FIGURE.values()]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_figure(spark: SparkSession, path: str) -> DataFrame:
+    schema = ", ".join(f"`{name}` double" for name in FIGURE.values())
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.select(*[F.col(f"`{name}`").alias(c) for c, name in FIGURE.items()])

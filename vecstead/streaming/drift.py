@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def windowed_moments(events: DataFrame, time: str, key: str, value: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -13,8 +14,18 @@ def windowed_moments(events: DataFrame, time: str, key: str, value: str, window:
     return marked.groupBy(F.window(time, window).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares")).select(F.col("w.start").alias("start"), "key", "n", "total", "squares")
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """What a finite stream has produced once all of it was read, as a table in memory."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """What a finite stream has produced once all of it was read: the last row of each of `keys`.
+
+    Every batch's changed rows are written under its number in `folder`, which also holds the checkpoint, so a batch that
+    runs again replaces its own rows. State and rows older than the watermark are dropped.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, names = stream.sparkSession, [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select(*keys, *[F.col("x")[c].alias(c) for c in names]).select(*stream.columns)
