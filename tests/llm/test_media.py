@@ -72,3 +72,14 @@ def test_files_without_an_index_and_foreign_files():
     assert media.read_avi(cut).frames == media.read_avi(raw).frames
     with pytest.raises(ValueError):
         media.read_avi(io.BytesIO(b"RIFFxxxxWAVE").read())
+
+
+def test_clips_of_every_document(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.clips_query(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in TEXTS}
+    for doc_id, text in TEXTS:
+        raw = (text or "").encode()
+        found = media.read_media(media.write_avi(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))).clips
+        own = sorted((r.clip, r.first_frame, r.last_frame, r.start_ms, r.end_ms) for r in got if r.doc_id == doc_id)
+        assert own == [(n, a, b - 1, start, end) for n, (a, b, start, end, _) in enumerate(found)]

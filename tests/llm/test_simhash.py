@@ -87,6 +87,7 @@ def test_exhaustive_tables_miss_no_pair(rows):
 
 def test_hot_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MAX_BUCKET", 16)
+    monkeypatch.setattr(simhash, "AT_ONCE", 40)
     rng = np.random.default_rng(5)
     base = np.zeros((200, 8), dtype=np.uint8)
     base[np.arange(200), rng.integers(5, 8, 200)] = rng.integers(0, 256, 200)

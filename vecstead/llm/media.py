@@ -369,3 +369,9 @@ def clip_rows(media: DataFrame, key: str = "doc_id", column: str = "media") -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return describe_media(store_media(docs, drop=("text",)), drop=("media",))
+
+
+def clips_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips of every document's file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return clip_rows(store_media(docs, drop=("text",)))

@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_quality": quality.query,
+    "media_clips": media.clips_query,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": url_filter.ORACLE}

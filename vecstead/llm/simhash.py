@@ -25,6 +25,8 @@ from vecstead.llm.trie import spanning, trie_pairs
 SEED = 42
 #: Most fingerprints of a bucket that one task joins at once.
 MAX_BUCKET = 2048
+#: Fingerprints that a task holds before it joins them.
+AT_ONCE = 100_000
 
 
 def shingle_hashes(raw: bytes | None, words: int) -> np.ndarray:
@@ -130,16 +132,15 @@ def _chunked(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, tables: Tables) -> DataFrame:
-    """(a, b): a spanning forest, task by task, of the links between distinct `prints.print` within the tables' budget."""
+    """(a, b): spanning forests of the links between distinct `prints.print` within the tables' budget.
+
+    A task streams its groups, AT_ONCE fingerprints or one group at a time, and hands on a forest for each such part.
+    """
     width, budget, schema = tables.bits // 8, tables.budget, {"a": "binary", "b": "binary"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        bucket = np.concatenate([b.column(0).to_numpy() for b in got])
-        meet = np.concatenate([b.column(1).to_numpy() for b in got])
-        raw = np.frombuffer(b"".join(x for b in got for x in b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, width)
+    def forest(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        bucket, meet = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in (0, 1))
+        raw = np.frombuffer(b"".join(x for b in rows for x in b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, width)
         group = np.unique(np.stack([bucket, meet.astype(np.int64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
         same, row_print = np.unique(raw.view(f"V{width}").reshape(-1), return_inverse=True)
         label = np.arange(len(same))
@@ -148,9 +149,26 @@ def fingerprint_links(prints: DataFrame, tables: Tables) -> DataFrame:
             tree = np.flatnonzero(label != np.arange(len(label)))
             label = spanning(len(same), np.r_[row_print[i], tree], np.r_[row_print[j], label[tree]])
         member = np.flatnonzero(label != np.arange(len(label)))
-        yield batch_of(schema, [[x.tobytes() for x in same[member]], [x.tobytes() for x in same[label[member]]]])
+        return batch_of(schema, [[x.tobytes() for x in same[member]], [x.tobytes() for x in same[label[member]]]])
 
-    return _chunked(_bucketed(prints, tables)).repartition("bucket", "meet").mapInArrow(run, ddl(schema))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            bucket, meet = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.flatnonzero((bucket[1:] != bucket[:-1]) | (meet[1:] != meet[:-1])) + 1
+            if size + len(batch) > AT_ONCE and len(ends):
+                # whole groups leave together, and the last one waits for the rest of its rows
+                cut = int(ends[-1])
+                yield forest([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += len(batch)
+        if held:
+            yield forest(held)
+
+    return _chunked(_bucketed(prints, tables)).repartition("bucket", "meet").sortWithinPartitions("bucket", "meet").mapInArrow(run, ddl(schema))
 
 
 def print_roots(prints: DataFrame, tables: Tables) -> DataFrame:
