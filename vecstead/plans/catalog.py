@@ -110,6 +110,11 @@ def emb_random_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.shared(embedding(spark, sf_dir, 1, 32), embedding(spark, sf_dir, 33, 32), 40, random=True).select("rank", "word")
 
 
+@query("emb_vocabulary", f"with {EMB} select rank, word from emb")
+def emb_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.vocabulary(embedding(spark, sf_dir))
+
+
 @query("anchor_bundle", f"""with {EMB} select rank, word, round(list_sum(v[1:16]), 6) + 0.0 as se, round(list_sum(v[17:32]), 6) + 0.0 as sf from emb order by rank limit 300""")
 def anchor_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors on their 300 commonest shared words, stored and read again."""
