@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
+from vecstead.functions.shared import durable, new_folder, remove  # noqa: F401
+
 #: Rows that are computed at once in a task.
 AT_ONCE = 1000
 ARROW = {
@@ -45,38 +43,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder is set only where there is none, as in tests."""
-    context = spark.sparkContext
-    if set_ := spark.conf.get("spark.checkpoint.dir", None):
-        return set_.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the shared folder, so that a lost executor doesn't cost a recomputation. For small tables."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder as a compressed table and read again; the table goes when the program ends."""
+    """`df` written to the shared folder as a compressed table and read again; the table goes when the program ends, or by `release`."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def release(table: DataFrame) -> None:
+    """Deletes what `written` made, once nothing reads it any more."""
+    remove(table.sparkSession, table.folder)
 
 
 def append_columns(

@@ -128,7 +128,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
 
     A rule fits its host and all subdomains where the path starts with the rule's path; of those that fit, the longest host
     and path together win. Null urls, urls without `://` and urls that no rule fits have a null rule and the verdict
-    `unlisted`. Repeated rows each get their row; an empty table gives an empty one; columns of `pages` that are called
+    `unlisted`. Rules of one host and path are one rule, and two verdicts for it raise, so there are no ties; urls of any
+    length are read whole. Repeated rows each get their row; an empty table gives an empty one; columns of `pages` that are called
     host, path, rule or verdict are replaced.
     """
     spark = pages.sparkSession
