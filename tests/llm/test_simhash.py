@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vecstead.llm import simhash, trie
-from vecstead.llm.components import connected_components
+from vecstead.llm.components import connected_components, forest_roots
 
 SCHEMA = "doc_id long, text string"
 
@@ -101,3 +101,18 @@ def test_hot_buckets_are_cut(spark, monkeypatch):
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in connected_components(edges).collect()} == {(i, 0) for i in range(201)}
+
+
+def test_roots_of_a_forest(spark):
+    rng = np.random.default_rng(3)
+    parent = {b: int(rng.integers(0, b)) for b in range(1, 120) if b % 7} | {b: b - 1 for b in range(200, 260)}
+    links = spark.createDataFrame(list((a, b) for b, a in parent.items()), "a long, b long")
+    want = {}
+    for node in {*parent, *parent.values()}:
+        at = node
+        while at in parent:
+            at = parent[at]
+        want[node] = at
+    got = forest_roots(links).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert forest_roots(links.limit(0)).count() == 0

@@ -36,3 +36,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         mark = tuple(row)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def forest_roots(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of `links` (a, b), in which each b occurs once and a is less: by doubling of the paths."""
+    found = durable(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    while True:
+        up = found.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        moved = durable(found.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+        if moved.where("moved").isEmpty():
+            return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+        found = moved.drop("moved")
