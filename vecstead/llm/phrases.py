@@ -30,11 +30,13 @@ LEAST, LONGEST, FIRST = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Rows of a sketch; log2 of its cells at least and at most (a bit for each cell and row is broadcast: 64 MB); n-grams that
 #: share a cell on average; and ranges of cells that are merged by themselves.
-DEPTH, LEAST_BITS, MOST_BITS, LOAD, RANGES = 2, 16, 28, 6, 256
+DEPTH, LEAST_BITS, MOST_BITS, LOAD, RANGES = 2, 16, 28, 16, 256
 #: The lengths that share a sketch, in the order of the passes.
 PASSES = ((1, 2), (3, 4, 5))
 #: Bytes of text that a task holds as words at once; and rows, of languages or counts, that are broadcast at most.
 BLOCK, MOST_SENT = 4 << 20, 100_000
+#: Counts of phrases that a task gathers before it adds up equal ones.
+GATHERED = 400_000
 #: Rows of a language that one task orders at once, and groups that meet in the next step.
 ORDERED, FAN = 1 << 16, 32
 
@@ -202,8 +204,10 @@ def frequent(texts: DataFrame, lengths: tuple[int, ...], bits: int, known: list[
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sums = None, None
 
+        pack = zstandard.ZstdCompressor(level=1)
+
         def bits_of(sums: np.ndarray) -> bytes:
-            return np.packbits(sums >= least, bitorder="little").tobytes()
+            return pack.compress(np.packbits(sums >= least, bitorder="little").tobytes())
 
         for batch in batches:
             for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -219,7 +223,7 @@ def frequent(texts: DataFrame, lengths: tuple[int, ...], bits: int, known: list[
     marks = np.zeros((DEPTH * RANGES, max(1, (1 << inner) // 8)), dtype=np.uint8)
     found = rows.toArrow()
     for part, raw in zip(found["part"].to_pylist(), found["cells"]):
-        marks[part] = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+        marks[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), dtype=np.uint8)
     return Frequent(tuple(lengths), bits, marks.reshape(DEPTH, -1))
 
 
@@ -238,16 +242,31 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST)
     schema = {"lang": "string", "phrase": "string", "words": "int", "n": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            sums = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            return pa.table({name: sums["n_sum" if name == "n" else name] for name in schema})
+
         for words, names in _blocks(batches):
             names = pa.array(names, pa.string())
             totals = np.bincount(words.lang, minlength=len(names))
-            yield batch_of(schema, [names, [""] * len(names), [0] * len(names), totals])
+            held.append(batch_of(schema, [names, [""] * len(names), [0] * len(names), totals]))
             for length, places, hashes in grams_of(words, tuple(range(1, longest + 1)), sent.value):
                 _, first, times = np.unique(hashes, return_index=True, return_counts=True)
                 at = places[first]
                 texts = [words.vocabulary.take(pa.array(words.code[at + i])) for i in range(length)]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if length > 1 else texts[0]
-                yield batch_of(schema, [names.take(pa.array(words.lang[at])), phrase.cast(pa.large_string()).cast(pa.string()), np.full(len(at), length, dtype=np.int32), times])
+                held.append(batch_of(schema, [names.take(pa.array(words.lang[at])), phrase.cast(pa.large_string()).cast(pa.string()), np.full(len(at), length, dtype=np.int32), times]))
+                size += len(at)
+            if size >= GATHERED:
+                held = added().to_batches()
+                size = sum(map(len, held))
+                if size > GATHERED // 2:  # mostly different ones
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from added().to_batches(max_chunksize=10_000)
 
     found = texts.mapInArrow(run, ddl(schema)).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return found.where((F.col("words") == 0) | (F.col("n") >= least))
