@@ -35,6 +35,20 @@ def remove(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of what stands in `folder`, in order; none if it does not exist."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(x.getPath()) for x in files.listStatus(place)) if files.exists(place) else []
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Moves `old` to `new` in one step; a file system that refuses raises."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new)]
+    if not paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths):
+        raise OSError(f"could not move {old} to {new}")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder, so that a lost executor doesn't cost a recomputation."""
     shared_folder(df.sparkSession)

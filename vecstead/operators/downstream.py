@@ -75,11 +75,9 @@ def train_and_predict(train: DataFrame, test: DataFrame, emb: DataFrame, regular
 def word_similarity(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     """Spearman correlation of human scores (first, second, score) with cosines of the words' vectors."""
     from vecstead.functions.vectors import dot, norm
-    from vecstead.operators.stats import spearman
+    from vecstead.operators.stats import spearman_of_many
 
     a, b = emb.select(F.col("word").alias("first"), F.col("vec").alias("x")), emb.select(F.col("word").alias("second"), F.col("vec").alias("y"))
     both = pairs.join(a, "first").join(b, "second")
-    return spearman(both.select("score", F.try_divide(dot("x", "y"), norm("x") * norm("y")).alias("cosine")), ["cosine"], ["score"])
+    return spearman_of_many(both.select("score", F.try_divide(dot("x", "y"), norm("x") * norm("y")).alias("cosine")), "cosine", "score")
 
-
-__all__ = ["complete", "disagreement", "ner_disagreement", "ner_quality", "sentence_vectors", "sentiment_quality", "tag_disagreement", "train_and_predict", "word_similarity"]

@@ -14,6 +14,7 @@ from vecstead.functions.shared import durable
 from vecstead.functions.vectors import cosine_distance, squared_difference
 from vecstead.operators import align
 from vecstead.operators.gram import gram, matrix, rotate, triangular
+from vecstead.operators.neighbours import PRODUCTS, best_of, unit
 
 #: Singular values under this share of the largest count as zero, as their directions are arbitrary.
 RANK_TOLERANCE = 1e-12
@@ -142,10 +143,6 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cells = asked.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
     blocks = -(-cells // QUERY_CELLS)
 
-    def unit(z: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(z, axis=1, keepdims=True)
-        return z / np.where(size == 0, 1.0, size)
-
     def one(number: int) -> DataFrame:
         held = asked.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == number).orderBy("rank").toArrow().combine_chunks()
         ids = held["rank"].to_numpy()
@@ -155,21 +152,22 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             ids, vectors = sent.value
             if not len(ids):
                 return
-            best_rank = np.full((len(ids), k), np.iinfo(np.int64).max)
-            best = np.full((len(ids), k), -np.inf)
+            held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))  # of all queries: row, rank, similarity
+            least = np.full(len(ids), -np.inf)
+            step = max(1, PRODUCTS // len(ids))
             for batch in batches:
-                for lo in range(0, len(batch), 2048):
-                    part = batch.slice(lo, 2048)
+                for lo in range(0, len(batch), step):
+                    part = batch.slice(lo, step)
                     rank = part.column(0).to_numpy()
                     found = vectors @ unit(matrix(part, [1])).T
                     found[ids[:, None] == rank[None, :]] = -np.inf
-                    all_found = np.concatenate([best, found], axis=1)
-                    all_rank = np.concatenate([best_rank, np.broadcast_to(rank, found.shape)], axis=1)
-                    order = np.lexsort((all_rank, -all_found), axis=1)[:, :k]
-                    best, best_rank = np.take_along_axis(all_found, order, 1), np.take_along_axis(all_rank, order, 1)
-            real = np.isfinite(best)
-            query = np.broadcast_to(ids[:, None], best.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(query[real]), pa.array(best_rank[real]), pa.array(best[real])], names=["query", "rank", "similarity"])
+                    row, near, value = (np.concatenate(x) for x in zip(held, best_of(found, rank, k, least)))
+                    order = np.lexsort((near, -value, row))
+                    row, near, value = row[order], near[order], value[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    least[row[place == k - 1]] = value[place == k - 1]
+                    held = row[place < k], near[place < k], value[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query", "rank", "similarity"])
 
         return candidates.select("rank", "vec").mapInArrow(run, schema)
 

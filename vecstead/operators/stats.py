@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecstead.functions.shared import durable
 from vecstead.schema import higher_is_stable
 
 
@@ -61,6 +62,36 @@ def spearman(df: DataFrame, measures: list[str], tasks: list[str], by: list[str]
     return rows.groupBy(*group).agg(F.corr("rx", "ry").alias("rho"))
 
 
+def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """(by, column, n, rank): each distinct value of `column` in its group, how often it occurs, and the mean of its places, from 1.
+
+    Equal values are counted before they are dealt out by range, so neither a large group nor a common value lands in one
+    task: places are counted within each range, and what stands in the ranges before is added.
+    """
+    by = by or []
+    values = df.groupBy(*by, column).agg(F.count("*").alias("n"))
+    # written, as a range's number must not change
+    dealt = durable(values.repartitionByRange(*[F.col(c) for c in (*by, column)]).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "range").agg(F.sum("n").alias("size"))
+    ranges = Window.partitionBy(*by, F.lit(0)).orderBy("range")
+    before = sizes.select(*by, "range", (F.sum("size").over(ranges) - F.col("size")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy(*by, "range").orderBy(column))
+    rows = dealt.withColumn("inside", inside).join(F.broadcast(before) if not by else before, [*by, "range"])
+    return rows.select(*by, column, "n", (F.col("before") + F.col("inside") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def spearman_of_many(df: DataFrame, measure: str, task: str, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, task, rho) of two columns of a table of any size; rows where either is missing are left out.
+
+    Unlike `spearman`, no group is ordered by one task; rows are joined with the ranks of their two values.
+    """
+    by = by or []
+    rows = df.select(*by, oriented(measure).cast("double").alias("x"), F.col(task).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    for c in ("x", "y"):
+        rows = rows.join(average_ranks(rows.select(*by, c), c, by).select(*by, c, F.col("rank").alias(f"r{c}")), [*by, c])
+    return rows.groupBy(*by).agg(F.corr("rx", "ry").alias("rho")).select(*by, F.lit(measure).alias("metric"), F.lit(task).alias("task"), "rho")
+
+
 def selection(df: DataFrame, measures: list[str], tasks: list[str], budget: int | None = None, same_space: bool = False) -> DataFrame:
     """(algo, seed, metric, task, error, robustness, pairs) over all pairs of a seed's rows.
 
