@@ -35,8 +35,8 @@ DEPTH, LEAST_BITS, MOST_BITS, LOAD, RANGES = 2, 16, 28, 16, 256
 PASSES = ((1, 2), (3, 4, 5))
 #: Bytes of text that a task holds as words at once; and rows, of languages or counts, that are broadcast at most.
 BLOCK, MOST_SENT = 4 << 20, 100_000
-#: Counts of phrases that a task gathers before it adds up equal ones.
-GATHERED = 400_000
+#: Counts of phrases that a task gathers before it adds up equal ones; parts of phrases that are merged by themselves, at least.
+GATHERED, LEAST_PARTS = 400_000, 64
 #: Rows of a language that one task orders at once, and groups that meet in the next step.
 ORDERED, FAN = 1 << 16, 32
 
@@ -240,36 +240,76 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST)
             known = [*known, frequent(texts, lengths, sketch_bits(size, len(lengths)), known, least)]
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = {"lang": "string", "phrase": "string", "words": "int", "n": "bigint"}
+    packed, parts = {"part": "int", "counts": "binary"}, max(LEAST_PARTS, size // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def added() -> pa.Table:
-            sums = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
-            return pa.table({name: sums["n_sum" if name == "n" else name] for name in schema})
-
         for words, names in _blocks(batches):
             names = pa.array(names, pa.string())
             totals = np.bincount(words.lang, minlength=len(names))
-            held.append(batch_of(schema, [names, [""] * len(names), [0] * len(names), totals]))
+            held.append(batch_of({"part": "int"} | schema, [[0] * len(names), names, [""] * len(names), [0] * len(names), totals]))
             for length, places, hashes in grams_of(words, tuple(range(1, longest + 1)), sent.value):
-                _, first, times = np.unique(hashes, return_index=True, return_counts=True)
+                own, first, times = np.unique(hashes, return_index=True, return_counts=True)
                 at = places[first]
                 texts = [words.vocabulary.take(pa.array(words.code[at + i])) for i in range(length)]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if length > 1 else texts[0]
-                held.append(batch_of(schema, [names.take(pa.array(words.lang[at])), phrase.cast(pa.large_string()).cast(pa.string()), np.full(len(at), length, dtype=np.int32), times]))
+                phrase = phrase.cast(pa.large_string()).cast(pa.string())
+                held.append(batch_of({"part": "int"} | schema, [(_mixed(own) % np.uint64(parts)).astype(np.int32), names.take(pa.array(words.lang[at])), phrase, np.full(len(at), length, dtype=np.int32), times]))
                 size += len(at)
             if size >= GATHERED:
-                held = added().to_batches()
-                size = sum(map(len, held))
+                held = [_added(pa.Table.from_batches(held), "part")]
+                size = len(held[0])
                 if size > GATHERED // 2:  # mostly different ones
-                    yield from held
+                    yield _sent_parts(held[0], packed)
                     held, size = [], 0
+                else:
+                    held = held[0].to_batches()
         if held:
-            yield from added().to_batches(max_chunksize=10_000)
+            yield _sent_parts(_added(pa.Table.from_batches(held), "part"), packed)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+
+        def frequent_ones() -> Iterator[pa.RecordBatch]:
+            sums = _added(pa.concat_tables(held))
+            yield from sums.filter(pc.or_(pc.equal(sums["words"], 0), pc.greater_equal(sums["n"], least))).to_batches(max_chunksize=10_000)
 
-    found = texts.mapInArrow(run, ddl(schema)).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return found.where((F.col("words") == 0) | (F.col("n") >= least))
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if at != part:
+                    if held:
+                        yield from frequent_ones()
+                    part, held, size = at, [], 0
+                held.append(pa.ipc.open_stream(raw.as_buffer()).read_all())
+                size += len(held[-1])
+                if size >= GATHERED and len(held) > 1:
+                    held = [_added(pa.concat_tables(held))]
+                    size = 0
+        if held:
+            yield from frequent_ones()
+
+    return texts.mapInArrow(run, ddl(packed)).repartition("part").sortWithinPartitions("part").mapInArrow(merge, ddl(schema))
+
+
+def _added(counts: pa.Table, *keys: str) -> pa.Table:
+    """Equal phrases of `counts` in one row each, their counts added up."""
+    names = [*keys, "lang", "phrase", "words"]
+    sums = counts.group_by(names).aggregate([("n", "sum")])
+    return pa.table({name: sums["n_sum" if name == "n" else name] for name in (*names, "n")})
+
+
+def _sent_parts(counts: pa.Table, schema: dict[str, str]) -> pa.RecordBatch:
+    """A row for each part of `counts`: its phrases and counts, compressed."""
+    counts = counts.sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    part = counts["part"].to_numpy()
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    rows, options = [], pa.ipc.IpcWriteOptions(compression="zstd")
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, counts.schema.remove(0), options=options) as out:
+            out.write_table(counts.slice(lo, hi - lo).drop_columns(["part"]))
+        rows.append(sink.getvalue().to_pybytes())
+    return batch_of(schema, [part[edges[:-1]], rows])
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
