@@ -387,28 +387,32 @@ def stability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Grid, names, jobs
 
-GRID_SQL = "g as (select algo, seed, dim, bitrate, dim * bitrate as space from (select unnest(['mc', 'glove', 'ft_sg']) as algo) cross join (select unnest([1234, 1235, 1236]) as seed) cross join (select unnest([25, 50, 100, 200, 400, 800]) as dim) cross join (select unnest([1, 2, 4, 8, 16, 32]) as bitrate))"
-GRID_ALGOS = ("mc", "glove", "ft_sg")
+# The grid is that of the trials, so jobs follow the table.
+GRID_SQL = f"{trial.SQL.strip()}, g as (select distinct algo, seed, dim, bitrate, dim * bitrate as space from trial)"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.cells_of(trials(spark, sf_dir))
 
 
 @query("experiment_grid", f"with {GRID_SQL} select * from g")
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.grid(spark, GRID_ALGOS)
+    return _cells(spark, sf_dir)
 
 
 NAMED = """n as (select *, algo || '_wiki.en.txt_' || year || '_seed_' || seed || '_dim_' || dim
-  || case algo when 'mc' then '_lr_0.2.50.txt' when 'glove' then '_lr_0.01.050.w.txt' else '.vec' end as base from g cross join (select unnest([2017, 2018]) as year))"""
+  || case algo when 'mc' then '_lr_0.2.50.txt' else '_lr_0.05.50.w.txt' end as base from g cross join (select unnest([2017, 2018]) as year))"""
 
 
 @query("compress_jobs", f"""with {GRID_SQL}, {NAMED} select algo, seed, dim, bitrate, year, case year when 2017 then 'old/' else 'new/' end || base as source,
 case year when 2018 then 'old/' || replace(base, 'txt_2018', 'txt_2017') end as base, case year when 2017 then 'old/' || base || '_br_' || bitrate else 'new/' || base || '_br_' || bitrate || '_same_range' end as target from n""")
 def compress_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.compress_jobs(grid.grid(spark, GRID_ALGOS), "old", "new")
+    return grid.compress_jobs(_cells(spark, sf_dir), "old", "new")
 
 
 @query("path_parse", f"with {GRID_SQL}, {NAMED} select distinct 'old/' || base as name, seed, dim from n where year = 2017 union all select 'no_numbers.txt', null, null")
 def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = grid.compress_jobs(grid.grid(spark, GRID_ALGOS), "old", "new").where("year = 2017").select(F.col("source").alias("name")).distinct()
+    names = grid.compress_jobs(_cells(spark, sf_dir), "old", "new").where("year = 2017").select(F.col("source").alias("name")).distinct()
     return grid.parse_names(names.unionByName(spark.createDataFrame([("no_numbers.txt",)], "name string")))
 
 
@@ -416,15 +420,16 @@ def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'old/' || base as name, seed, dim, 'sentiment' as task, '--task sentiment --lr 0.001 --seed ' || seed || ' --model la --dataset sst --no_normalize --model_seed ' || (seed + 1000) || ' --data_seed ' || (seed + 1000) || ' --predict' as arguments, base || '/sst2' as result from u
 union all select 'old/' || base, seed, dim, 'ner', '--task ner --lr 1.0 --seed ' || seed || ' --crf', base || '/ner_crf_lr_1.0' from u""")
 def model_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = grid.compress_jobs(grid.grid(spark, GRID_ALGOS), "old", "new").where("year = 2017").select(F.col("source").alias("name")).distinct()
+    names = grid.compress_jobs(_cells(spark, sf_dir), "old", "new").where("year = 2017").select(F.col("source").alias("name")).distinct()
     return grid.model_jobs(names, "sentiment", 0.001, dataset="sst2", predict=True, seed_test=True).unionByName(grid.model_jobs(names, "ner", 1.0, crf=True))
 
 
-@query("rate_lookup", """with r(algo, task, lr) as (values ('mc', 'la_sst', 0.001), ('mc', 'la_sst_quality', 0.001), ('w2v_cbow', 'la_mr', 0.001), ('glove', 'rnn_no_crf_ner', 1.0), ('ft_sg', 'la_subj', 100.0), ('mc', 'la_mpqa_val', 0.001), ('glove', 'unknown', null))
-select algo, task, lr::double as lr from r""")
+@query("rate_lookup", f"""with {GRID_SQL}, t as (select distinct algo, unnest(['la_sst', 'la_sst_quality', 'la_mr', 'la_mpqa_val', 'rnn_no_crf_ner', 'unknown']) as task from g),
+r(algo, task, lr) as (values ('mc', 'la_sst', 0.001), ('mc', 'la_mr', 0.1), ('mc', 'la_mpqa_val', 0.001), ('mc', 'rnn_no_crf_ner', 1.0), ('w2v_cbow', 'la_sst', 0.0001), ('w2v_cbow', 'la_mr', 0.001), ('w2v_cbow', 'la_mpqa_val', 0.001), ('w2v_cbow', 'rnn_no_crf_ner', 0.1))
+select t.algo, t.task, lr::double as lr from t left join r on r.algo = t.algo and r.task = replace(t.task, '_quality', '')""")
 def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = [("mc", "la_sst"), ("mc", "la_sst_quality"), ("w2v_cbow", "la_mr"), ("glove", "rnn_no_crf_ner"), ("ft_sg", "la_subj"), ("mc", "la_mpqa_val"), ("glove", "unknown")]
-    return grid.with_rates(spark.createDataFrame(asked, "algo string, task string"))
+    names = F.array(*[F.lit(t) for t in ("la_sst", "la_sst_quality", "la_mr", "la_mpqa_val", "rnn_no_crf_ner", "unknown")])
+    return grid.with_rates(_cells(spark, sf_dir).select("algo").distinct().select("algo", F.explode(names).alias("task")))
 
 
 # Downstream
@@ -593,15 +598,12 @@ def figure_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.read_figure(spark, path), "x", "y", "yerr")
 
 
-TAGS = [
-    (1, {"dist": "eis", "exp": 3.0, "truncate": 10000}), (2, {"dist": "knn", "truncate": 10000, "nquery": 1000, "nneighbors": 5}), (3, {"dist": "pred", "model": "la", "task": "sst", "validation": True}),
-    (4, {"dist": "quality", "model": "la", "task": "mr", "seed_test": True}), (5, {"dist": "weighted_eigen_overlap", "exp": 1, "no_norm": True, "symmetric": True, "random": True}),
-]
-
-
-@query("measure_tags", "select * from (values (1, 'eis_3.0_top_10000'), (2, 'knn_top_10000_nquery_1000_nn_5'), (3, 'la_sst_val'), (4, 'la_mr_quality_seed_test'), (5, 'weighted_eigen_overlap_1_no_norm_sym_rand')) t(n, tag)")
+@query("measure_tags", f"with {GRID_SQL} select distinct dim, bitrate, 'knn_top_' || (100 * dim) || '_nquery_1000_nn_' || bitrate as tag from g")
 def measure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, grid.measure_tag(**options)) for n, options in TAGS], "n int, tag string")
+    """The column name of a neighbour measure for each (dim, bitrate) of the grid, a table of a few dozen rows."""
+    rows = _cells(spark, sf_dir).select("dim", "bitrate").distinct().collect()
+    tagged = [(r.dim, r.bitrate, grid.measure_tag("knn", truncate=100 * r.dim, nneighbors=r.bitrate)) for r in rows]
+    return spark.createDataFrame(tagged, "dim int, bitrate int, tag string")
 
 
 def _spearman_sql() -> str:

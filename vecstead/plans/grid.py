@@ -16,6 +16,11 @@ def grid(spark: SparkSession, algos: tuple[str, ...] = ("mc",), seeds: tuple[int
     return one.select("algo", "seed", "dim", "bitrate", (F.col("dim") * F.col("bitrate")).alias("space"))
 
 
+def cells_of(results: DataFrame) -> DataFrame:
+    """(algo, seed, dim, bitrate, space): the cells that a result table has."""
+    return results.select("algo", "seed", "dim", "bitrate", (F.col("dim") * F.col("bitrate")).alias("space")).distinct()
+
+
 def _choice(column: Column, values: dict) -> Column:
     out = F.lit(None)
     for key, value in values.items():

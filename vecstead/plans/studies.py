@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.functions.vectors import doubles, section
-from vecstead.operators import downstream, neighbours, stats, tagger
-from vecstead.plans import cells
-from vecstead.plans.catalog import AB, EMB, SIMILAR, _g, _instability, _power, embedding, pair, query, rounded
+from vecstead.functions import sql
+from vecstead.functions.shared import new_folder
+from vecstead.functions.vectors import doubles, section, total
+from vecstead.operators import approximate, codebooks, compress, downstream, finetune, neighbours, stats, tagger
+from vecstead.plans import cells, tasks
+from vecstead.plans.catalog import EMB, M2, ORACLES, PIP_SQL, SIMILAR, _g, _instability, _power, embedding, pair, query, rounded
+from vecstead.sources import folder
+from vecstead.streaming import drift
 
 # Exact neighbours of every word
 
@@ -71,6 +75,36 @@ def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cells.measured_cells(quads, [4, 8, 12], [1, 2, 4, 32], queries=asked), "eis", "knn", "sem_disp", "pip", "eigen_overlap")
 
 
+def _by_language(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(example_id, text, label, train): documents whose language is known, each word by its hash one of `n`; the label is English or not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
+    hashed = F.array_join(F.transform(F.split(F.trim("text"), r"\s+"), lambda w: F.pmod(F.crc32(w), F.lit(max(n, 1))).cast("string")), " ")
+    return docs.select(F.col("doc_id").alias("example_id"), hashed.alias("text"), (F.col("lang") == "en").cast("int").alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 2 == 0).alias("train"))
+
+
+@query("stability_cells")
+def stability_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's whole table for three seeds: all distances, and disagreement and accuracy of classifiers of the documents' language."""
+    quads = _versions(spark, sf_dir, 12, 3, 8)
+    asked = quads.where("rank % 100 = 0").select("seed", "rank")
+    distances = cells.measured_cells(quads, [4, 12], [1, 4, 32], queries=asked)
+    emb = embedding(spark, sf_dir)
+    lines = _by_language(spark, sf_dir, emb.count())
+    bags = finetune.bags(lines, emb).select("example_id", F.col("word").cast("bigint").alias("rank"), "share")
+    found = tasks.cell_tasks(bags, lines.select("example_id", "label", "train"), quads, [4, 12], [1, 4, 32])
+    return rounded(distances.join(found, ["seed", "dim", "bitrate"]), "eis", "knn", "sem_disp", "pip", "eigen_overlap", "disagreement", "quality", digits=4)
+
+
+@query("finetune_seeds")
+def finetune_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disagreement of fine-tuned classifiers of the documents' language that differ in their model seed, or in their data seed alone."""
+    emb = embedding(spark, sf_dir, 1, 16)
+    lines = _by_language(spark, sf_dir, emb.count())
+    preds = [finetune.predicted(lines.where("not train"), finetune.finetuned(lines.where("train"), emb, model, data, rounds=4, rate=20.0)) for model, data in ((1234, 1234), (2234, 1234), (1234, 2234))]
+    rows = [downstream.disagreement(preds[0], p).select(F.lit(name).alias("seed"), "disagreement") for p, name in ((preds[1], "model"), (preds[2], "data"))]
+    return rounded(rows[0].unionByName(rows[1]), "disagreement", digits=3)
+
+
 # Ranks and correlation at any size
 
 RANKS = "select event_type, cast(floor(value) as bigint) as level, value from events"
@@ -138,3 +172,96 @@ def ner_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.append(both.select(F.xxhash64("sentence_id", "pos").alias("line_no"), F.lit("").alias("token"), F.col("tag").alias("gold"), "pred"))
     found = downstream.ner_disagreement(*lines)
     return rounded(found.join(scores[0]).join(scores[1]), "disagreement", "f1_1", "f1_2", digits=3)
+
+
+# Folders of embedding files
+
+
+def _many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, dim, bitrate, rank, word, vec): the embedding's cuts of 4, 8 and 16 entries from 17 places, at six bitrates' names."""
+    keys = F.array(*[F.struct(F.lit(s).alias("place"), F.lit(d).alias("dim"), F.lit(b).alias("bitrate")) for s in range(17) for d in (4, 8, 16) for b in (1, 2, 4, 8, 16, 32)])
+    rows = embedding(spark, sf_dir).select("rank", "word", "vec", F.inline(keys))
+    return rows.select((1234 + F.col("place")).alias("seed"), "dim", "bitrate", "rank", "word", F.slice("vec", 1 + F.col("place"), F.col("dim")).alias("vec"))
+
+
+@query("embedding_folder", f"""with {EMB}, c as (select s, d, b, rank, list_slice(v, 1 + s, s + d) as v from emb cross join (select unnest(range(17)) as s) cross join (select unnest([4, 8, 16]) as d) cross join (select unnest([1, 2, 4, 8, 16, 32]) as b))
+select (1234 + s)::int as seed, d as dim, b as bitrate, 'emb_seed_' || (1234 + s) || '_dim_' || d || '_br_' || b || '.txt' as file, count(*) as n, sum(rank)::bigint as ranks, min(len(v))::int as width,
+round(sum(list_sum(list_transform(v, lambda x: printf('%.6f', x)::double))), 4) + 0.0 as total from c group by all""")
+def embedding_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """306 files written as a folder and read in one call: keys from names, ranks and numbers as they were."""
+    path = new_folder(spark, "embeddings")
+    folder.write_folder(_many_files(spark, sf_dir), path, header=True)
+    rows = folder.read_folder(spark, path)
+    found = rows.groupBy("seed", "dim", "bitrate", "file").agg(F.count("*").alias("n"), F.sum("rank").alias("ranks"), F.min(F.size("vec")).alias("width"), F.sum(total("vec")).alias("total"))
+    return rounded(found, "total", digits=4)
+
+
+# A stream of versions
+
+
+@query("streamed_drift", """with recursive n as (select count(*) as n from embeddings), e as (select time_bucket(interval '1 day', ts)::timestamp as start, max(ts) over () as last, user_id % n.n as id from events, n),
+p as (select start, last, v[1] - v[3] as d1, v[2] - v[4] as d2, v[1] + v[3] as s1, v[2] + v[4] as s2, v[1] as x1, v[2] as x2, v[3] as y1, v[4] as y2 from e join (select vec_id, embedding::double[] as v from embeddings) on vec_id = id),
+g as (select start, last, count(*) as n, sum(x1*x1) as xx11, sum(x1*x2) as xx12, sum(x2*x2) as xx22, sum(y1*y1) as yy11, sum(y1*y2) as yy12, sum(y2*y2) as yy22, sum(x1*y1) as xy11, sum(x1*y2) as xy12, sum(x2*y1) as xy21, sum(x2*y2) as xy22 from p group by start, last)
+select start, n, round(sqrt(xx11*xx11 + 2*xx12*xx12 + xx22*xx22 + yy11*yy11 + 2*yy12*yy12 + yy22*yy22 - 2*(xy11*xy11 + xy12*xy12 + xy21*xy21 + xy22*xy22)), 4) as pip,
+round(""" + (M2("xx11", "xx12", "xx12", "xx22").inv @ M2("xy11", "xy12", "xy21", "xy22") @ M2("yy11", "yy12", "yy12", "yy22").inv @ M2("xy11", "xy21", "xy12", "xy22")).trace + """ / 2, 6) as eigen_overlap
+from g where start < time_bucket(interval '1 day', last)::timestamp - interval '1 day'""")
+def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily drift between two versions of the vectors that events point to, for the days that a stream of them has ended."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = vectors.count()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % n).alias("vec_id"))
+    pairs = stream.join(vectors.select("vec_id", doubles("embedding").alias("v")), "vec_id").select("ts", section("v", 1, 2).alias("x"), section("v", 3, 2).alias("y"))
+    found = drift.ended_windows(drift.gram_drift(pairs, "1 day", "1 hour"), new_folder(spark, "drift"))
+    return found.select("start", "n", F.round("pip", 4).alias("pip"), F.round("eigen_overlap", 6).alias("eigen_overlap"))
+
+
+# Codebooks
+
+
+@query("codebook_quantize", f"""with {EMB}, b as (select max(list_max(list_transform(v, lambda x: abs(x)))) as r from emb)
+select bits, true as no_worse from b cross join (select unnest([1, 2, 4, 8]) as bits)""")
+def codebook_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether k-means codebooks have no more squared error than uniform levels, of all entries, at each bitrate."""
+    emb = embedding(spark, sf_dir)
+    uniform = compress.squared_errors(emb, [64], [1, 2, 4, 8]).select("bits", F.col("squared_error").alias("uniform"))
+    own = codebooks.codebook_errors(emb, [1, 2, 4, 8])
+    return own.join(uniform, "bits").select("bits", (F.col("squared_error") <= F.col("uniform")).alias("no_worse"))
+
+
+# Approximate neighbours
+
+
+@query("neighbors_approximate", f"with {EMB} select count(*) as queries, true as recall_reached from emb")
+def neighbors_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nine of ten of all words' exact five nearest are among the approximate ones."""
+    emb = embedding(spark, sf_dir, 1, 32)
+    found = approximate.recall(approximate.approximate_nearest(emb, 5), neighbours.nearest_of_all(emb, 5))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+# The measures in SQL
+
+
+def _through_sql(spark: SparkSession, sf_dir: str, columns: str, pairs: DataFrame) -> DataFrame:
+    sql.register(spark, {"pairs_of_versions": pairs})
+    return spark.sql(f"""SELECT {columns} FROM gram_measures(TABLE(
+        SELECT * FROM gram_parts(TABLE(SELECT *, rank % 16 AS part FROM pairs_of_versions) PARTITION BY part)) WITH SINGLE PARTITION)""")
+
+
+@query("sql_pip_loss", PIP_SQL.format(32))
+def sql_pip_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_sql(spark, sf_dir, "ROUND(pip, 6) AS pip", pair(spark, sf_dir).select("rank", "x", "y"))
+
+
+@query("sql_eigen_overlap_2d", ORACLES["eigen_overlap_2d"])
+def sql_eigen_overlap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_sql(spark, sf_dir, "ROUND(eigen_overlap, 6) AS eigen_overlap", pair(spark, sf_dir, 2, 3).select("rank", "x", "y"))
+
+
+@query("sql_eis_2d", ORACLES["eis_2d"])
+def sql_eis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lambda at: section("vec", at, 2)
+    rows = embedding(spark, sf_dir, 1, 8).select("rank", *[cut(1 + 2 * i).alias(c) for i, c in enumerate(cells.VECTORS)])
+    return _through_sql(spark, sf_dir, "ROUND(eis, 6) AS eis", rows)
