@@ -36,14 +36,14 @@ def test_files_with_their_own_headers_and_widths(spark, tmp_path):
 
 
 def test_round_trip_splits_and_overwrite(spark, tmp_path):
-    rows = [(s, d, None if d == 3 else 8, i, f"w {i}", [round(float(x), 6) for x in np.random.default_rng([s, d, i]).normal(size=d)]) for s in (1, 2) for d in (2, 3) for i in range(5)]
+    rows = [(s, d, None if d == 3 else 8, i, f"w{i}", [round(float(x), 6) for x in np.random.default_rng([s, d, i]).normal(size=d)]) for s in (1, 2) for d in (2, 3) for i in range(5)]
     embs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     path = str(tmp_path / "out")
     write_folder(embs, path, stem="a", header=True)
     found = read_folder(spark, path, split=100)
     assert found.rdd.getNumPartitions() > 1
     assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(rows, key=lambda r: (r[0], r[1], r[3]))
-    assert (tmp_path / "out" / "a_seed_1_dim_2_br_8.txt").read_text().startswith("5 2\nw 0 ")
+    assert (tmp_path / "out" / "a_seed_1_dim_2_br_8.txt").read_text().startswith("5 2\nw0 ")
     with pytest.raises(Exception, match="stand there already"):
         write_folder(embs.limit(1), path, stem="a")
     write_folder(embs.where("seed = 1 and dim = 2"), path, stem="a", mode="overwrite")

@@ -60,7 +60,7 @@ def test_classifiers_of_all_cells_equal_one_by_one(spark):
     label = (share @ vectors[0, 1, :, 0] > 0).astype(int)
     bags = spark.createDataFrame([(int(i), int(w), float(share[i, w])) for i, w in zip(*np.nonzero(share))], "example_id bigint, rank bigint, share double").repartition(3)
     labels = spark.createDataFrame([(i, int(y), i % 2 == 0) for i, y in enumerate(label)], "example_id bigint, label int, train boolean")
-    found = {(r.seed, r.dim, r.bitrate): r for r in tasks.cell_tasks(bags, labels, quads, [2, 3], [2, 32], rounds=200, aligned=False, adaptive=False).collect()}
+    found = {(r.seed, r.dim, r.bitrate): r for r in tasks.cell_tasks(bags, labels, quads, [2, 3], [2, 32], regularization=1e-3, rounds=200, aligned=False, adaptive=False).collect()}
     assert len(found) == 8
     for (seed, dim, bits), r in found.items():
         x, y = vectors[seed, 0][:, :dim], vectors[seed, 1][:, :dim]
