@@ -2,6 +2,7 @@ import itertools
 import time
 
 import numpy as np
+import pytest
 
 from vecstead.llm import html_text
 
@@ -113,3 +114,37 @@ def test_class_words_are_learned(spark):
     weights = html_text.learn_weights(spark.createDataFrame([(page,)] * 3, "html string"))
     assert weights.left_out_by("x-promo-y", "div") and not weights.left_out_by("promo", "div")
     assert html_text.Weights().left_out_by("promo", "div") and not html_text.Weights().left_out_by("x-promo-y", "div")
+
+
+NAV = "<nav><a href=/>Home</a></nav><div class='menu'><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8)) + "</ul></div>"
+FOOT = "<footer>Copyright 2024</footer><div class='links'><a href=1>a</a> <a href=2>b</a></div>"
+BARE = {
+    "pairs": ("".join(f"<div><span>Q{i}</span></div><div>A{i}</div>" for i in range(12)), [x for i in range(12) for x in (f"Q{i}", f"A{i}")]),
+    "table": ("<table>" + "".join(f"<tr><td>{i}</td><td>{i * i}</td></tr>" for i in range(20)) + "</table>", [x for i in range(20) for x in (str(i), str(i * i))]),
+    "list": ("<h1>Things</h1><ul>" + "".join(f"<li>thing {i}</li>" for i in range(10)) + "</ul>", ["Things", *(f"thing {i}" for i in range(10))]),
+    "headings": ("".join(f"<h2>Head {i}</h2><p>Some words of a paragraph, number {i}.</p>" for i in range(4)), [x for i in range(4) for x in (f"Head {i}", f"Some words of a paragraph, number {i}.")]),
+    "formula": ("<p>The area is <math><mi>x</mi><mo>=</mo><mn>3</mn></math> exactly.</p>", ["The area is x=3 exactly."]),
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    article = "<article><h1>Title</h1><p>" + "plain words of the text " * 30 + "</p></article>"
+    page = f"<html><body>{NAV}{article}<div>Related <a href=3>more</a></div>{FOOT}</body></html>"
+    return html_text.learn_weights(spark.createDataFrame([(page,)] * 30, "html string"))
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_pages_without_an_article(learned, name):
+    body, blocks = BARE[name]
+    for weights in (html_text.Weights(), learned):
+        assert html_text.main_text(body, weights) == "\n\n".join(blocks)
+    framed = f"<html><body>{NAV}<div>{body}</div>{FOOT}</body></html>"
+    assert html_text.main_text(framed, learned) == "\n\n".join(blocks)
+
+
+def test_the_scan_decides_where_nothing_is_marked(learned, monkeypatch):
+    body = f"<html><body>{NAV}<div>{BARE['headings'][0]}</div>{FOOT}</body></html>"
+    found = html_text.main_text(body, learned)
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert len(html_text.main_text(body, learned)) > len(found)

@@ -141,3 +141,16 @@ def test_letters_of_a_word_sum_to_one():
     tokens = lm_score.Tokens([bytes([c]) for c in range(256) if not lm_score._SPACE[c] and not 65 <= c <= 90])
     chances = 10 ** lm_score.spelled(tokens, np.flatnonzero(tokens.end > tokens.begin), model)
     assert 0 < chances.sum() < 1  # the other words begin with these letters
+
+
+def test_long_texts_are_spelled_without_a_restart(monkeypatch):
+    model, _ = model_of([b"ab abc b zz the of"])
+    draw = np.random.default_rng(2)
+    words = [bytes(draw.integers(97, 105, size=draw.integers(2, 7)).astype(np.uint8)) for _ in range(1500)]
+    texts = [b"x y", b" ".join(words), b"ab q"]
+    tokens = lm_score.Tokens(texts)
+    new = np.flatnonzero(tokens.end > tokens.begin)
+    whole = lm_score.spelled(tokens, new, model)
+    for together in (7, 300, 1499):
+        monkeypatch.setattr(lm_score, "TOGETHER", together)
+        assert lm_score.spelled(tokens, new, model) == pytest.approx(whole, abs=1e-9)

@@ -25,14 +25,19 @@ from vecstead.llm.common import append_columns, batch_of, ddl, quoted, table
 SLOTS = 1 << 17
 #: Words that the starting weight of a context or tag, and of a class word, is worth.
 WORTH, CLASS_WORTH = 10.0, 100.0
+#: What tags that stand together cost at most, in words of the page's likeliest contexts, which hold one word in so many.
+BOUNDARY, COMMON = 0.8, 8
 #: Log odds from which on a class word tells that its element is outside.
 OUTSIDE = -1.0
 
 # Fixed values of HTML: element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
-EMBEDDED = frozenset("svg math canvas object audio video select button".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+EMBEDDED = frozenset("svg canvas object audio video select button".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split()
+)
 SKIPPED = frozenset("nav footer aside head".split())
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"),
@@ -304,7 +309,9 @@ def scores_of(page: Page, weights: Weights) -> list[float]:
     """Each piece's part in a run's sum; only pieces above zero are text.
 
     Where article elements (else main elements) hold at least half of the words, all words there count one, tags little,
-    and words elsewhere count against the run. On other pages contexts and tags count by their weights. What is left out
+    and words elsewhere count against the run. On other pages contexts and tags count by their weights: a word against the
+    likeliest contexts of its page, as pages differ in what they write their text in, and tags that stand together as the
+    costliest of them, at most as much as a word, so that short blocks, rows and cells hold together. What is left out
     counts nothing.
     """
     whole = page.whole_forms()
@@ -314,7 +321,23 @@ def scores_of(page: Page, weights: Weights) -> list[float]:
         held = sum(p.words for p, g in zip(page.pieces, gone) if not g and getattr(p, marked))
         if held and 2 * held >= total:
             return [0.0 if g else (p.words if getattr(p, marked) else -p.words) if p.feature[0] == "w" else -0.001 for p, g in zip(page.pieces, gone)]
-    return [0.0 if g else p.words * weights.worth(p.feature) if p.feature[0] == "w" else weights.worth(p.feature) for p, g in zip(page.pieces, gone)]
+    top, held = 1.0, 0
+    for worth, words in sorted(((weights.worth(p.feature), p.words) for p, g in zip(page.pieces, gone) if not g and p.words), reverse=True):
+        top, held = worth, held + words
+        if COMMON * held >= total:
+            break
+    out, first = [0.0] * len(page.pieces), -1
+    for i, (p, g) in enumerate(zip(page.pieces, gone)):
+        if g:
+            continue
+        if p.feature[0] == "w":
+            out[i] = p.words * min(1.0, weights.worth(p.feature) / top)
+            first = -1 if p.words else first
+        elif first < 0:
+            first, out[i] = i, max(weights.worth(p.feature), -1.0) * BOUNDARY
+        else:  # of tags without a word between them the first bears the cost
+            out[first] = min(out[first], max(weights.worth(p.feature), -1.0) * BOUNDARY)
+    return out
 
 
 def main_text(body: str | None, weights: Weights | None = None) -> str:

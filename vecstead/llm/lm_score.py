@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from vecstead.llm import mixing
-from vecstead.llm.common import ARROW, batch_of, ddl, fold, quoted, table, written
+from vecstead.llm.common import ARROW, batch_of, ddl, fold, new_folder, quoted, table, written
 from vecstead.llm.mixing import mixed
 
 #: Bytes of text that make a block (or one text), that are hashed at once, and that make a part of the keys.
@@ -174,9 +174,9 @@ def _blocks(docs: DataFrame, text: str, learn: Column) -> tuple[DataFrame, int]:
                 yield batch_of(schema, [[(batch.column(batch.num_columns - 1)[0].as_py() << 32) + done], pa.array([sink.getvalue().to_pybytes()], pa.binary()), [int(sizes[lo:hi].sum())]])
                 done += 1
 
-    name = f"blocks_{uuid.uuid4().hex}"
+    name, folder = f"blocks_{uuid.uuid4().hex}", new_folder(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(run, ddl(schema)).write.option("compression", "none").bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(name)
+    rows.mapInArrow(run, ddl(schema)).write.option("compression", "none").bucketBy(buckets, "block").sortBy("block").format("parquet").option("path", folder).saveAsTable(name)
     atexit.register(_drop, spark, name)
     blocks = spark.table(name)
     return blocks, blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -344,19 +344,43 @@ class Decisions:
 def spelled(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
     """log10 probabilities of the letters of the tokens `new` (ascending), each text's weights learning as it goes on."""
     out, at = np.empty(len(new)), np.arange(len(new))
-    # a text is cut after every TOGETHER of its own new words, so that others beside it change nothing
-    first = np.searchsorted(tokens.doc[new], tokens.doc[new])
-    piece = (at - (at - first) % TOGETHER) // TOGETHER
-    cuts = np.flatnonzero(np.r_[True, np.diff(piece) > 0, True]) if len(new) else [0]
+    doc_of = tokens.doc[new]
+    first = np.searchsorted(doc_of, doc_of)
+    long = np.searchsorted(doc_of, doc_of, side="right") - first > TOGETHER
+    for lo in np.unique(first[long]):
+        rows = at[first == lo]
+        out[rows] = _spelled_long(tokens, new[rows], model)
+    # others are computed together, about TOGETHER words at once; a text's words stay together, so what is beside it changes nothing
+    short = at[~long]
+    piece = first[short] // TOGETHER
+    cuts = np.flatnonzero(np.r_[True, np.diff(piece) > 0, True]) if len(short) else [0]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        part = new[lo:hi]
+        part = new[short[lo:hi]]
         owner, bits, inputs = mixing.letter_inputs([tokens.word(i) for i in part.tolist()], model.odds, model.slot_bits)
         doc = tokens.doc[part][owner]
         step = np.arange(len(doc)) - np.searchsorted(doc, np.arange(doc[0], doc[-1] + 1))[doc - doc[0]]
         kind = np.zeros(len(doc), dtype=np.int64)
         p = np.clip(mixing.mix(doc, step, kind, inputs, bits, 1), 1e-6, 1 - 1e-6)
         p = mixing.refined(doc, kind, p, bits)
-        out[lo:hi] = np.bincount(owner, np.log10(np.where(bits > 0, p, 1 - p)), minlength=len(part))
+        out[short[lo:hi]] = np.bincount(owner, np.log10(np.where(bits > 0, p, 1 - p)), minlength=len(part))
+    return out
+
+
+def _spelled_long(tokens: Tokens, new: np.ndarray, model: Model) -> np.ndarray:
+    """The same of one text of many new words, TOGETHER at a time: weights and what was shown go on, and rounds stay whole."""
+    out, weights, shown = np.zeros(len(new)), np.ones((1, len(mixing.ORDERS))), mixing.Shown()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    done = 0
+    for lo in range(0, len(new), TOGETHER):
+        owner, bits, inputs = mixing.letter_inputs([tokens.word(i) for i in new[lo : lo + TOGETHER].tolist()], model.odds, model.slot_bits)
+        held.append((owner + lo, bits, inputs))
+        owner, bits, inputs = (np.concatenate(x) for x in zip(*held))
+        ready = len(bits) if lo + TOGETHER >= len(new) else max(0, mixing.whole_rounds(done + len(bits)) - done)
+        zero = np.zeros(ready, dtype=np.int64)
+        p = np.clip(mixing.mix(zero, done + np.arange(ready), zero, inputs[:ready], bits[:ready], 1, weights), 1e-6, 1 - 1e-6)
+        p = shown.refined(p, bits[:ready])
+        out += np.bincount(owner[:ready], np.log10(np.where(bits[:ready] > 0, p, 1 - p)), minlength=len(new))
+        held, done = [(owner[ready:], bits[ready:], inputs[ready:])], done + ready
     return out
 
 

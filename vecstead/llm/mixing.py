@@ -42,14 +42,20 @@ def adapted(keys: np.ndarray, bits: np.ndarray, start: np.ndarray) -> np.ndarray
     return (start * WORTH + ones) / (WORTH + seen)
 
 
-def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.ndarray, bits: np.ndarray, gates: int) -> np.ndarray:
+def whole_rounds(steps: int) -> int:
+    """How many of a sequence's first `steps` decisions are whole rounds, once these are of one length; else none."""
+    return 0 if steps < FIRST * 127 else FIRST * 127 + (steps - FIRST * 127) // MOST * MOST
+
+
+def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.ndarray, bits: np.ndarray, gates: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of a one from the weighted sum of `inputs` (rows, predictors; log odds).
 
     Each sequence has weights for each gate, one at first; after each round of its decisions they move along the gradient.
+    `weights` of one sequence that goes on are taken as they are, and moved in place.
     """
     rounds = np.where(step < FIRST * 127, np.floor(np.log2(step / FIRST + 1)), 7 + (step - FIRST * 127) // MOST).astype(np.int64)
     code = (sequence - sequence.min(initial=0)) * gates + gate
-    weights = np.ones((int(code.max(initial=0)) + 1, inputs.shape[1]))
+    weights = np.ones((int(code.max(initial=0)) + 1, inputs.shape[1])) if weights is None else weights
     order = np.argsort(rounds, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(rounds[order]) > 0, True]) if len(order) else [0]
     out = np.empty(len(bits))
@@ -64,6 +70,22 @@ def mix(sequence: np.ndarray, step: np.ndarray, gate: np.ndarray, inputs: np.nda
     return out
 
 
+class Shown:
+    """What a sequence that goes on has shown where the mixture said about the same: rows and ones of each bucket."""
+
+    def __init__(self) -> None:
+        self.seen, self.ones = np.zeros(64), np.zeros(64)
+
+    def refined(self, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """`p` refined as by `refined`, with what earlier calls have shown."""
+        bucket = np.clip(np.rint(stretch(p) * 2), -24, 24).astype(np.int64) + 24
+        seen, ones = earlier(bucket, bits)
+        now = (p * WORTH + ones + self.ones[bucket]) / (WORTH + seen + self.seen[bucket])
+        self.seen += np.bincount(bucket, minlength=64)
+        self.ones += np.bincount(bucket, bits, minlength=64)
+        return squash((stretch(p) + stretch(np.clip(now, 1e-6, 1 - 1e-6))) / 2)
+
+
 def refined(sequence: np.ndarray, kind: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """`p` drawn half way towards what the sequence has shown so far where the mixture said about the same."""
     bucket = np.clip(np.rint(stretch(p) * 2), -24, 24).astype(np.int64) + 24
