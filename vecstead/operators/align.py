@@ -45,12 +45,17 @@ def anchor_bundle(anchor: DataFrame, other_anchor: DataFrame, n: int = -1) -> Da
     return shared(anchor, other_anchor, n).select("rank", "word", F.col("x").alias("e"), F.col("y").alias("f"))
 
 
-def write_anchors(bundle: DataFrame, path: str) -> None:
-    bundle.write.mode("overwrite").parquet(path)
+def write_anchors(bundle: DataFrame, path: str, algo: str | None = None, seed: int | None = None) -> None:
+    """Replaces a bundle in `path`: the only one there, or that of an algorithm and a seed, beside others."""
+    bundle.write.mode("overwrite").parquet(_anchor_path(path, algo, seed))
 
 
-def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("rank", "word", "e", "f")
+def read_anchors(spark: SparkSession, path: str, algo: str | None = None, seed: int | None = None) -> DataFrame:
+    return spark.read.parquet(_anchor_path(path, algo, seed)).select("rank", "word", "e", "f")
+
+
+def _anchor_path(path: str, algo: str | None, seed: int | None) -> str:
+    return "/".join([path, *([f"algo={algo}"] if algo is not None else []), *([f"seed={seed}"] if seed is not None else [])])
 
 
 def with_bundle(first: DataFrame, second: DataFrame, bundle: DataFrame) -> DataFrame:

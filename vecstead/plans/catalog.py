@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecstead.functions.shared import new_folder
@@ -514,7 +514,7 @@ def _named_by_words(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
     """An embedding of the benchmark's words: each takes a vector, over all of them, by its hash."""
     vectors = embedding(spark, sf_dir, first, 32).select("rank", "vec")
     words = _sentences(spark, sf_dir).select(F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).distinct()
-    places = vectors.select("rank", (F.row_number().over(Window.orderBy("rank")) - 1).cast("bigint").alias("place"))
+    places = stats.average_ranks(vectors.select(F.col("rank").alias("value")), "value").select(F.col("value").alias("rank"), (F.col("rank") - 1).cast("bigint").alias("place"))
     own = words.withColumn("place", F.pmod(F.crc32("word"), F.lit(vectors.count())))
     return own.join(places, "place").join(vectors, "rank").select(F.crc32("word").alias("rank"), "word", "vec")
 

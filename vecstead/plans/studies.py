@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from vecstead.functions import sql
 from vecstead.functions.shared import new_folder
 from vecstead.functions.vectors import doubles, section, total
-from vecstead.operators import approximate, codebooks, compress, downstream, finetune, neighbours, stats, tagger
+from vecstead.operators import align, approximate, codebooks, compress, downstream, finetune, measures, neighbours, stats, tagger
 from vecstead.plans import cells, tasks
 from vecstead.plans.catalog import EMB, M2, ORACLES, PIP_SQL, SIMILAR, _g, _instability, _power, embedding, pair, query, rounded
-from vecstead.sources import folder
+from vecstead.plans.trial import MEASURES, TASKS, trials
+from vecstead.sources import folder, text
 from vecstead.streaming import drift
 
 # Exact neighbours of every word
@@ -265,3 +266,37 @@ def sql_eis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda at: section("vec", at, 2)
     rows = embedding(spark, sf_dir, 1, 8).select("rank", *[cut(1 + 2 * i).alias(c) for i, c in enumerate(cells.VECTORS)])
     return _through_sql(spark, sf_dir, "ROUND(eis, 6) AS eis", rows)
+
+
+# Anchors by seed, summaries in two blocks, a measure at full width
+
+
+@query("anchors_by_seed", f"""with {EMB} select (1234 + s)::int as seed, count(*) as n, round(sum(list_sum(v[1 + 4 * s:4 + 4 * s])), 6) + 0.0 as se, round(sum(list_sum(v[33 + 4 * s:36 + 4 * s])), 6) + 0.0 as sf
+from emb cross join (select unnest(range(3)) as s) group by s""")
+def anchors_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of three seeds, kept side by side and read one by one."""
+    path, parts = new_folder(spark, "anchors"), []
+    for s in range(3):
+        align.write_anchors(align.anchor_bundle(embedding(spark, sf_dir, 1 + 4 * s, 4), embedding(spark, sf_dir, 33 + 4 * s, 4)), path, "mc", 1234 + s)
+    for s in range(3):
+        rows = align.read_anchors(spark, path, "mc", 1234 + s)
+        parts.append(rows.agg(F.count("*").alias("n"), F.sum(total("e")).alias("se"), F.sum(total("f")).alias("sf")).select(F.lit(1234 + s).alias("seed"), "n", "se", "sf"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "se", "sf")
+
+
+@query("summary_file", ORACLES["diff_to_oracle"])
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps to the oracle, written for each algorithm as a file of two blocks and read again."""
+    gaps, parts = stats.diff_to_oracle(trials(spark, sf_dir), MEASURES, TASKS), []
+    for algo in ("mc", "w2v_cbow"):
+        path = new_folder(spark, "summary")
+        text.write_summary(gaps.where(F.col("algo") == algo), [*MEASURES, "baseline_fp", "baseline_lp"], TASKS, path)
+        parts.append(text.read_summary(spark, path).select(F.lit(algo).alias("algo"), "metric", "task", "mean", "max"))
+    return rounded(parts[0].unionByName(parts[1]), "mean", "max")
+
+
+@query("weighted_eigen_overlap")
+def weighted_eigen_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all 32 entries of both versions, by two exponents."""
+    pairs = pair(spark, sf_dir)
+    return rounded(spark.createDataFrame([(e, measures.weighted_eigen_overlap(pairs, e)) for e in (1, 2)], "exp int, weighted double"), "weighted")

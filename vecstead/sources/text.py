@@ -138,6 +138,31 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_summary(summary: DataFrame, metrics: list[str], tasks: list[str], path: str) -> None:
+    """`summary` (metric, task, mean, max) as one CSV file of two blocks: a header and the means, a blank line, and the largest.
+
+    A row for each of `metrics`, a column for each of `tasks`; a pair that `summary` lacks stands empty. The table is small.
+    """
+    found = {(r.metric, r.task): r for r in summary.where(F.col("metric").isin(metrics) & F.col("task").isin(tasks)).collect()}
+    cell = lambda m, t, kind: repr(found[m, t][kind]) if (m, t) in found and found[m, t][kind] is not None else ""
+    block = lambda kind: [",".join([m, *(cell(m, t, kind) for t in tasks)]) for m in metrics]
+    lines = [",".join(["metric", *tasks]), *block("mean"), "", *block("max")]
+    rows = summary.sparkSession.createDataFrame(list(enumerate(lines)), "n int, value string")
+    rows.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, task, mean, max) of a file of two blocks."""
+    lines = numbered_lines(spark, path)
+    head = lines.where("line_no = 0").select(F.slice(F.split("line", ","), 2, 1 << 20).alias("tasks"))
+    gap = lines.where("line_no > 0 and trim(line) = ''").select(F.col("line_no").alias("gap"))
+    cells = F.split("line", ",")
+    rows = lines.where("line_no > 0 and trim(line) <> ''").join(F.broadcast(head)).join(F.broadcast(gap))
+    rows = rows.select((F.col("line_no") < F.col("gap")).alias("first"), cells[0].alias("metric"), F.inline(F.arrays_zip("tasks", F.slice(cells, 2, 1 << 20).alias("cell")))).toDF("first", "metric", "task", "cell")
+    value = F.nullif(F.col("cell"), F.lit("")).cast("double")
+    return rows.groupBy("metric", "task").agg(F.max(F.when(F.col("first"), value)).alias("mean"), F.max(F.when(~F.col("first"), value)).alias("max"))
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.select("example_id", "pred").write.mode("overwrite").parquet(path)
 
