@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vecstead.operators.gram import matrix
 
 #: Bins of the histogram.
-BINS = 1 << 11
+BINS = 1 << 10
 
 
 def histogram(emb: DataFrame, bins: int = BINS, column: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
