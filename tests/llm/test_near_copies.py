@@ -95,3 +95,25 @@ def test_hot_groups_and_parity(spark, monkeypatch):
         y = np.unique(np.r_[x[: int(rng.integers(0, 300))], y[:40]])
         apart = sum(bin(int(a) & (2**64 - 1)).count("1") for a in near_copies.parity(x) ^ near_copies.parity(y))
         assert apart <= len(np.setxor1d(x, y))
+
+
+def test_trie_join_links_first(spark):
+    """Rows of close fingerprints are connected by the SimHash operator's join before any shingle is joined, as brute force connects them."""
+    rng = np.random.default_rng(5)
+    prints = []
+    for _ in range(40):
+        base = int(rng.integers(0, 2**63))
+        prints += [base, base, base ^ 0b1011, base ^ (1 << 40), base ^ 0b11111]
+    rows = [(i, x.to_bytes(8, "big")) for i, x in enumerate(prints)]
+    pairs = near_copies.simhash_pairs(spark.createDataFrame(rows, "row long, print binary")).collect()
+    assert all(r.a < r.b for r in pairs) and len({tuple(r) for r in pairs}) == len(pairs)
+
+    def roots(links):
+        root = list(range(len(rows)))
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return root
+
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4]
+    assert roots((r.a, r.b) for r in pairs) == roots(close)

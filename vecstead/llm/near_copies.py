@@ -4,7 +4,8 @@ Equal sets are merged first, so copies cost one row. Of each other set only a pr
 joined: two sets of a similarity t share a shingle within their first n - ceil(t n) + 1 (prefix filter), so no pair is
 missed at any number of rows. Common shingles come last in the order, which costs or saves time and never a pair. Parity
 bits of the sets rule out most other candidates: the bits in which two sets' parities differ are no more than the shingles
-in which the sets differ. Of each shingle's rows, all are first compared with the least one, and of those candidates each
+in which the sets differ. First the SimHash operator's trie join links rows whose fingerprints are close, and those links are
+verified. Then, of each shingle's rows, all are compared with the least one, and of those candidates each
 row meets the least; then trees that share a shingle meet its last and first tree, a pair of rows each; and at last all rows
 that are not yet linked meet, if their prefixes share as many shingles as similar sets must. Texts move once for each comparison that is left.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, release, written
-from vecstead.llm.components import connected_components, forest_roots
-from vecstead.llm.simhash import shingle_hashes
+from vecstead.llm.components import connected_components
+from vecstead.llm.simhash import exhaustive_tables, fingerprint, fingerprint_links, shingle_hashes
 
 #: One text in so many has its shingles counted to find the common ones, so a shingle that isn't found is in few texts at any
 #: size; the least count of a common one, and how many are sent out.
@@ -35,6 +36,8 @@ PARITY, MOST_SENT, MEMBERS = 16, 400_000, 500
 #: Times that the trees of a shingle meet its last and then its first tree before all pairs that are left meet, at most; none
 #: where those pairs are no more than so many for each row, and no more once a meeting spares few. Either way all pairs left meet.
 ROUNDS, CROWDED = 1, 4
+#: Bits of a fingerprint and in how many two of them differ at most, for the links that the trie join finds first.
+PRINT, NEAR = 64, 4
 
 
 def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
@@ -180,20 +183,39 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     return both.repartition("a", "task").sortWithinPartitions("a", "task", "member").mapInArrow(run, ddl(schema))
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that connect rows of close fingerprints in `prints` (row, print), found by the trie join; a is less.
+
+    Rows of one fingerprint meet its least row, and least rows meet along the trie join's forest.
+    """
+    least = durable(prints.groupBy("print").agg(F.min("row").alias("first")))
+    own = prints.join(least, "print").where("row > first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    links = fingerprint_links(least.select("print"), exhaustive_tables(PRINT, NEAR, least.count()))
+    for side in ("a", "b"):
+        links = links.join(least.select(F.col("print").alias(side), F.col("first").alias(f"{side}_row")), side)
+    return own.unionByName(links.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))).distinct()
+
+
 def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: float) -> DataFrame:
     """(row, root) for each of `rows` (row, text; sets distinct) that has a near copy: the least row that links reach.
 
-    `marks` has each row's size and parity bits.
+    `marks` has each row's size, parity bits and fingerprint.
     """
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    met = durable(_sifted(simhash_pairs(marks.select("row", "print")), marks, similarity))
+    near = durable(_verified(met, rows, words, similarity))
+    roots = durable(connected_components(near)).select(F.col("node").alias("row"), "root")
+    marks = durable(marks.drop("print"))
     group = Window.partitionBy("token")  # spills where a shingle is common
     shared = _prefixes(rows, words, similarity).withColumn("n", F.count("*").over(group)).withColumn("first", F.min(F.struct("row", "size")).over(group))
     shared = written(shared.where("n > 1").drop("n"))
     stars = shared.where((F.col("row") > F.col("first.row")) & alike(F.col("size"), F.col("first.size")))
     stars = stars.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
-    stars = durable(_sifted(stars, marks, similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    stars = _apart(_sifted(stars, marks, similarity), roots).join(met, ["a", "b"], "left_anti")
+    stars = durable(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = durable(_verified(stars, rows, words, similarity))
-    roots = durable(forest_roots(links)).select(F.col("node").alias("row"), "root")
+    roots = roots if links.isEmpty() else _joined(roots, links)
+    stars = durable(stars.unionByName(met))
 
     def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
         """(token, row, size, root, low, high) of the shingles whose rows have several roots; low and high are ends of (root, row, size).
@@ -230,16 +252,24 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
         left = apart(left, roots)
 
     # rows of a shingle that are still apart; pairs that failed are not compared again
-    x, y = (left.select("token", "row", "size", "root").alias(side) for side in ("x", "y"))
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.size"), F.col("y.size"))
-    pairs = x.join(y, meet).groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("n"), F.first("x.size").alias("p"), F.first("y.size").alias("q"))
-    pairs = pairs.where(F.col("n") >= least_shared(F.col("p"), F.col("q"), similarity)).select("a", "b")
-    pairs = _sifted(pairs.join(stars, ["a", "b"], "left_anti"), marks, similarity)
+    # what parities rule out never leaves the join, so pairs that differ are not handed on
+    held = left.select("token", "row", "size", "root").join(marks.select("row", "bits"), "row")
+    x, y = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in ("x", "y"))
+    meet = (F.col("x_token") == F.col("y_token")) & (F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")) & alike(F.col("x_size"), F.col("y_size")) & _may_link(similarity, "x", "y")
+    pairs = x.join(y, meet).groupBy(F.col("x_row").alias("a"), F.col("y_row").alias("b")).agg(F.count("*").alias("n"), F.first("x_size").alias("p"), F.first("y_size").alias("q"))
+    pairs = pairs.where(F.col("n") >= least_shared(F.col("p"), F.col("q"), similarity)).select("a", "b").join(stars, ["a", "b"], "left_anti")
     more = durable(_verified(pairs, rows, words, similarity))
     release(left)
     return roots if more.isEmpty() else _joined(roots, more)
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that `roots` (row, root) have in different trees."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (row, root) once `links` (a, b) between their rows, or rows that have none yet, join trees."""
     for side in ("a", "b"):
@@ -265,15 +295,15 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     def make() -> Callable:
         def compute(texts: pa.Array):
             sets = [shingle_set(x, words) for x in as_bytes(texts)]
-            return [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [parity(x).tolist() for x in sets]
+            return [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [parity(x).tolist() for x in sets], [fingerprint(x, PRINT) for x in sets]
 
         return compute
 
-    rows = written(append_columns(plain.withColumn("__row", F.monotonically_increasing_id()), [body], {"digest": "binary", "size": "int", "bits": "array<bigint>"}, make))
+    rows = written(append_columns(plain.withColumn("__row", F.monotonically_increasing_id()), [body], {"digest": "binary", "size": "int", "bits": "array<bigint>", "print": "binary"}, make))
     order = F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("__row").alias("row"))
     firsts = durable(rows.groupBy("digest").agg(F.min(order).alias("least")).select("least"))
     again = durable(rows.select(F.col("__row").alias("row")).join(firsts.select(F.col("least.row").alias("row")), "row", "left_anti"))
-    marks = rows.select(F.col("__row").alias("row"), "size", "bits")
+    marks = _without(rows.select(F.col("__row"), "size", "bits", "print"), again).withColumnRenamed("__row", "row")
     single = _without(rows.select("__row", body), again)
     roots = near_copy_roots(single.select(F.col("__row").alias("row"), F.col(body).alias("text")), marks, words, similarity)
     linked = firsts.join(roots, F.col("least.row") == F.col("row"))
