@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecstead.functions import sql
+from vecstead.functions import blocks, sql
 from vecstead.operators import approximate, finetune, measures, neighbours
 from vecstead.plans import cells, tasks
 
@@ -103,3 +103,17 @@ def test_sql_functions(spark):
     row = spark.sql(ask.format("some_pairs")).first()
     assert row.n == 50 and row.pip == pytest.approx(measures.pip_loss(pairs)) and row.eigen_overlap == pytest.approx(measures.eigen_overlap(pairs)) and row.eis == pytest.approx(measures.eis(pairs))
     assert spark.sql(ask.format("bare_pairs")).first().eis is None
+
+
+def test_texts_meet_each_word_of_a_block_once(spark):
+    """`text_bags` holds what `bags` does in a row for each text, and a block gets a word's vectors once, however many texts name it."""
+    draw = np.random.default_rng(6)
+    emb = emb_of(spark, draw.normal(size=(9, 3)))
+    lines = spark.createDataFrame([(i, " ".join(f"w{w}" for w in draw.integers(12, size=20)), i % 2) for i in range(50)], "example_id int, text string, label int")
+    texts = finetune.text_bags(lines, emb)
+    got = {(r.example_id, f"w{w}"): pytest.approx(s) for r in texts.collect() for w, s in zip(r.words, r.shares)}
+    assert got == {(r.example_id, r.word): r.share for r in finetune.bags(lines, emb).collect()}
+    quads = spark.createDataFrame([(s, i, [1.0 * i, 2.0]) for s in (1, 2) for i in range(9)], "seed int, rank bigint, x array<double>")
+    rows = blocks.meeting(blocks.in_blocks(texts, "example_id", 10), quads.select("rank", F.col("seed").alias("kind"), F.col("x").alias("vec"))).collect()
+    n = len({r.block for r in rows})
+    assert n > 1 and sum(r.is_text for r in rows) == 50 and sum(not r.is_text for r in rows) <= n * 9 * 2
