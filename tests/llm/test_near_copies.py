@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from vecstead.llm import near_copies
 
@@ -117,3 +119,26 @@ def test_trie_join_links_first(spark):
 
     close = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4]
     assert roots((r.a, r.b) for r in pairs) == roots(close)
+
+
+@pytest.mark.parametrize("changed", [0.1, 0.4])
+def test_pairs_meet_about_once(spark, monkeypatch, changed):
+    """Rows that share many shingles make a row of the last join each pair, not each shingle, and none is lost that shares enough."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(np.r_[np.flatnonzero(rng.random(80) > changed) if i % 4 else np.arange(100, 140)]) for i in range(60)]
+    rows = [(int(t), i, 5 * len(s)) for i, s in enumerate(sets) for t in s]
+    prefixes = spark.createDataFrame(rows, "token bigint, row bigint, size int")
+    merged = near_copies._merged(prefixes).persist()
+    assert sum(r.weight for r in merged.collect()) == len(rows)
+    assert merged.where("token >= 100").select("token").distinct().count() == 1  # the same rows share them
+    left = merged.withColumn("root", F.col("row") % 50)
+    marks = spark.createDataFrame([(i, [0] * near_copies.PARITY) for i in range(60)], "row bigint, bits array<bigint>")
+    pairs = near_copies._meeting(left, marks, 0.8)
+    alike = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(60) for i in range(j) if i % 50 != j % 50 and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))}
+    assert {(r.a, r.b) for r in pairs.collect()} == {p for p, n in alike.items() if n}
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "distinct", lambda x: x)
+        made = near_copies._meeting(left, marks, 0.8).count()
+    assert made <= 2.5 * pairs.count() and made < 0.1 * sum(alike.values())
+    want = {(r.a, r.b) for r in pairs.collect() if alike[r.a, r.b] >= r.least}
+    assert {tuple(r) for r in near_copies._sharing(pairs, left).collect()} == want

@@ -7,7 +7,9 @@ bits of the sets rule out most other candidates: the bits in which two sets' par
 in which the sets differ. First the SimHash operator's trie join links rows whose fingerprints are close, and those links are
 verified. Then, of each shingle's rows, all are compared with the least one, and of those candidates each
 row meets the least; then trees that share a shingle meet its last and first tree, a pair of rows each; and at last all rows
-that are not yet linked meet, if their prefixes share as many shingles as similar sets must. Texts move once for each comparison that is left.
+that are not yet linked meet, if their prefixes share as many shingles as similar sets must. Shingles that the same rows share
+are one, with a weight, and of the shingles that two rows share only the first makes a pair, up to a few that lie far apart.
+Texts move once for each comparison that is left.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ PARITY, MOST_SENT, MEMBERS = 16, 400_000, 500
 #: Times that the trees of a shingle meet its last and then its first tree before all pairs that are left meet, at most; none
 #: where those pairs are no more than so many for each row, and no more once a meeting spares few. Either way all pairs left meet.
 ROUNDS, CROWDED = 1, 4
+#: How many of a row's shingles before one tell whether a pair that meets there has met before.
+BEFORE = 4
 #: Bits of a fingerprint and in how many two of them differ at most, for the links that the trie join finds first.
 PRINT, NEAR = 64, 4
 
@@ -196,6 +200,58 @@ def simhash_pairs(prints: DataFrame) -> DataFrame:
     return own.unionByName(links.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))).distinct()
 
 
+def _merged(prefixes: DataFrame) -> DataFrame:
+    """(token, row, size, weight): of the shingles in `prefixes` (token, row, size) that several rows share, those of the same rows are one.
+
+    The least stands for all of them and the weight is their number; sets of rows are told apart by 128 bits.
+    """
+    group = Window.partitionBy("token")  # spills where a shingle is common
+    told = prefixes.withColumn("n", F.count("*").over(group))
+    for name, of in (("left", ("row",)), ("right", ("row", F.lit(1)))):
+        told = told.withColumn(name, F.bit_xor(F.xxhash64(*of)).over(group))
+    told = told.where("n > 1").groupBy("left", "right", "row")
+    return told.agg(F.min("token").alias("token"), F.min("size").alias("size"), F.count("*").cast("int").alias("weight")).select("token", "row", "size", "weight")
+
+
+def _meeting(left: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, least): pairs of rows of `left` (token, row, size, root) that share a shingle, are in different trees and that sizes and
+    parities don't rule out, and how many shingles their prefixes must share.
+
+    A pair that shares one of the few shingles before has met there, so nearly every pair is made once; what parities rule
+    out never leaves the join.
+    """
+    own = Window.partitionBy("row").orderBy("token")
+    held = left.select("token", "row", "size", "root", *[F.lag("token", i).over(own).alias(f"before{i}") for i in range(1, BEFORE + 1)]).join(marks.select("row", "bits"), "row")
+    x, y = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in ("x", "y"))
+    meet = (F.col("x_token") == F.col("y_token")) & (F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root"))
+    meet &= F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size") - 1e-9
+    for i in range(1, BEFORE + 1):
+        for j in range(1, BEFORE + 1):
+            meet &= F.coalesce(F.col(f"x_before{i}") != F.col(f"y_before{j}"), F.lit(True))
+    pairs = x.join(y, meet & _may_link(similarity, "x", "y"))
+    return pairs.select(F.col("x_row").alias("a"), F.col("y_row").alias("b"), least_shared(F.col("x_size"), F.col("y_size"), similarity).alias("least")).distinct()
+
+
+def _sharing(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b, least) whose rows share as many shingles of `left` (token, row, weight) as `least` says."""
+    lists = left.groupBy("row").agg(F.collect_list(F.struct("token", "weight")).alias("x"))
+    for side in ("a", "b"):
+        own = lists.select(F.col("row").alias(side), F.col("x.token").alias(f"{side}_tokens"), F.col("x.weight").alias(f"{side}_weights"))
+        pairs = pairs.join(own, side)
+    schema = {"a": "bigint", "b": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), dtype=bool)
+            least, (xs, weights, ys) = batch.column(2).to_numpy(), (batch.column(k) for k in (3, 4, 5))
+            for i in range(len(batch)):
+                _, at, _ = np.intersect1d(xs[i].values.to_numpy(), ys[i].values.to_numpy(), assume_unique=True, return_indices=True)
+                keep[i] = weights[i].values.to_numpy()[at].sum() >= least[i]
+            yield batch_of(schema, [batch.column(k).filter(pa.array(keep)) for k in (0, 1)])
+
+    return pairs.select("a", "b", "least", "a_tokens", "a_weights", "b_tokens").mapInArrow(run, ddl(schema))
+
+
 def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: float) -> DataFrame:
     """(row, root) for each of `rows` (row, text; sets distinct) that has a near copy: the least row that links reach.
 
@@ -204,25 +260,23 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     met = durable(_sifted(simhash_pairs(marks.select("row", "print")), marks, similarity))
     near = durable(_verified(met, rows, words, similarity))
-    roots = durable(connected_components(near)).select(F.col("node").alias("row"), "root")
     marks = durable(marks.drop("print"))
     group = Window.partitionBy("token")  # spills where a shingle is common
-    shared = _prefixes(rows, words, similarity).withColumn("n", F.count("*").over(group)).withColumn("first", F.min(F.struct("row", "size")).over(group))
-    shared = written(shared.where("n > 1").drop("n"))
-    stars = shared.where((F.col("row") > F.col("first.row")) & alike(F.col("size"), F.col("first.size")))
+    shared = written(_merged(_prefixes(rows, words, similarity)))
+    stars = shared.withColumn("first", F.min(F.struct("row", "size")).over(group)).where((F.col("row") > F.col("first.row")) & alike(F.col("size"), F.col("first.size")))
     stars = stars.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
-    stars = _apart(_sifted(stars, marks, similarity), roots).join(met, ["a", "b"], "left_anti")
+    stars = _sifted(stars, marks, similarity).join(met, ["a", "b"], "left_anti")
     stars = durable(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = durable(_verified(stars, rows, words, similarity))
-    roots = roots if links.isEmpty() else _joined(roots, links)
+    # the trees of both kinds of links at once
+    roots = durable(connected_components(near.unionByName(_verified(stars, rows, words, similarity)))).select(F.col("node").alias("row"), "root")
     stars = durable(stars.unionByName(met))
 
     def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """(token, row, size, root, low, high) of the shingles whose rows have several roots; low and high are ends of (root, row, size).
+        """(token, row, size, weight, root, low, high) of the shingles whose rows have several roots; low and high are ends of (root, row, size).
 
         Trees only grow, so the next step needs no other shingle, and what it came from goes.
         """
-        left = shared.select("token", "row", "size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        left = shared.select("token", "row", "size", "weight").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
         place = F.struct("root", "row", "size")
         out = written(left.withColumn("low", F.min(place).over(group)).withColumn("high", F.max(place).over(group)).where("low.root < high.root"))
         release(shared)
@@ -252,24 +306,12 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
         left = apart(left, roots)
 
     # rows of a shingle that are still apart; pairs that failed are not compared again
-    # what parities rule out never leaves the join, so pairs that differ are not handed on
-    held = left.select("token", "row", "size", "root").join(marks.select("row", "bits"), "row")
-    x, y = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in ("x", "y"))
-    meet = (F.col("x_token") == F.col("y_token")) & (F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")) & alike(F.col("x_size"), F.col("y_size")) & _may_link(similarity, "x", "y")
-    pairs = x.join(y, meet).groupBy(F.col("x_row").alias("a"), F.col("y_row").alias("b")).agg(F.count("*").alias("n"), F.first("x_size").alias("p"), F.first("y_size").alias("q"))
-    pairs = pairs.where(F.col("n") >= least_shared(F.col("p"), F.col("q"), similarity)).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    pairs = _sharing(_meeting(left, marks, similarity).join(stars, ["a", "b"], "left_anti"), left)
     more = durable(_verified(pairs, rows, words, similarity))
     release(left)
     return roots if more.isEmpty() else _joined(roots, more)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) that `roots` (row, root) have in different trees."""
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (row, root) once `links` (a, b) between their rows, or rows that have none yet, join trees."""
     for side in ("a", "b"):
