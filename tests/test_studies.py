@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from vecstead.functions import blocks, sql
 from vecstead.operators import approximate, finetune, measures, neighbours
@@ -94,6 +95,28 @@ def test_approximate_neighbours_reach_their_recall(spark, monkeypatch):
     assert approximate.approximate_nearest(emb.limit(0), 5).count() == 0
 
 
+def test_approximate_queries_move_once_to_a_group(spark, monkeypatch):
+    """A few vectors move for each row, however many cells are asked, and fewer cells are asked than there are."""
+    draw, moved, dealt = np.random.default_rng(8), [], DataFrame.repartition
+
+    def counted(rows, *by):
+        moved.append(rows.count())
+        return dealt(rows, *by)
+
+    for n in (1000, 4000):
+        z = draw.normal(size=(40, 24))[draw.integers(40, size=n)] + 0.3 * draw.normal(size=(n, 24))
+        emb = emb_of(spark, z)
+        moved.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(DataFrame, "repartition", counted)
+            found = approximate.approximate_nearest(emb, 5)
+        assert found.select("query").distinct().count() == n
+        assert max(moved) <= 5 * n
+        pivots = neighbours.pivots_of(emb, n, n // 64)
+        probes, share = approximate.chosen(emb, pivots, 5, 0.95)
+        assert share >= 0.95 and probes < 0.8 * len(pivots)
+
+
 def test_sql_functions(spark):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(50, 3))

@@ -1,137 +1,54 @@
-"""Approximate nearest neighbours by cosine: random-projection buckets with several tables and probes, chosen from the data.
+"""Approximate nearest neighbours by cosine: the exact search's cells, of which a query asks only the nearest few.
 
-A table's bucket is the signs of a vector's products with some random directions. A query also asks the buckets that differ
-in the signs it is least sure of. How many tables and probes are needed is measured: for a bounded sample of queries whose
-exact neighbours are found first, the cheapest choice that holds the wanted share of them is taken. All rows are indexed.
-Buckets meet as blocks: large ones are cut, and what a task hands on is the best k of each query, never pairs.
+Rows are dealt to the nearest of some pivots, and a query asks the cells of the pivots nearest to it. How many is measured:
+for a bounded sample of queries whose exact neighbours are found first, the least number that holds the wanted share of them
+is taken, up to all. All rows are indexed. A query moves once to each group of blocks, however many of them it asks, and what
+a task hands on is the best k of each query, never pairs.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecstead.functions.shared import durable
 from vecstead.operators.gram import matrix
 from vecstead.operators.measures import draw, nearest
-from vecstead.operators.neighbours import BLOCK, FOUND, PRODUCTS, _groups, _records, best_of, unit
-
-#: Rows a bucket has on average, tables and probes at most, and queries that the choice is made on.
-BUCKET, TABLES, PROBES, SAMPLE = 64, 24, 32, 200
-SEED = 7
-
-
-def directions(d: int, bits: int) -> np.ndarray:
-    """(TABLES, bits, d) random directions, alike in all tasks."""
-    return np.random.default_rng([SEED, d, bits]).normal(size=(TABLES, bits, d))
-
-
-def codes_of(z: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, rows) codes, and the products (tables, rows, bits) they are the signs of."""
-    products = np.einsum("tbd,nd->tnb", planes, z, optimize=True)
-    return (products > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64)), products
+from vecstead.operators.neighbours import BLOCK, FOUND, _apart, _with_corner, nearest_of_all, pivots_of, unit
 
+#: Cells that a table of few rows has about, rows of such a cell at least, and queries that the choice is made on.
+CELLS, LEAST, SAMPLE = 64, 64, 200
 
-def probes_of(codes: np.ndarray, products: np.ndarray, probes: int) -> np.ndarray:
-    """(tables, rows, probes): the code, then codes with the one or two least sure signs turned, the likeliest first."""
-    bits = products.shape[2]
-    sure = np.abs(products)
-    turns = [(), *((i,) for i in range(bits)), *((i, j) for i in range(bits) for j in range(i + 1, bits))]
-    cost = np.stack([sure[:, :, list(t)].sum(axis=2) for t in turns], axis=2)
-    masks = np.array([sum(1 << i for i in t) for t in turns], dtype=np.int64)
-    order = np.argsort(cost, axis=2, kind="stable")[:, :, : min(probes, len(turns))]
-    return codes[:, :, None] ^ masks[order]
 
-
-def chosen(rows: DataFrame, k: int, bits: int, target: float, sample: int = SAMPLE) -> tuple[int, int, float]:
-    """(tables, probes, share of the sample's exact neighbours they hold): the least work that reaches `target`, else the most."""
+def chosen(rows: DataFrame, pivots: np.ndarray, k: int, target: float, sample: int = SAMPLE) -> tuple[int, float]:
+    """(probes, share of the sample's exact neighbours they hold): the fewest cells that reach `target`."""
     asked = durable(draw(rows, sample))
     exact = nearest(rows, rows.join(F.broadcast(asked), "rank", "left_semi"), k).select("query", "rank")
     pairs = exact.join(rows.select(F.col("rank").alias("query"), F.col("vec").alias("x")), "query").join(rows.select("rank", F.col("vec").alias("y")), "rank")
     held = pairs.select("x", "y").toArrow().combine_chunks()  # k for each of the sample at most
     if not len(held):
-        return 1, 1, 1.0
+        return 1, 1.0
     (batch,) = held.to_batches()
-    x, y = unit(matrix(batch, [0])), unit(matrix(batch, [1]))
-    planes = directions(x.shape[1], bits)
-    (own, products), (there, _) = codes_of(x, planes), codes_of(y, planes)
-    hit = probes_of(own, products, PROBES) == there[:, :, None]
-    best = (TABLES, hit.shape[2], float(hit.any(axis=(0, 2)).mean()))
-    for tables in range(1, TABLES + 1):
-        for probes in (1, 2, 4, 8, 16, 32):
-            share = float(hit[:tables, :, :probes].any(axis=(0, 2)).mean())
-            if share >= target and tables * (2 + probes) < best[0] * (2 + best[1]):
-                best = (tables, probes, share)
-    return best
+    x, y = (_apart(_with_corner(unit(matrix(batch, [i]))), pivots) for i in (0, 1))
+    there = np.take_along_axis(x, y.argmin(axis=1)[:, None], axis=1)
+    needed = np.sort((x < there).sum(axis=1) + 1)  # cells up to the neighbour's own
+    probes = int(needed[min(len(needed), int(np.ceil(target * len(needed) - 1e-9))) - 1])
+    return probes, float((needed <= probes).mean())
 
 
 def approximate_nearest(candidates: DataFrame, k: int, queries: DataFrame | None = None, target: float = 0.95) -> DataFrame:
-    """(query, rank, similarity, place) of each query's k best among the rows its buckets hold, itself left out, ties by rank.
+    """(query, rank, similarity, place) of each query's k best among the rows of the cells it asks, itself left out, ties by rank.
 
     `candidates` are (rank, vec), vectors of one length and ranks distinct; `queries` (rank) are some of them, by default all.
     """
-    spark = candidates.sparkSession
     rows = durable(candidates.select("rank", "vec"))
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], f"{FOUND}, place int")
-    bits = max(1, min(20, round(math.log2(max(1, n / BUCKET)))))
-    tables, probes, _ = chosen(rows, k, bits, target)
-    asked = rows.withColumn("asks", F.lit(True)) if queries is None else rows.join(queries.select("rank").distinct().withColumn("asks", F.lit(True)), "rank", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    schema = "bucket bigint, asks boolean, rank bigint, vec array<double>"
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                z = matrix(part, [1])
-                planes = directions(z.shape[1], bits)[:tables] if planes is None else planes
-                ranks, asks = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
-                codes, products = codes_of(unit(z), planes)
-                at = np.flatnonzero(asks)
-                tried = probes_of(codes[:, at], products[:, at], probes)
-                table = np.arange(tables, dtype=np.int64)[:, None] << 32
-                row = np.r_[np.tile(np.arange(len(z)), tables), np.repeat(np.tile(at, tables), tried.shape[2])]
-                bucket = np.r_[(codes + table).reshape(-1), (tried + table[:, :, None]).reshape(-1)]
-                flat = z[row].reshape(-1)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, z.shape[1]), pa.int32()), pa.array(flat))
-                yield _records(schema, bucket, np.arange(len(row)) >= tables * len(z), ranks[row], vec)
-
-    dealt = asked.select("rank", "vec", "asks").mapInArrow(spread, schema)
-    counts = durable(dealt.where("not asks").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).where("cuts > 1"))
-    dealt = dealt.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    # a large bucket's rows are cut, and its queries go to every cut
-    cut = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rank"), F.col("cuts")).cast("int")))
-    dealt = dealt.select("bucket", F.explode(cut).alias("cut"), "asks", "rank", "vec")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ranks, held = None, [], []
-        for part, z in _groups(batches, 3, 4):
-            mine = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
-            if mine != key:
-                key, ranks, held = mine, [], []
-            if not part.column(2)[0].as_py():  # rows come before queries
-                ranks.append(part.column(3).to_numpy())
-                held.append(z)
-            elif held:
-                ranks, held = [np.concatenate(ranks)], [np.concatenate(held)]
-                asking, step = part.column(3).to_numpy(), max(1, PRODUCTS // len(held[0]))
-                for lo in range(0, len(z), step):
-                    found = z[lo : lo + step] @ held[0].T
-                    found[asking[lo : lo + step, None] == ranks[0][None, :]] = -np.inf
-                    row, rank, value = best_of(found, ranks[0], k)
-                    yield _records(FOUND, asking[lo : lo + step][row], rank, value)
-
-    met = dealt.repartition("bucket", "cut").sortWithinPartitions("bucket", "cut", "asks").mapInArrow(meet, FOUND)
-    found = met.groupBy("query", "rank").agg(F.max("similarity").alias("similarity"))  # a row can be in several of a query's buckets
-    at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "rank"))
-    return found.withColumn("place", at).where(F.col("place") <= k)
+        return candidates.sparkSession.createDataFrame([], f"{FOUND}, place int")
+    block = min(BLOCK, max(LEAST, n // CELLS))
+    probes, _ = chosen(rows, pivots_of(rows, n, block), k, target)
+    return nearest_of_all(rows, k, queries, block, probes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
