@@ -113,3 +113,18 @@ def test_repeated_ids_count_once(spark):
     once = learn_toxicity(rows.drop("toxic"), rows.drop("text"))
     twice = learn_toxicity(rows.drop("toxic").union(rows.drop("toxic")), rows.drop("text"))
     assert once.curve == twice.curve and once.pair.keys.tolist() == twice.pair.keys.tolist()
+
+
+def test_most_toxic_words_are_not_diluted():
+    """The third measure is the mean of the most toxic distinct words, however long the rest of the text is."""
+    models, slow = learn_models(*arrays(TEXTS)), Slow(TEXTS)
+    ratio = lambda b, w: math.log(slow.likelihood(b, w, 1)) - math.log(slow.likelihood(b, w, 0))
+    found = []
+    for n in (3, 3000):
+        words = ["you", "utter", "clown", *["the", "cat"] * n, "utter", "clown"]
+        first = [ratio(b, w) for i, (b, w) in enumerate(zip([None, *words], words)) if w not in words[:i]]
+        row = toxicity.measured(models, [" ".join(words).encode()])[0]
+        assert row[2] == pytest.approx(sum(sorted(first)[-toxicity.STRONGEST :]) / toxicity.STRONGEST)
+        found.append(row)
+    assert found[0][2] == found[1][2] and found[1][0] < found[0][0]
+    assert toxicity.measured(models, [b"", None]).tolist() == [[0.0] * 3] * 2

@@ -3,8 +3,8 @@
 Each class, toxic and ordinary, has an interpolated model of the words after a word. What its counts of pairs leave goes to
 its counts of words (by how many words each follows), and what those leave to the counts of both classes together. Discounts
 and backoff weights come from both classes, so an expression that is too rare to tell is as likely in either class, and only
-what a class repeats tells. A text is scored by its log-likelihoods' difference a word, over the whole text and over its most
-toxic stretch, and a logistic curve, fitted on labelled documents that the models were not counted on, turns that into a
+what a class repeats tells. A text is scored by its log-likelihoods' difference a word, over the whole text, over its most
+toxic stretch and over its few most toxic words, which a long text doesn't dilute, and a logistic curve, fitted on labelled documents that the models were not counted on, turns that into a
 probability.
 """
 
@@ -29,8 +29,8 @@ THRESHOLD = 0.3
 SHARED, WORDS, PAIRS = 0.75, 2.0, 3.0
 STRENGTH = 30.0
 UNKNOWN = 1e-7
-#: Words of a stretch, and texts that are scored at once.
-STRETCH, TOGETHER = 12, 200
+#: Words of a stretch, of the most toxic ones, and texts that are scored at once.
+STRETCH, STRONGEST, TOGETHER = 12, 3, 200
 
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -113,8 +113,13 @@ def features(models: Models, texts: list[bytes | None]) -> np.ndarray:
 
     In stretches a word counts where it first occurs in the text, so that repetition alone makes none toxic.
     """
+    return measured(models, texts)[:, :2]
+
+
+def measured(models: Models, texts: list[bytes | None]) -> np.ndarray:
+    """The `features`, and the mean ratio of the STRONGEST most toxic words of each text, each where it first occurs."""
     tokens, before = read(texts)
-    ratios, out = models.ratios(tokens, before), np.zeros((len(texts), 2))
+    ratios, out = models.ratios(tokens, before), np.zeros((len(texts), 3))
     seen = np.lexsort((tokens.hash, tokens.doc))
     new = np.ones(len(seen), dtype=bool)
     new[seen[1:]] = (tokens.hash[seen[1:]] != tokens.hash[seen[:-1]]) | (tokens.doc[seen[1:]] != tokens.doc[seen[:-1]])
@@ -123,12 +128,13 @@ def features(models: Models, texts: list[bytes | None]) -> np.ndarray:
         if len(own):
             sums = np.r_[0.0, np.cumsum(np.where(new[lo : hi - 1], own, 0.0))]
             width = min(STRETCH, len(own))
-            out[i] = own.sum() / max(STRETCH, len(own)), (sums[width:] - sums[:-width]).max() / STRETCH
+            strongest = np.sort(own[new[lo : hi - 1]])[-STRONGEST:].sum() / STRONGEST
+            out[i] = own.sum() / max(STRETCH, len(own)), (sums[width:] - sums[:-width]).max() / STRETCH, strongest
     return out
 
 
 #: The curve before any labelled document is seen, and how many documents it is worth.
-CURVE, WORTH = np.array([5.0, 5.0, -6.0]), 2.0
+CURVE, WORTH = np.array([5.0, 5.0, 0.0, -6.0]), 2.0
 
 
 def logistic(x: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -144,6 +150,10 @@ def logistic(x: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarr
     return w
 
 
+#: The columns of what is measured.
+MEASURED = ("__whole", "__stretch", "__strongest")
+
+
 def _pair_counts(rows: DataFrame) -> DataFrame:
     """(before, word, ordinary, toxic): how often each class has each pair of words."""
     schema = {"before": "bigint", "word": "bigint", "ordinary": "bigint", "toxic": "bigint"}
@@ -188,7 +198,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     if not all(seen.values()):
         return None
     weight = np.array([true[int(k)] / sum(true.values()) / seen[int(k)] for k in y]) * len(y)
-    models.curve = tuple(logistic(np.stack([found["__whole"].to_numpy(), found["__stretch"].to_numpy()], axis=1), y, weight).tolist())
+    models.curve = tuple(logistic(np.stack([found[x].to_numpy() for x in MEASURED], axis=1), y, weight).tolist())
     return models
 
 
@@ -198,12 +208,12 @@ def _with_features(rows: DataFrame, text: str, models: Models, drop: tuple[str,
     def make() -> Callable:
         def compute(texts):
             raw = as_bytes(texts)
-            found = np.concatenate([np.zeros((0, 2)), *(features(sent.value, raw[lo : lo + TOGETHER]) for lo in range(0, len(raw), TOGETHER))])
-            return found[:, 0], found[:, 1]
+            found = np.concatenate([np.zeros((0, 3)), *(measured(sent.value, raw[lo : lo + TOGETHER]) for lo in range(0, len(raw), TOGETHER))])
+            return tuple(found.T)
 
         return compute
 
-    return append_columns(rows, [text], {"__whole": "double", "__stretch": "double"}, make, drop=drop)
+    return append_columns(rows, [text], {x: "double" for x in MEASURED}, make, drop=drop)
 
 
 def score_toxicity(docs: DataFrame, models: Models | None, text: str = "text", threshold: float = THRESHOLD, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -217,11 +227,11 @@ def score_toxicity(docs: DataFrame, models: Models | None, text: str = "text", t
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in gone]
     if models is None:
         return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(int(0 >= threshold)).alias("predicted"))
-    whole, stretch, constant = models.curve
+    *weights, constant = models.curve
     inner = [f"__{i}" for i in range(len(kept))]
     plain = docs.select(*[c.alias(i) for c, i in zip(kept, inner)], F.col(quoted(text)).alias("__text"))
     found = _with_features(plain, "__text", models, ("__text",))
-    score = F.round(1 / (1 + F.exp(-(F.col("__whole") * whole + F.col("__stretch") * stretch + constant))), 6)
+    score = F.round(1 / (1 + F.exp(-(sum(F.col(x) * w for x, w in zip(MEASURED, weights)) + constant))), 6)
     names = [c for c in docs.columns if c.lower() not in gone]
     return found.select(*[F.col(i).alias(c) for i, c in zip(inner, names)], score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
