@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,17 @@ def test_quality_is_learned_for_held_out_texts(spark):
     taught = table.where("doc_id < 200")
     got = score_quality(table.where("doc_id >= 200"), learn_quality(taught.drop("quality"), taught.drop("text"))).collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
+
+
+def test_fit_holds_one_table_of_terms():
+    rng = np.random.default_rng(6)
+    terms = rng.poisson(0.1, (3000, TERMS)).astype(np.float32)
+    labels, kept = rng.integers(0, 2, 3000), terms.copy()
+    model = fit_neighbours(terms, labels)
+    assert np.array_equal(terms, kept)
+    tracemalloc.start()
+    other = fit_neighbours(terms, labels, spare=False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.6 * terms.nbytes
+    assert np.array_equal(model.rarity, other.rarity) and np.array_equal(model.vectors, other.vectors)

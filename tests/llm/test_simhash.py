@@ -103,6 +103,33 @@ def test_components_of_a_long_path(spark):
     assert {tuple(r) for r in connected_components(edges).collect()} == {(i, 0) for i in range(201)}
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+@pytest.mark.parametrize("together", [7, 60, 10_000])
+def test_components_in_tasks_and_by_stars(spark, kind, together):
+    pairs = [(int(a), int(b)) for a, b in np.random.default_rng(together).integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 560)]
+    root = {x: x for p in pairs for x in p}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    if kind == "binary":
+        edges = edges.select(*[F.encode(F.lpad(F.col(c).cast("string"), 4, "0"), "utf-8").alias(c) for c in "ab"])
+    got = [(int(r.node), int(r.root)) for r in connected_components(edges, together=together).collect()]
+    # a node whose only edge is to itself has no row
+    assert sorted(got) == sorted((x, y) for x, y in root.items() if any(x in p and p[0] != p[1] for p in pairs))
+    assert connected_components(edges.limit(0), together=together).count() == 0
+
+
+def test_few_edges_take_few_jobs(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert connected_components(edges).count() == 201
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) < 8
+
+
 def test_roots_of_a_forest(spark):
     rng = np.random.default_rng(3)
     parent = {b: int(rng.integers(0, b)) for b in range(1, 120) if b % 7} | {b: b - 1 for b in range(200, 260)}

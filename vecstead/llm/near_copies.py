@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,13 +69,20 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _marked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """`rows` with `__hit`: false only where `name` is not in `ids` (row), so those rows need no join."""
-    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(MASK_BITS)).cast("int")
+def _bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(MASK_BITS)).cast("int")
+
+
+def _mask(ids: DataFrame) -> Broadcast:
+    """A mask of the rows in `ids` (row)."""
     mask = np.zeros(MASK_BITS // 8, dtype=np.uint8)
-    at = ids.select(bit("row").alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    at = ids.select(_bit("row").alias("bit")).distinct().toArrow()["bit"].to_numpy()
     np.bitwise_or.at(mask, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    sent = rows.sparkSession.sparkContext.broadcast(mask)
+    return ids.sparkSession.sparkContext.broadcast(mask)
+
+
+def _marked(rows: DataFrame, sent: Broadcast, name: str) -> DataFrame:
+    """`rows` with `__hit`: false only where `name` is not among the rows of the mask `sent`, so those rows need no join."""
 
     def make() -> Callable:
         def compute(bits):
@@ -83,12 +91,12 @@ def _marked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
         return compute
 
-    return append_columns(rows.withColumn("__bit", bit(name)), ["__bit"], {"__hit": "boolean"}, make, drop=["__bit"])
+    return append_columns(rows.withColumn("__bit", _bit(name)), ["__bit"], {"__hit": "boolean"}, make, drop=["__bit"])
 
 
-def _without(rows: DataFrame, ids: DataFrame, name: str = "__row") -> DataFrame:
-    """`rows` whose `name` is not in `ids` (row)."""
-    marked = _marked(rows, ids, name)
+def _without(rows: DataFrame, ids: DataFrame, sent: Broadcast, name: str = "__row") -> DataFrame:
+    """`rows` whose `name` is not in `ids` (row), of which `sent` is the mask."""
+    marked = _marked(rows, sent, name)
     maybe = marked.where("__hit").join(ids.select(F.col("row").alias(name)), name, "left_anti")
     return marked.where("not __hit").select(*rows.columns).unionByName(maybe.select(*rows.columns))
 
@@ -165,7 +173,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     asked = members.withColumn("member", F.lit(True)).unionByName(hubs.withColumn("member", F.lit(False)))
     asked = durable(asked)
     sent = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-    texts = _marked(rows, asked.select("row").distinct(), "row").where("__hit").drop("__hit")
+    texts = _marked(rows, _mask(asked), "row").where("__hit").drop("__hit")
     both = texts.join(sent, "row").select("a", "task", "member", "row", "text")
     schema = {"a": "bigint", "b": "bigint"}
 
@@ -260,7 +268,6 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     met = durable(_sifted(simhash_pairs(marks.select("row", "print")), marks, similarity))
     near = durable(_verified(met, rows, words, similarity))
-    marks = durable(marks.drop("print"))
     group = Window.partitionBy("token")  # spills where a shingle is common
     shared = written(_merged(_prefixes(rows, words, similarity)))
     stars = shared.withColumn("first", F.min(F.struct("row", "size")).over(group)).where((F.col("row") > F.col("first.row")) & alike(F.col("size"), F.col("first.size")))
@@ -314,11 +321,8 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (row, root) once `links` (a, b) between their rows, or rows that have none yet, join trees."""
-    for side in ("a", "b"):
-        links = links.join(roots.select(F.col("row").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-    joined = durable(connected_components(links)).select("node", F.col("root").alias("higher"))
-    moved = roots.join(joined, roots["root"] == joined["node"], "left").select("row", F.coalesce("higher", "root").alias("root"))
-    return durable(moved.unionByName(joined.select(F.col("node").alias("row"), F.col("higher").alias("root"))).distinct())
+    edges = roots.select(F.col("row").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))
+    return durable(connected_components(edges)).select(F.col("node").alias("row"), "root")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -345,10 +349,11 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     order = F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("__row").alias("row"))
     firsts = durable(rows.groupBy("digest").agg(F.min(order).alias("least")).select("least"))
     again = durable(rows.select(F.col("__row").alias("row")).join(firsts.select(F.col("least.row").alias("row")), "row", "left_anti"))
-    marks = _without(rows.select(F.col("__row"), "size", "bits", "print"), again).withColumnRenamed("__row", "row")
-    single = _without(rows.select("__row", body), again)
-    roots = near_copy_roots(single.select(F.col("__row").alias("row"), F.col(body).alias("text")), marks, words, similarity)
+    sent = _mask(again)
+    marks = _without(rows.select("__row", "size", "bits", "print"), again, sent).withColumnRenamed("__row", "row")
+    single = _without(rows.select("__row", body), again, sent)
+    roots = near_copy_roots(single.select(F.col("__row").alias("row"), F.col(body).alias("text")), durable(marks), words, similarity)
     linked = firsts.join(roots, F.col("least.row") == F.col("row"))
     keep = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = durable(again.unionByName(roots.select("row").join(keep, "row", "left_anti")))
-    return _without(rows.select(*names, "__row"), gone).select(*names).toDF(*docs.columns)
+    return _without(rows.select(*names, "__row"), gone, _mask(gone)).select(*names).toDF(*docs.columns)

@@ -79,11 +79,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def fit_neighbours(terms: np.ndarray, labels: np.ndarray, latent: int = LATENT, seed: int = 4) -> Neighbours:
-    """A truncated SVD of the labelled rows by subspace iteration; `terms` has a row for each."""
-    rarity = np.log((1 + len(terms)) / (1 + np.count_nonzero(terms, axis=0))).astype(np.float32) + 0.5
-    rows = terms * rarity
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+def fit_neighbours(terms: np.ndarray, labels: np.ndarray, latent: int = LATENT, seed: int = 4, spare: bool = True) -> Neighbours:
+    """A truncated SVD of the labelled rows by subspace iteration; `terms` has a row for each, and is written over unless spared.
+
+    Rows are weighted a block at a time, so that no second table of their size is held.
+    """
+    blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(terms), BLOCK)]
+    rarity = np.log((1 + len(terms)) / (1 + sum(np.count_nonzero(terms[x], axis=0) for x in blocks))).astype(np.float32) + 0.5
+    rows = terms.copy() if spare else terms
+    for x in blocks:
+        rows[x] = unit(rows[x] * rarity)
     width = min(latent + 16, *rows.shape)
     basis = np.linalg.qr(rows.T @ (rows @ np.random.default_rng(seed).standard_normal((rows.shape[1], width), dtype=np.float32)))[0]
     for _ in range(3):
@@ -152,7 +157,7 @@ def score_quality(docs: DataFrame, model: Neighbours | None, text: str = "text",
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", **options) -> Neighbours | None:
     terms, found = labelled_terms(docs, labels, label, **options)
     pa.default_memory_pool().release_unused()
-    return fit_neighbours(terms, found) if len(found) else None
+    return fit_neighbours(terms, found, spare=False) if len(found) else None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
