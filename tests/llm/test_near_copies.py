@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from vecstead.llm import near_copies
+from vecstead.llm import common, components, language_id, near_copies, packing
 
 
 def corpus(seed, bases=60):
@@ -142,3 +143,54 @@ def test_pairs_meet_about_once(spark, monkeypatch, changed):
     assert made <= 2.5 * pairs.count() and made < 0.1 * sum(alike.values())
     want = {(r.a, r.b) for r in pairs.collect() if alike[r.a, r.b] >= r.least}
     assert {tuple(r) for r in near_copies._sharing(pairs, left).collect()} == want
+
+
+def test_a_dense_group_verifies_few_pairs(spark, monkeypatch):
+    """Where rows of a group are similar to some others only, a few pairs of each row come first and those inside a tree then drop out; the result is brute force's."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(150):  # each loses 7 of 116 shingles, and two are similar if 2 of these are the same
+        words, k = [f"b{k}" for k in range(120)], int(rng.integers(4, 114))
+        words[k], words[k + 2] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(words)))
+    want, links = brute(rows)
+    assert len(want) < 20 and 500 < links < 10_000
+    met, verified = [], []
+    meeting, sharing = near_copies._meeting, near_copies._sharing
+    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    monkeypatch.setattr(near_copies, "FIRST", 2)
+    monkeypatch.setattr(near_copies, "CROWDED", 1)
+    monkeypatch.setattr(near_copies, "_meeting", lambda *a: met.append((out := meeting(*a)).count()) or out)
+    monkeypatch.setattr(near_copies, "_sharing", lambda pairs, left: verified.append(pairs.count()) or sharing(pairs, left))
+    assert {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert met[0] > 500 and len(verified) == 2 and sum(verified) < 0.6 * met[0], (met, verified)
+
+
+def test_first_pairs_and_pairs_between_trees(spark):
+    pairs = spark.createDataFrame([(a, b, 7) for b in range(30) for a in range(b)], "a long, b long, least int")
+    few = [tuple(r) for r in near_copies._few(pairs).collect()]
+    assert len(few) == len(set(few)) and all(a < b and least == 7 for a, b, least in few)
+    assert all(1 <= sum(x[1] == b for x in few) <= near_copies.FIRST for b in range(1, 30))
+    roots = spark.createDataFrame([(i, i % 3) for i in range(20)], "row long, root long")
+    tree = lambda i: i % 3 if i < 20 else i
+    got = {tuple(r) for r in near_copies._between(pairs, roots).collect()}
+    assert got == {(a, b, 7) for b in range(30) for a in range(b) if tree(a) != tree(b)}
+
+
+def test_a_worker_remembers_one_operator_only():
+    """What the language and packing operators keep in a Python worker goes once the worker serves another operator."""
+    first = language_id.profiles()
+    assert language_id.profiles() is first
+    encode = packing.encoder("byte_bpe_50k")
+    assert packing.encoder("byte_bpe_50k") is encode and "tokenizer" not in vars(encode)
+    assert list(common._remembered.values()) == [encode]
+
+    class Edges:
+        """Stands for a table and runs a task's function here."""
+
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return [x for b in run(iter([pa.record_batch({"a": [2], "b": [1]})])) for x in b.to_pylist()]
+
+    assert components._contracted(Edges(), 10) == [{"a": 2, "b": 1}]
+    assert list(common._remembered.values()) == [None]

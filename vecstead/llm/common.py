@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +61,29 @@ def release(table: DataFrame) -> None:
     remove(table.sparkSession, table.folder)
 
 
+_remembered: dict[tuple, Any] = {}
+
+
+def remember(make: Callable | None = None, *of: Any) -> Any:
+    """`make(*of)`, which a Python worker remembers from task to task until a task calls this for something else.
+
+    Workers serve one operator after another and several share an executor's memory, so an operator that remembers nothing calls
+    this without `make` in its tasks.
+    """
+    if (make, of) not in _remembered:
+        _remembered.clear()
+        give_back()
+        _remembered[make, of] = make(*of) if make else None
+    return _remembered[make, of]
+
+
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -92,7 +118,7 @@ def append_columns(
                 made = compute(*(batch.column(i) for i in at))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return picked.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import durable
+from vecstead.llm.common import durable, give_back, remember
 from vecstead.llm.trie import spanning
 
 #: Edges that a task contracts at once, and about how many it is dealt. So few need one task and no shuffle; more of them meet by stars.
@@ -32,6 +32,7 @@ def _contracted(edges: DataFrame, together: int, roots: bool = False) -> DataFra
     """(a, b): a forest for each task's `edges` (a, b), or for each part of them that leaves over `together` edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         held, size = [], 0
         for batch in batches:
             held.append(batch)
@@ -44,6 +45,7 @@ def _contracted(edges: DataFrame, together: int, roots: bool = False) -> DataFra
                     held, size = [], 0
         if size:
             yield from _forest(pa.Table.from_batches(held), roots).to_batches()
+        give_back()
 
     return edges.mapInArrow(run, edges.schema)
 

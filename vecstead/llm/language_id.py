@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, batch_of, ddl, fold, quoted, table
+from vecstead.llm.common import append_columns, batch_of, ddl, fold, quoted, remember, table
 
 DIMENSIONS = 1024
 SEED = 20
@@ -98,10 +98,9 @@ class Profiles:
         return total
 
 
-@cache
 def profiles() -> Profiles:
-    """One for each Python worker."""
-    return Profiles()
+    """One for each Python worker, as long as it serves this operator."""
+    return remember(Profiles)
 
 
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:

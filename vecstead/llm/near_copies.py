@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, release, written
+from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, give_back, release, remember, written
 from vecstead.llm.components import connected_components
 from vecstead.llm.simhash import exhaustive_tables, fingerprint, fingerprint_links, shingle_hashes
 
@@ -41,6 +41,8 @@ PARITY, MOST_SENT, MEMBERS = 16, 400_000, 500
 ROUNDS, CROWDED = 1, 4
 #: How many of a row's shingles before one tell whether a pair that meets there has met before.
 BEFORE = 4
+#: Pairs of a row that are verified before its others, where the pairs left are more than CROWDED for each of their rows.
+FIRST = 3
 #: Bits of a fingerprint and in how many two of them differ at most, for the links that the trie join finds first.
 PRINT, NEAR = 64, 4
 
@@ -85,6 +87,8 @@ def _marked(rows: DataFrame, sent: Broadcast, name: str) -> DataFrame:
     """`rows` with `__hit`: false only where `name` is not among the rows of the mask `sent`, so those rows need no join."""
 
     def make() -> Callable:
+        remember()
+
         def compute(bits):
             x = bits.to_numpy()
             return ((sent.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool),)
@@ -106,6 +110,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     schema = {"token": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 sets = [shingle_set(raw, words) for raw in as_bytes(batch.column(0).slice(lo, 500))]
@@ -124,6 +129,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     schema = {"token": "bigint", "row": "bigint", "size": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         common, place = sent.value
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -138,6 +144,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                     sizes.append(len(found))
                 times = list(map(len, tokens))
                 yield batch_of(schema, [np.concatenate(tokens).view(np.int64), np.repeat(part.column(0).to_numpy(), times), np.repeat(np.array(sizes, dtype=np.int32), times)])
+        give_back()
 
     return rows.select("row", "text").mapInArrow(run, ddl(schema))
 
@@ -178,6 +185,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     schema = {"a": "bigint", "b": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         name = hub = None
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -191,6 +199,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
                         found[0].append(a)
                         found[1].append(row)
                 yield batch_of(schema, found)
+        give_back()
 
     return both.repartition("a", "task").sortWithinPartitions("a", "task", "member").mapInArrow(run, ddl(schema))
 
@@ -249,6 +258,7 @@ def _sharing(pairs: DataFrame, left: DataFrame) -> DataFrame:
     schema = {"a": "bigint", "b": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
             least, (xs, weights, ys) = batch.column(2).to_numpy(), (batch.column(k) for k in (3, 4, 5))
@@ -256,6 +266,7 @@ def _sharing(pairs: DataFrame, left: DataFrame) -> DataFrame:
                 _, at, _ = np.intersect1d(xs[i].values.to_numpy(), ys[i].values.to_numpy(), assume_unique=True, return_indices=True)
                 keep[i] = weights[i].values.to_numpy()[at].sum() >= least[i]
             yield batch_of(schema, [batch.column(k).filter(pa.array(keep)) for k in (0, 1)])
+        give_back()
 
     return pairs.select("a", "b", "least", "a_tokens", "a_weights", "b_tokens").mapInArrow(run, ddl(schema))
 
@@ -313,12 +324,32 @@ def near_copy_roots(rows: DataFrame, marks: DataFrame, words: int, similarity: f
         left = apart(left, roots)
 
     # rows of a shingle that are still apart; pairs that failed are not compared again
-    pairs = _sharing(_meeting(left, marks, similarity).join(stars, ["a", "b"], "left_anti"), left)
-    more = durable(_verified(pairs, rows, words, similarity))
+    pairs = durable(_meeting(left, marks, similarity).join(stars, ["a", "b"], "left_anti"))
+    found = pairs.agg(F.count("*"), F.count_distinct("b")).first()
+    if found[0] > CROWDED * found[1]:
+        # a few pairs of each row make a dense group nearly one tree, so of its pairs few are left to verify
+        few = durable(_few(pairs))
+        roots = _joined(roots, _verified(_sharing(few, left), rows, words, similarity))
+        pairs = durable(_between(pairs, roots).join(few, ["a", "b"], "left_anti"))
+    more = durable(_verified(_sharing(pairs, left), rows, words, similarity))
     release(left)
     return roots if more.isEmpty() else _joined(roots, more)
 
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """At most FIRST of each b's distinct `pairs` (a, b, least), drawn by hashes."""
+    drawn = pairs.groupBy("b").agg(F.array(*[F.min(F.struct(F.xxhash64("a", "b", F.lit(i)), "a", "least")) for i in range(FIRST)]).alias("drawn"))
+    return drawn.select(F.explode(F.array_distinct(F.transform("drawn", lambda x: F.struct(x["a"], x["least"])))).alias("p"), "b").select("p.a", "b", "p.least")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b, ...) whose rows are in different trees of `roots` (row, root)."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (row, root) once `links` (a, b) between their rows, or rows that have none yet, join trees."""
     edges = roots.select(F.col("row").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))
@@ -339,6 +370,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     body, key = at[text.lower()], at[doc_id.lower()]
 
     def make() -> Callable:
+        remember()
+
         def compute(texts: pa.Array):
             sets = [shingle_set(x, words) for x in as_bytes(texts)]
             return [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [parity(x).tolist() for x in sets], [fingerprint(x, PRINT) for x in sets]

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import AT_ONCE, ddl, durable, quoted, table
+from vecstead.llm.common import AT_ONCE, ddl, durable, give_back, quoted, remember, table
 
 LENGTH = 2048
 END = np.array([1], dtype="<u4").tobytes()
@@ -35,15 +36,22 @@ class Ids:
 
     def __init__(self, file: str, ranks_file: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.file = file
+        with open(file, encoding="utf-8") as parts:
+            self.added = tuple(x["content"] for x in json.load(parts)["added_tokens"])
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """Read from its file once a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def fresh(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
@@ -66,9 +74,13 @@ class Ids:
         return first + b"".join(ids)
 
 
-@cache
 def encoder(vocabulary: str) -> Ids:
-    """One encoder for each Python worker. `vocabulary` names a public byte-level BPE that has a tokenizer's file and one of ranks."""
+    """One encoder for each Python worker, as long as it serves this operator. `vocabulary` names a public byte-level BPE that has a
+    tokenizer's file and one of ranks."""
+    return remember(_read, vocabulary)
+
+
+def _read(vocabulary: str) -> Ids:
     import public_tokenizers
 
     return Ids(public_tokenizers.path(f"{vocabulary}.json"), public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN)
@@ -98,6 +110,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vo
                     done += 1
             columns = list(zip(*cells)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in columns)], names=list(schema))
+        give_back()
 
     return rows.mapInArrow(run, ddl(schema))
 
@@ -150,6 +163,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(seed)), F.lit(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         for number, held in _groups(batches):
             bins, offsets = first_fit_decreasing(held["length"].to_numpy(), length)
             columns = [held[c].combine_chunks() for c in list(schema)[:5]]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, fold, quoted, table
+from vecstead.llm.common import append_columns, as_bytes, fold, quoted, remember, table
 
 #: Bounds of the fit: labelled rows that are sampled for it, terms, latent dimensions.
 MAX_LABELLED = 6_000
@@ -114,6 +114,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, limit: int =
             at = np.flatnonzero(counts)
             return at.astype("<i4").tobytes() + counts[at].astype("<f4").tobytes()
 
+        remember()
         return lambda texts: ([packed(x) for x in as_bytes(texts)],)
 
     found = append_columns(both, ["__text"], {"__terms": "binary"}, make, drop=("__text",))
@@ -136,6 +137,7 @@ def score_quality(docs: DataFrame, model: Neighbours | None, text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LABELLED * LATENT + TERMS * (LATENT + 1) floats
 
     def make() -> Callable:
+        remember()
         neighbours = sent.value
 
         def compute(texts: pa.Array):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, quoted, table
+from vecstead.llm.common import append_columns, as_bytes, batch_of, ddl, durable, give_back, quoted, remember, table
 from vecstead.llm.components import connected_components
 from vecstead.llm.trie import spanning, trie_pairs
 
@@ -152,6 +152,7 @@ def fingerprint_links(prints: DataFrame, tables: Tables) -> DataFrame:
         return batch_of(schema, [[x.tobytes() for x in same[member]], [x.tobytes() for x in same[label[member]]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         held, size = [], 0
         for batch in batches:
             if not len(batch):
@@ -167,6 +168,7 @@ def fingerprint_links(prints: DataFrame, tables: Tables) -> DataFrame:
             size += len(batch)
         if held:
             yield forest(held)
+        give_back()
 
     return _chunked(_bucketed(prints, tables)).repartition("bucket", "meet").sortWithinPartitions("bucket", "meet").mapInArrow(run, ddl(schema))
 
