@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -140,3 +141,32 @@ def test_texts_meet_each_word_of_a_block_once(spark):
     rows = blocks.meeting(blocks.in_blocks(texts, "example_id", 10), quads.select("rank", F.col("seed").alias("kind"), F.col("x").alias("vec"))).collect()
     n = len({r.block for r in rows})
     assert n > 1 and sum(r.is_text for r in rows) == 50 and sum(not r.is_text for r in rows) <= n * 9 * 2
+
+
+def test_packed_texts_move_once_and_meet_their_words(spark):
+    """Blocks hold all texts and each of their words' vectors once; texts are shuffled once, and means of counts leave unknown words out."""
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.integers(12, size=draw.integers(1, 30)).tolist() if i else [11, 11], i % 2 == 0) for i in range(90)]
+    lines = spark.createDataFrame([(i, w, t, 1) for i, w, t in rows] + [(99, None, True, 1)], "example_id bigint, words array<int>, train boolean, label int").repartition(3)
+    texts = blocks.counted(lines)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "rank bigint, vec array<float>")
+
+    def run(part, ranks, vecs):
+        words, ends, weights, counts = blocks.unpacked(part.column(0), part.column(4))
+        n, lacking = int(weights.sum()), int(weights[blocks.places(ranks, words) < 0].sum())
+        assert counts and (vecs[:, 0] == ranks).all() and len(set(ranks)) == len(ranks)
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(part), n, lacking, len(ranks))], names=["texts", "words", "lacking", "named"])
+
+    found = blocks.by_block(texts.select("example_id", "words", "train", "label", "weights"), "example_id", 5, vectors, run, "texts long, words long, lacking long, named long")
+    got = found.collect()
+    want = [w for _, ws, _ in rows for w in ws]
+    assert len(got) == 5 and [sum(r[k] for r in got) for k in range(3)] == [90, len(want), sum(w > 9 for w in want)] and max(r.named for r in got) <= 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+    quads = spark.createDataFrame([(s, i, *[[float(s), float(i)]] * 4) for s in (1, 2) for i in range(10) if s == 1 or i < 9], "seed int, rank bigint, " + ", ".join(f"{c} array<double>" for c in "xyef"))
+    cell = [cells.Cell(1, 2, 32), cells.Cell(2, 1, 32)]
+    means = tasks.cell_means(texts, 90, quads, cell, ({}, dict.fromkeys(cell, 1.0))).collect()
+    for seed, most in ((1, 10), (2, 9)):
+        own = [[w for w in ws if w < most] for _, ws, _ in rows]
+        want = sorted([np.mean(w) for w in own if w])
+        assert sorted(r.vec[-1] for r in means if r.seed == seed) == pytest.approx(want if seed == 1 else [2.0] * len(want)) and {len(r.vec) for r in means if r.seed == seed} == {4 if seed == 1 else 2}
