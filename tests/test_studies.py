@@ -170,3 +170,35 @@ def test_packed_texts_move_once_and_meet_their_words(spark):
         own = [[w for w in ws if w < most] for _, ws, _ in rows]
         want = sorted([np.mean(w) for w in own if w])
         assert sorted(r.vec[-1] for r in means if r.seed == seed) == pytest.approx(want if seed == 1 else [2.0] * len(want)) and {len(r.vec) for r in means if r.seed == seed} == {4 if seed == 1 else 2}
+
+
+def test_texts_are_packed_like_split_and_crc32(spark):
+    odd = ["", "  ", "\n", " \n ", "\na b", "a b\n", "\t\n a\x0b\x0cb\r\n", "é ü  y", "a\x1cb c\x85d", "x " * 700, None]
+    lines = spark.createDataFrame(list(enumerate(odd)), "example_id int, text string")
+    ranks = lines.selectExpr("example_id", r"transform(split(trim(text), '\\s+'), w -> pmod(crc32(w), 50)) as words")
+    for df in (blocks.counted(lines, 50), blocks.counted(ranks)):
+        got = {r.example_id: sorted(np.repeat(np.frombuffer(r.words, np.int32), list(r.weights)).tolist()) for r in df.collect()}
+        assert got == {r.example_id: sorted(r.words) for r in ranks.where("words is not null").collect()} and len(got) == 10
+
+
+def test_models_side_by_side_equal_each_alone(spark, monkeypatch):
+    """Models of several seeds take the same rounds in one pass each, and predict what each does alone; texts without a known word have no say."""
+    draw = np.random.default_rng(4)
+    emb = emb_of(spark, draw.normal(size=(8, 4)) * 0.1)
+    rows = [(i, draw.integers(11, size=6).tolist() if i else [9, 10], i % 2) for i in range(60)]
+    texts = finetune.durable(blocks.counted(spark.createDataFrame(rows, "example_id int, words array<int>, label int").repartition(3)))
+    seeds = [(1, 1), (2, 1), (1, 2)]
+    steps, step = [], finetune._step
+    monkeypatch.setattr(finetune, "_step", lambda *a: steps.append(1) or step(*a))
+    side = finetune.tuned(texts, emb, seeds, rounds=3, batches=2, rate=10.0)
+    assert len(steps) == 3
+    preds = {r.example_id: r for r in finetune.judged(texts, 60, side).collect()}
+    assert set(preds) == {i for i, w, _ in rows if min(w) < 8} and 0 not in preds
+    for k, seed in enumerate(seeds):
+        alone = finetune.tuned(texts, emb, [seed], rounds=3, batches=2, rate=10.0)
+        assert side.weights[k] == pytest.approx(alone.weights[0]) and side.biases[k] == pytest.approx(alone.biases[0])
+        assert all(r.pred_1 == preds[r.example_id][1 + k] for r in finetune.judged(texts, 60, alone).collect())
+    # the same by the path of shares
+    lines = spark.createDataFrame([(i, " ".join(f"w{x}" for x in w), y) for i, w, y in rows], "example_id int, text string, label int")
+    one = finetune.finetuned(lines, emb, 1, 2, rounds=3, batches=2, rate=10.0)
+    assert one.weights == pytest.approx(side.weights[2]) and one.bias == pytest.approx(side.biases[2])
